@@ -13,6 +13,18 @@ from pyspark.sql import functions as F
 
 from .registry import Tables
 
+NUDGE = 1e-9  # moves exact halves off the tie, so summation order cannot flip the last digit
+
+
+def rnd(c, digits: int):
+    """Rounded column, equal to ``R`` in SQL (adding 0.0 turns -0.0 into 0.0)."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + F.lit(NUDGE), digits) + F.lit(0.0)
+
+
+def R(expr: str, digits: int) -> str:
+    return f"(round({expr} + 1e-9, {digits}) + 0.0)"
+
+
 PERIOD = (date(1996, 1, 1), date(1999, 12, 31))
 
 
