@@ -1,6 +1,7 @@
 """All registered queries; importing this module registers them."""
 
 from . import (  # noqa: F401
+    q_relational,
     q_rolling,
     q_spine,
 )
