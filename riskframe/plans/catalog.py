@@ -1,8 +1,10 @@
 """All registered queries; importing this module registers them."""
 
 from . import (  # noqa: F401
+    q_labels,
     q_relational,
     q_rolling,
+    q_scalars,
     q_spine,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
