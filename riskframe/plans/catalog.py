@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     q_labels,
+    q_learning,
     q_payments,
     q_relational,
     q_rolling,
