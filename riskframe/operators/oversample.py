@@ -71,27 +71,33 @@ def nearest(points: DataFrame, dim: int, k_all: int, k_min: int, tables: int = 4
     Rows: pid, kind ('all' or 'min'), rank, other, dist, n_min, n_maj.
     """
     n = points.count()
-    b = bucketed(with_signatures(points, dim, tables, seed), tables, n, bucket)
+    if n <= bucket:  # one bucket, no signatures
+        one = F.struct(F.lit(0).alias("table"), F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix")).alias("k"))
+        b = points.select("pid", "vec", "n_min", "n_maj", one.alias("bucket"), F.lit(n).alias("size"))
+    else:
+        b = bucketed(with_signatures(points, dim, tables, seed), tables, n, bucket)
     blocks = F.ceil(F.col("size") / F.lit(bucket)).cast("int")
     own = F.pmod(stable_hash("pid", seed=seed), blocks).cast("int")
     b = b.withColumn("blocks", blocks).withColumn("own", own)
     # each block of queries meets each block of points once: tasks of at most about bucket x bucket
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    queries = b.where("n_min > 0").select("bucket", F.col("own").alias("qb"), F.explode(every).alias("pb"), "pid", "vec")
-    data = b.select("bucket", F.explode(every).alias("qb"), F.col("own").alias("pb"), "pid", "vec", "n_min", "n_maj")
+    key = F.to_json("bucket").alias("bucket_id")
+    queries = b.where("n_min > 0").select(key, F.col("own").alias("qb"), F.explode(every).alias("pb"),
+                                          F.col("pid").alias("qid"), F.col("vec").alias("qvec"))
+    data = b.select(key, F.explode(every).alias("qb"), F.col("own").alias("pb"), F.col("pid").alias("oid"),
+                    F.col("vec").alias("ovec"), F.col("n_min").alias("n_min"), F.col("n_maj").alias("n_maj"))
     keys = ["bucket_id", "qb", "pb"]
-    named = lambda d: d.withColumn("bucket_id", F.to_json("bucket")).drop("bucket")
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(p):
-            x, y = np.stack(q["vec"].to_numpy()), np.stack(p["vec"].to_numpy())
-            ids, mins, majs = p["pid"].to_numpy(), p["n_min"].to_numpy(), p["n_maj"].to_numpy()
+            x, y = np.stack(q["qvec"].to_numpy()), np.stack(p["ovec"].to_numpy())
+            ids, mins, majs = p["oid"].to_numpy(), p["n_min"].to_numpy(), p["n_maj"].to_numpy()
             minority = np.flatnonzero(mins > 0)
             for lo in range(0, len(x), 512):
                 part = x[lo:lo + 512]
                 d2 = (part ** 2).sum(1)[:, None] + (y ** 2).sum(1)[None, :] - 2 * part @ y.T
-                for row, pid in zip(d2, q["pid"].to_numpy()[lo:lo + 512]):
+                for row, pid in zip(d2, q["qid"].to_numpy()[lo:lo + 512]):
                     for kind, pool, k in (("all", None, k_all), ("min", minority, k_min)):
                         cand = np.arange(len(y)) if pool is None else pool
                         cand = cand[ids[cand] != pid]
@@ -101,7 +107,7 @@ def nearest(points: DataFrame, dim: int, k_all: int, k_min: int, tables: int = 4
         return pd.DataFrame(out, columns=["pid", "kind", "other", "d2", "n_min", "n_maj"])
 
     pid_type = dict(points.dtypes)["pid"]
-    found = named(queries).groupBy(*keys).cogroup(named(data).groupBy(*keys)).applyInPandas(
+    found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(
         search, f"pid {pid_type}, kind string, other {pid_type}, d2 double, n_min long, n_maj long")
     merged = found.groupBy("pid", "kind", "other").agg(F.min("d2").alias("d2"), F.first("n_min").alias("n_min"), F.first("n_maj").alias("n_maj"))
     rank = F.row_number().over(W.partitionBy("pid", "kind").orderBy("d2", "other"))

@@ -8,5 +8,6 @@ from . import (  # noqa: F401
     q_rolling,
     q_scalars,
     q_spine,
+    q_streaming,
 )
 from .registry import ORACLES, QUERIES  # noqa: F401
