@@ -26,9 +26,11 @@ def hash_fraction(*cols: Column | str, seed: int = 0) -> Column:
 
 
 def portable_mix(id_col: Column | str, seed: int = 0) -> Column:
-    """Integer mix in [0, 1000003) that any SQL engine can repeat."""
+    """Integer mix in [0, 1000003) that any SQL engine can repeat for ids that read as whole
+    numbers; other ids are hashed first."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
-    inner = F.pmod(c.cast("long"), F.lit(MIX_MODULUS)) * F.lit(MIX_FACTOR) + F.lit(seed)
+    number = F.coalesce(c.try_cast("long"), F.xxhash64(c))
+    inner = F.pmod(number, F.lit(MIX_MODULUS)) * F.lit(MIX_FACTOR) + F.lit(seed)
     return F.pmod(inner, F.lit(MIX_MODULUS)).cast("long")
 
 

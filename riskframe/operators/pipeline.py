@@ -11,7 +11,11 @@ from . import encode
 
 @dataclass
 class FeaturePipeline:
-    """Fitted stages applied in order, then a fixed projection."""
+    """Fitted stages applied in order, then a fixed projection.
+
+    ``keep`` names identifying columns carried along where present (a label, for example, is
+    absent when new rows are scored).
+    """
 
     stages: list
     keep: list[str]
@@ -20,7 +24,7 @@ class FeaturePipeline:
     def transform(self, df: DataFrame) -> DataFrame:
         for stage in self.stages:
             df = stage.transform(df)
-        return df.select(*self.keep, *self.outputs)
+        return df.select(*[c for c in self.keep if c in df.columns], *self.outputs)
 
     def feature_names(self) -> list[str]:
         return list(self.outputs)

@@ -44,7 +44,7 @@ class RiskModel:
         x = self.features.transform(df)
         p = model.score_logistic(self.classifier, x, self.columns, "raw")
         calibrated = p.withColumn("survival", 1 - model.apply_platt("raw", self.slope, self.intercept))
-        return model.rate_predictions(calibrated.select(*self.features.keep, "survival"), low=low, high=high)
+        return model.rate_predictions(calibrated.select(*[c for c in self.features.keep if c != "event"], "survival"), low=low, high=high)
 
 
 def train(dataset: DataFrame, id_col: str, zero_filled: list[str], scaled: list[str], categories: dict[str, tuple[float, int]],
