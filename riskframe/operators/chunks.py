@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
+
 CHUNKS = 64
 
 
@@ -151,13 +153,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
                     names: list[str] | None = None, n_chunks: int = CHUNKS) -> DataFrame:
     """Linear-interpolation quantiles per key, as pandas and ``percentile`` define them.
 
-    Distinct values are counted first (map-side combined), then ranked in chunks, so no
-    task holds a whole group. One output row per key.
+    Distinct values are counted first (map-side combined) and checkpointed, then ranked in
+    chunks, so no task holds a whole group. One output row per key.
     """
     names = names or [f"q{int(round(p * 100)):03d}" for p in probs]
     v = F.col(value).cast("double")
-    counted = (df.select(*keys, v.alias("__v")).where("__v is not null and not isnan(__v)")
-               .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__cnt")))
+    counted = cut_lineage(df.select(*keys, v.alias("__v")).where("__v is not null and not isnan(__v)")
+                          .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__cnt")))
     cum = running(counted, keys, ["__v"], {"__cum": ("sum", F.col("__cnt"))}, True, None, n_chunks)
     sized = attach_totals(cum, keys, counted.groupBy(*keys).agg(F.sum("__cnt").alias("__n")))
     first, n = F.col("__cum") - F.col("__cnt"), F.col("__n")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
 from .chunks import CHUNKS, attach_totals, ntiles, running
 
 
@@ -13,8 +14,8 @@ def capture_curve(df: DataFrame, x: str, weight: Column | None = None, keys: lis
                   n_chunks: int = CHUNKS) -> DataFrame:
     """Cumulative share of ``weight`` (default: rows) by increasing ``x``, one row per distinct x."""
     keys = keys or []
-    per_x = df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(
-        F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("amount"))
+    per_x = cut_lineage(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(
+        F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("amount")))
     cum = running(per_x, keys, [x], {"cumulative": ("sum", F.col("amount"))}, n_chunks=n_chunks)
     total = attach_totals(cum, keys, per_x.groupBy(*keys).agg(F.sum("amount").alias("__total")))
     return total.select(*keys, x, "amount", "cumulative", F.try_divide("cumulative", "__total").alias("share"))

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .chunks import CHUNKS, attach_totals, exact_quantiles, running
 
 
 def _by_score(df: DataFrame, keys: list[str], score: str, label: str, weight: Column | None) -> DataFrame:
-    """Positive and negative weight per distinct score (combined before the shuffle)."""
+    """Positive and negative weight per distinct score (combined before the shuffle).
+
+    Checkpointed: the scans after it read it several times, and the scored rows only once.
+    """
     w = weight if weight is not None else F.lit(1.0)
     y = F.col(label).cast("int")
-    return df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
-        F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg"))
+    return cut_lineage(df.groupBy(*keys, F.col(score).cast("double").alias("score")).agg(
+        F.sum(F.when(y == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(y == 0, w).otherwise(0.0)).alias("neg")))
 
 
 def auc(df: DataFrame, score: str, label: str, weight: Column | None = None, keys: list[str] | None = None,
@@ -94,8 +98,8 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str, limit: int
     periods of a bounded horizon, ``limit`` of them at most), and each event duration is a
     rank sum.
     """
-    counts = df.groupBy(F.col(duration).alias("d"), F.col(event).cast("int").alias("e"),
-                        F.col(risk).cast("double").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = cut_lineage(df.groupBy(F.col(duration).alias("d"), F.col(event).cast("int").alias("e"),
+                                    F.col(risk).cast("double").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("n")))
     times = [r["d"] for r in counts.where("e = 1").select("d").distinct().orderBy("d").limit(limit + 1).collect()]
     if len(times) > limit:
         raise ValueError("too many event durations; use whole periods")

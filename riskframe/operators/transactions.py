@@ -27,7 +27,8 @@ def cleared_transactions(events: DataFrame, start, stop, received: str, created:
     ts, kind = F.col("timestamp"), F.col("event_type")
     timed = events.where((ts > F.lit(start)) & (ts < F.lit(stop)) & (
         ((kind == received) & (ts < F.lit(switch))) | ((kind == created) & (ts >= F.lit(switch)))))
-    v = timed.withColumn("__v", json_document("payload")).where("__v is not null")
+    # exploding a one-element array pins the parse: filters below would otherwise repeat it each
+    v = timed.select("*", F.explode(F.array(json_document("payload"))).alias("__v")).where("__v is not null")
 
     def at(path: str, kind_: str = "string"):
         return json_at("__v", path, kind_)

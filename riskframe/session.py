@@ -13,6 +13,9 @@ REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot does not compile methods above 8000 bytes; a wide projection fused into one such
+    # method would run interpreted. Past the limit Spark splits it into small methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
