@@ -20,7 +20,7 @@ def asof_join(
     ttl_seconds: int | None = None,
     tie_break: list[str] | None = None,
     prefix: str = "",
-    n_chunks: int = CHUNKS,
+    n_chunks: int | None = CHUNKS,
 ) -> DataFrame:
     """Left as-of join of ``columns`` (and ``feature_ts``) to every spine row.
 

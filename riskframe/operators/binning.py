@@ -35,9 +35,7 @@ def quantile_edges(df: DataFrame, columns: list[str], bins: int, accuracy: int =
 def bin_index(column: str, edges: list[float]) -> Column:
     """Number of edges at or below the value (bins closed on the left); null for missing."""
     c = F.col(column).cast("double")
-    if not edges:
-        return F.when(c.isNotNull(), F.lit(0))
-    return F.when(c.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= c)))
+    return F.when(c.isNotNull(), sum(((c >= float(e)).cast("int") for e in edges), F.lit(0)))
 
 
 def bin_counts(df: DataFrame, columns: list[str], edges: dict[str, list[float]], y: str) -> DataFrame:

@@ -17,10 +17,19 @@ from pyspark.sql import Window as W
 
 from ..session import cut_lineage
 
-CHUNKS = 64
+CHUNKS = None  # chosen from the session, see ``chunk_count``
+SMALL = 10_000  # rows of a totals table that may be broadcast
 
 
-def split_points(df: DataFrame, order_col: str, n: int = CHUNKS) -> list[float]:
+def chunk_count(df: DataFrame, n: int | None = None) -> int:
+    """Chunks of a scan: a few per shuffle partition, so that the whole cluster works even on
+    one key, within what one sketch can resolve."""
+    if n is not None:
+        return n
+    return min(max(64, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 10_000)
+
+
+def split_points(df: DataFrame, order_col: str, n: int) -> list[float]:
     """Inner cut points of ``order_col`` at n-quantiles; at most n-1 numbers reach the driver."""
     probs = [i / n for i in range(1, n)]
     row = df.agg(
@@ -62,7 +71,7 @@ def running(
     aggs: dict[str, tuple[str, Column]],
     inclusive: bool = True,
     chunk_col: str | None = None,
-    n_chunks: int = CHUNKS,
+    n_chunks: int | None = CHUNKS,
 ) -> DataFrame:
     """Running aggregates along ``order`` within ``keys``.
 
@@ -73,7 +82,7 @@ def running(
     """
     chunk_col = chunk_col or order[0]
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    chunked = with_chunk(df, chunk_col, split_points(df, chunk_col, n_chunks))
+    chunked = with_chunk(df, chunk_col, split_points(df, chunk_col, chunk_count(df, n_chunks)))
     inside = W.partitionBy(*keys, "__chunk").orderBy(*order_cols).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1
     )
@@ -117,7 +126,7 @@ def running(
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str | Column], out: str = "rn",
-                chunk_col: str | None = None, n_chunks: int = CHUNKS) -> DataFrame:
+                chunk_col: str | None = None, n_chunks: int | None = CHUNKS) -> DataFrame:
     """``row_number()`` per key, or over the whole table when ``keys`` is empty."""
     return running(df, keys, order, {out: ("count", F.lit(1))}, True, chunk_col, n_chunks)
 
@@ -127,9 +136,16 @@ def group_sizes(df: DataFrame, keys: list[str], out: str = "n") -> DataFrame:
 
 
 def attach_totals(df: DataFrame, keys: list[str], totals: DataFrame) -> DataFrame:
-    """Join per-key totals back to rows (a one-row broadcast when there is no key)."""
+    """Join per-key totals back to rows.
+
+    The totals are checkpointed and counted: up to ``SMALL`` rows they are broadcast, so rows
+    of a few big groups are not shuffled on their group; more go through a planned join.
+    """
     if not keys:
         return df.crossJoin(F.broadcast(totals))  # exactly one row
+    totals = cut_lineage(totals)
+    if totals.count() <= SMALL:
+        totals = F.broadcast(totals)
     names = [f"__t{i}" for i in range(len(keys))]
     right = totals.select(*[F.col(k).alias(n) for k, n in zip(keys, names)],
                           *[c for c in totals.columns if c not in keys])
@@ -137,7 +153,7 @@ def attach_totals(df: DataFrame, keys: list[str], totals: DataFrame) -> DataFram
 
 
 def ntiles(df: DataFrame, keys: list[str], order: list[str | Column], n: int, out: str = "tile",
-           chunk_col: str | None = None, n_chunks: int = CHUNKS) -> DataFrame:
+           chunk_col: str | None = None, n_chunks: int | None = CHUNKS) -> DataFrame:
     """``ntile(n)`` from chunked row numbers and the group size."""
     ranked = row_numbers(df, keys, order, "__rn", chunk_col, n_chunks)
     sized = attach_totals(ranked, keys, group_sizes(df, keys, "__n"))
@@ -150,7 +166,7 @@ def ntiles(df: DataFrame, keys: list[str], order: list[str | Column], n: int, ou
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    names: list[str] | None = None, n_chunks: int = CHUNKS) -> DataFrame:
+                    names: list[str] | None = None, n_chunks: int | None = CHUNKS) -> DataFrame:
     """Linear-interpolation quantiles per key, as pandas and ``percentile`` define them.
 
     Distinct values are counted first (map-side combined) and checkpointed, then ranked in

@@ -11,7 +11,7 @@ from .chunks import CHUNKS, attach_totals, ntiles, running
 
 
 def capture_curve(df: DataFrame, x: str, weight: Column | None = None, keys: list[str] | None = None,
-                  n_chunks: int = CHUNKS) -> DataFrame:
+                  n_chunks: int | None = CHUNKS) -> DataFrame:
     """Cumulative share of ``weight`` (default: rows) by increasing ``x``, one row per distinct x."""
     keys = keys or []
     per_x = cut_lineage(df.where(F.col(x).isNotNull()).groupBy(*keys, x).agg(
@@ -21,39 +21,37 @@ def capture_curve(df: DataFrame, x: str, weight: Column | None = None, keys: lis
     return total.select(*keys, x, "amount", "cumulative", F.try_divide("cumulative", "__total").alias("share"))
 
 
-def knee_point(curve: DataFrame, x: str, y: str, keys: list[str] | None = None, sensitivity: float = 1.0) -> DataFrame:
-    """Knee of a concave increasing curve: first local maximum of the normalised y - x whose
-    difference later falls below its threshold, the threshold lowered by ``sensitivity`` times
-    the mean x step. The curve must be small (one row per distinct x of a label horizon).
+def knee_point(curve: DataFrame, x: str, y: str, keys: list[str] | None = None, sensitivity: float = 1.0,
+               n_chunks: int | None = CHUNKS) -> DataFrame:
+    """Knee of a concave increasing curve.
+
+    With both axes scaled to [0, 1] and d = y - x, every local maximum of d sets a threshold,
+    its d less ``sensitivity`` times the mean x step; a local minimum resets it to 0. The knee
+    is the maximum in force at the first row whose d falls below the threshold. Neighbours and
+    thresholds come from chunked scans, so a curve of any length works.
     """
     keys = keys or []
-    # A curve is as long as its distinct x, so the ordered steps run on aggregated rows only.
-    part = keys or [F.lit(0)]
-    whole, order = W.partitionBy(*part), W.partitionBy(*part).orderBy(x)
-    cx, cy = F.col(x).cast("double"), F.col(y)
-
-    def unit(c: Column) -> Column:
-        lo, hi = F.min(c).over(whole), F.max(c).over(whole)
-        return F.try_divide(c - lo, hi - lo)
-
-    d = curve.select(*keys, F.col(x), unit(cx).alias("__x"), unit(cy).alias("__y"), F.count(F.lit(1)).over(whole).alias("__n"))
-    d = d.withColumn("__d", F.col("__y") - F.col("__x"))
-    left, right = F.coalesce(F.lag("__d").over(order), "__d"), F.coalesce(F.lead("__d").over(order), "__d")
-    d = d.withColumn("__l", left).withColumn("__r", right)
-    is_max = (F.col("__d") >= F.col("__l")) & (F.col("__d") >= F.col("__r"))
-    is_min = (F.col("__d") <= F.col("__l")) & (F.col("__d") <= F.col("__r"))
+    cx = F.col(x).cast("double")
+    ends = curve.groupBy(*keys).agg(F.min(cx).alias("__x0"), F.max(cx).alias("__x1"), F.min(y).alias("__y0"),
+                                    F.max(y).alias("__y1"), F.count(F.lit(1)).alias("__n"))
+    sized = attach_totals(curve.select(*keys, x, y), keys, ends)
+    unit = lambda c, lo, hi: F.try_divide(c - F.col(lo), F.col(hi) - F.col(lo))
+    d = sized.select(*keys, F.col(x), "__n", cx.alias("__asc"), (-cx).alias("__desc"),
+                     (unit(F.col(y), "__y0", "__y1") - unit(cx, "__x0", "__x1")).alias("__d"))
+    d = running(d, keys, ["__asc"], {"__l": ("last", F.col("__d"))}, inclusive=False, n_chunks=n_chunks)
+    d = running(d, keys, ["__desc"], {"__r": ("last", F.col("__d"))}, inclusive=False, n_chunks=n_chunks)
+    left, right = F.coalesce("__l", "__d"), F.coalesce("__r", "__d")
+    is_max = (F.col("__d") >= left) & (F.col("__d") >= right)
+    is_min = (F.col("__d") <= left) & (F.col("__d") <= right)
     step = F.lit(sensitivity) / (F.col("__n") - 1)
-    d = d.withColumn("__thr", F.when(is_min, F.lit(0.0)).when(is_max, F.col("__d") - step)).withColumn(
-        "__top", F.when(is_max, F.col(x)))
-    # threshold and peak in force when the row is reached; a local minimum resets the threshold
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    d = d.withColumn("__in", F.last("__thr", ignorenulls=True).over(before)).withColumn(
-        "__peak", F.last("__top", ignorenulls=True).over(before))
-    fallen = d.where((F.col("__d") < F.col("__in")) & F.col("__peak").isNotNull())
+    d = running(d, keys, ["__asc"], {
+        "__thr": ("last", F.when(is_min, F.lit(0.0)).when(is_max, F.col("__d") - step)),
+        "__peak": ("last", F.when(is_max, F.col(x)))}, inclusive=False, n_chunks=n_chunks)
+    fallen = d.where((F.col("__d") < F.col("__thr")) & F.col("__peak").isNotNull())
     return fallen.groupBy(*keys).agg(F.min_by("__peak", x).alias("knee"))
 
 
-def lift_table(df: DataFrame, score: str, label: str, row_id: str, n: int = 10, n_chunks: int = CHUNKS) -> DataFrame:
+def lift_table(df: DataFrame, score: str, label: str, row_id: str, n: int = 10, n_chunks: int | None = CHUNKS) -> DataFrame:
     """Deciles of the score (highest first): size, positives, rate, cumulative capture, lift."""
     keyed = df.select(row_id, F.col(label).cast("double").alias("__y"), (-F.col(score)).alias("__neg"), score)
     tiles = ntiles(keyed, [], ["__neg", row_id], n, "decile", n_chunks=n_chunks)

@@ -92,7 +92,7 @@ def first_payee_rows(payments: DataFrame, keys: list[str], row_id: str, ts: str
     return payments.join(firsts, row_id, "left").withColumn("is_first", F.coalesce("is_first", F.lit(0)))
 
 
-def payee_popularity(payments: DataFrame, row_id: str = "event_id", n_chunks: int = CHUNKS) -> DataFrame:
+def payee_popularity(payments: DataFrame, row_id: str = "event_id", n_chunks: int | None = CHUNKS) -> DataFrame:
     """Per row: accounts that paid the same payee before, first and last such addition."""
     flagged = first_payee_rows(payments, ["account_id", "counterparty"], row_id).withColumn("__pos", micros("ts"))
     first = F.col("is_first") == 1
@@ -192,7 +192,7 @@ def company_behaviour(spine: DataFrame, transactions: DataFrame, company: str, s
 
 
 def last_n_statistics(payments: DataFrame, value: str, n: int = 20, row_id: str = "event_id",
-                      keys: tuple[str, ...] = ("account_id",), n_chunks: int = CHUNKS) -> DataFrame:
+                      keys: tuple[str, ...] = ("account_id",), n_chunks: int | None = CHUNKS) -> DataFrame:
     """Mean, spread, trend, z-score and mean gap over the previous ``n`` rows that carry ``value``.
 
     Rows are numbered per account by the chunked scan, then cut into blocks of n numbers; a

@@ -21,7 +21,7 @@ def _by_score(df: DataFrame, keys: list[str], score: str, label: str, weight: Co
 
 
 def auc(df: DataFrame, score: str, label: str, weight: Column | None = None, keys: list[str] | None = None,
-        n_chunks: int = CHUNKS) -> DataFrame:
+        n_chunks: int | None = CHUNKS) -> DataFrame:
     """Area under the ROC curve per key: the weighted rank sum, ties counted half."""
     keys = keys or []
     per = _by_score(df, keys, score, label, weight)
@@ -38,7 +38,7 @@ def auc_by_date(df: DataFrame, score: str, label: str, ts: str, digits: int = 2)
 
 
 def roc_points(df: DataFrame, score: str, label: str, weight: Column | None = None, keys: list[str] | None = None,
-               drop_collinear: bool = True, n_chunks: int = CHUNKS) -> DataFrame:
+               drop_collinear: bool = True, n_chunks: int | None = CHUNKS) -> DataFrame:
     """ROC curve: one row per threshold (score at or above it is positive), with fpr and tpr.
 
     ``drop_collinear`` removes inner points on a straight segment.
@@ -89,7 +89,7 @@ def classification_scores(df: DataFrame, label: str, predicted: str, weight: Col
                         ((recall + tnr) / 2).alias("balanced_accuracy"))
 
 
-def concordance(df: DataFrame, duration: str, event: str, risk: str, limit: int = 1000, n_chunks: int = CHUNKS) -> DataFrame:
+def concordance(df: DataFrame, duration: str, event: str, risk: str, limit: int = 1000, n_chunks: int | None = CHUNKS) -> DataFrame:
     """Concordance index: share of comparable pairs in which the earlier event has the higher risk.
 
     A pair is an event at t against a row lasting longer than t, or censored at t; tied risks

@@ -14,7 +14,7 @@ GRID = [i / 20 for i in range(21)]
 
 
 def describe(df: DataFrame, column: str, keys: list[str] | None = None, probs: list[float] | None = None,
-             n_chunks: int = CHUNKS) -> DataFrame:
+             n_chunks: int | None = CHUNKS) -> DataFrame:
     """Count, mean, std, min, exact quantiles (21-point grid) and max, per key or overall."""
     keys, probs = keys or [], probs or GRID
     c = F.col(column)

@@ -16,7 +16,7 @@ def _ranked(df: DataFrame, strata: list[str], id_col: str, seed: int, n_chunks:
 
 
 def stratified_split(df: DataFrame, strata: list[str], id_col: str, test_share: float, seed: int = 0,
-                     out: str = "split", n_chunks: int = CHUNKS) -> DataFrame:
+                     out: str = "split", n_chunks: int | None = CHUNKS) -> DataFrame:
     """Exactly floor(share * n) rows of each class become ``test``, in hash order."""
     ranked = _ranked(df, strata, id_col, seed, n_chunks)
     is_test = F.col("__rn") <= F.floor(F.col("__n") * F.lit(test_share) + 1e-9)
@@ -24,14 +24,14 @@ def stratified_split(df: DataFrame, strata: list[str], id_col: str, test_share:
 
 
 def stratified_folds(df: DataFrame, strata: list[str], id_col: str, k: int, seed: int = 0,
-                     out: str = "fold", n_chunks: int = CHUNKS) -> DataFrame:
+                     out: str = "fold", n_chunks: int | None = CHUNKS) -> DataFrame:
     """Fold number 0..k-1, dealt out in hash order inside each class."""
     ranked = _ranked(df, strata, id_col, seed, n_chunks)
     return ranked.withColumn(out, ((F.col("__rn") - 1) % k).cast("int")).drop("__mix", "__rn", "__n")
 
 
 def company_split(df: DataFrame, company: str, label: str, test_share: float = 0.25, seed: int = 0,
-                  n_chunks: int = CHUNKS) -> DataFrame:
+                  n_chunks: int | None = CHUNKS) -> DataFrame:
     """Split by company, stratified on its largest label; all rows of a company go together."""
     per = df.groupBy(company).agg(F.max(label).alias("__y"))
     assigned = stratified_split(per, ["__y"], company, test_share, seed, n_chunks=n_chunks)

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import month_key
-from ..operators import asof, calendar, labels, model, pipeline, profile, select, spine, splits, validate
+from ..operators import (
+    asof, calendar, labels, model, payment, pipeline, prefix, profile, select, spine, splits, validate,
+)
 
 
 def labelled_dataset(members: DataFrame, reports: DataFrame, start: date, stop: date, mode: str = "random",
@@ -33,6 +35,36 @@ def labelled_dataset(members: DataFrame, reports: DataFrame, start: date, stop:
     return out
 
 
+# Model columns of the ongoing-risk model.
+MEMBER_COLUMNS = ("days_since_incorp", "is_registered", "company_type", "mkyc_ind", "age_at_completion")
+CATEGORY_COLUMNS = ("applicant_id_type", "applicant_id_country_issue", "applicant_postcode", "section_description")
+TRANSACTION_COLUMNS = (
+    "avg_deposit", "avg_withdrawal", "max_deposit", "max_withdrawal", "pct_round_txns", "pct_unique_txns", "tester_pmt_cnt",
+    "cashtxns_latehrs", "cardpmt_wtd_pct", "fastpmt_wtd_pct", "ddebit_wtd_pct", "cardwtd_wtd_pct", "outpmt_wtd_pct",
+    "fastpmt_dep_pct", "cash_dep_pct", "inpmt_dep_pct", "fastpmt_beneficiaries", "fastpmt_benefactors", "cardpmt_acceptors",
+    "ddebit_beneficiaries", "deposit_wtd_frequency_ratio", "hmrc_txns_cnt", "xero_txns_cnt", "pos_atm_locations",
+    "card_pans_cnt", "high_card_pmts", "high_card_wtds", "high_fpmt_out", "high_pmt_out", "high_ddebit", "high_fpmt_in",
+    "max_cash_deposits", "high_pmt_in",
+)
+MANDATORY_COLUMNS = ("is_registered", "mkyc_ind", "event", "duration", "age_at_completion")
+
+
+def member_categories(df: DataFrame) -> DataFrame:
+    """Canonical spelling of the member categories and the area of the postcode."""
+    country = F.col("applicant_id_country_issue")
+    return df.withColumns({
+        "applicant_postcode": prefix.area_code("applicant_postcode"),
+        "applicant_id_type": payment.tidy_text("applicant_id_type", {"driving_license": "driving_licence"}),
+        "company_type": payment.tidy_text("company_type", {"private-limited-guarant-nsc": "private_limited_guarant_nsc"}),
+        "applicant_id_country_issue": F.when(country == "GB", "GBR").otherwise(country)})
+
+
+def fit_member_features(df: DataFrame, keep: list[str]) -> pipeline.FeaturePipeline:
+    """The feature pipeline of the model on a table with the columns listed above."""
+    return pipeline.fit_features(member_categories(df), ["days_since_incorp", *TRANSACTION_COLUMNS], ["age_at_completion"],
+                                 pipeline.RARE, ["is_registered", "mkyc_ind"], keep)
+
+
 class RiskModel:
     """Fitted features, selected columns and a calibrated probability of a report."""
 

@@ -194,3 +194,31 @@ WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1998-03-01' AND DATE '1998-05-31'"
 def lb14(t: Tables):
     p = t.orders.select(F.col("o_custkey").alias("company_id"), F.col("o_orderdate").cast("date").alias("evaluation_date"), F.col("o_totalprice").alias("prediction"))
     return transactions.prediction_history(p, date(1998, 3, 1), date(1998, 5, 31))
+
+
+# ---- random-day against first-day spines ------------------------------------------------------
+
+DAYS = "CAST(m + CAST(((((year(m) * 12 + month(m)) * 31) * 7919 + 7) % 1000003) % day(last_day(m)) AS INT) AS DATE)"
+
+
+@query("lb10_spine_mode_comparison", f"""WITH {v.MEMBERS}, {v.REPORTS}, months AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS DATE) AS m),
+cal AS (SELECT 'first' AS mode, m AS d FROM months UNION ALL SELECT 'random', {DAYS} FROM months),
+s AS (SELECT mode, company_id, d FROM cal JOIN members ON approved_at < d AND (is_rejected = 0 OR (is_rejected = 1 AND rejected_at > d))),
+l AS (SELECT s.mode, s.company_id, s.d, min(r.reported_at) AS f FROM s LEFT JOIN reports r ON s.company_id = r.company_id AND r.reported_at BETWEEN s.d AND s.d + INTERVAL 90 DAY GROUP BY s.mode, s.company_id, s.d)
+SELECT mode, count(*) AS n, count(DISTINCT company_id) AS companies, {R('avg(CAST(f IS NOT NULL AS INT))', 6)} AS event_rate, {R('avg(f - d)', 4)} AS mean_days,
+  {R('quantile_cont(f - d, 0.5)', 4)} AS median_days FROM l GROUP BY 1""")
+def lb10(t: Tables):
+    from ..operators import spine
+    from ..operators.chunks import attach_totals, exact_quantiles
+
+    parts = [spine.member_spine(_calendar(t, m, seed=7), v.members(t)).withColumn("mode", F.lit(m)) for m in ("first", "random")]
+    s = parts[0].unionByName(parts[1])
+    # a first day can be drawn as the random day: the join key keeps the modes apart
+    r = v.reports(t).select("company_id", "reported_at").crossJoin(F.broadcast(t.spark.createDataFrame([("first",), ("random",)], "mode string")))
+    key = F.concat_ws("|", "mode", "company_id")
+    d = labels.first_report_after(s.select(key.alias("company_id"), "timestamp", "mode"), r.select(key.alias("company_id"), "reported_at"))
+    d = d.withColumn("days", F.datediff("first_report_at", "timestamp"))
+    base = d.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("company_id").alias("companies"),
+                                 rnd(F.avg(F.col("first_report_at").isNotNull().cast("int")), 6).alias("event_rate"), rnd(F.avg("days"), 4).alias("mean_days"))
+    out = attach_totals(base, ["mode"], exact_quantiles(d, ["mode"], "days", [0.5], ["median_days"]))
+    return out.withColumn("median_days", rnd("median_days", 4))

@@ -117,28 +117,28 @@ def _pick(df, cols):
     return df.select("row_id", *[rnd(F.col(c).cast("double"), 6).alias(c) for c in cols])
 
 
-@query("gp1_gp4_balance", _sql(BALANCE_SQL))
+@query("gp1_gp4_balance", _sql(BALANCE_SQL), wide=True)
 def gp1(t: Tables):
     return _pick(_features(t), BALANCE_SQL)
 
 
-@query("gp5_requested_ratios", _sql(RATIO_SQL))
+@query("gp5_requested_ratios", _sql(RATIO_SQL), wide=True)
 def gp5(t: Tables):
     return _pick(_features(t), RATIO_SQL)
 
 
-@query("gp6_gp8_channels", f"WITH {F_SQL} SELECT row_id, {_argmax_sql(WITHDRAWAL_CHANNELS)} AS w_channel, {_argmax_sql(DEPOSIT_CHANNELS)} AS d_channel, {R(' + '.join(HIGH_VALUE_COUNTS), 4)} AS high_value FROM f")
+@query("gp6_gp8_channels", f"WITH {F_SQL} SELECT row_id, {_argmax_sql(WITHDRAWAL_CHANNELS)} AS w_channel, {_argmax_sql(DEPOSIT_CHANNELS)} AS d_channel, {R(' + '.join(HIGH_VALUE_COUNTS), 4)} AS high_value FROM f", wide=True)
 def gp6(t: Tables):
     return _features(t).select("row_id", F.col("payment_channel_most_used_for_withdrawals").alias("w_channel"), F.col("payment_channel_most_used_for_deposits").alias("d_channel"),
                                rnd("number_of_high_value_transactions_1y", 4).alias("high_value"))
 
 
-@query("gp9_gp12_recency", _sql(RECENCY_SQL))
+@query("gp9_gp12_recency", _sql(RECENCY_SQL), wide=True)
 def gp9(t: Tables):
     return _pick(_features(t), RECENCY_SQL)
 
 
-@query("gp13_gp26_ratios", _sql(DERIVED_SQL))
+@query("gp13_gp26_ratios", _sql(DERIVED_SQL), wide=True)
 def gp13(t: Tables):
     return _pick(_features(t), DERIVED_SQL)
 
@@ -169,7 +169,7 @@ SELECT row_id, {', '.join(f'{R(f"coalesce(({CHAIN_SQL[c]}), {payment.IMPUTE_CONS
   upper(coalesce(CASE WHEN member_id_country_issue = 'GB' THEN 'GBR' ELSE member_id_country_issue END, 'missing')) AS member_id_country_issue,
   CASE WHEN member_id_type = 'Passport' THEN 'PASSPORT' ELSE 'DRIVING_LICENCE' END AS member_id_type,
   CASE registered_company_type WHEN 'LTD' THEN 'LTD' WHEN 'Private-Limited-Guarant-NSC' THEN 'PRIVATE_LIMITED_GUARANT_NSC' ELSE 'MISSING' END AS registered_company_type,
-  upper(coalesce({_argmax_sql(DEPOSIT_CHANNELS)}, 'fast_payment')) AS d_channel FROM f, med""")
+  upper(coalesce({_argmax_sql(DEPOSIT_CHANNELS)}, 'fast_payment')) AS d_channel FROM f, med""", wide=True)
 def gp32(t: Tables):
     x = _features(t)
     model = encode.fit_imputer(x, {c: payment.IMPUTE_CONSTANTS[c] for c in payment.IMPUTE_CONSTANTS if c in x.columns}, list(payment.IMPUTE_MEDIANS))

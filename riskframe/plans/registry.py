@@ -20,14 +20,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(tables) -> DataFrame`` under ``name`` with the SQL it must equal."""
+def query(name: str, sql: str | None = None, wide: bool = False):
+    """Register ``fn(tables) -> DataFrame`` under ``name`` with the SQL it must equal.
+
+    ``wide`` runs it with the session profile for very wide projections.
+    """
 
     def add(fn):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             from ..session import prepare
 
-            return fn(Tables(prepare(spark), folder))
+            return fn(Tables(prepare(spark, wide), folder))
 
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")

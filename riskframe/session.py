@@ -13,15 +13,24 @@ REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # HotSpot does not compile methods above 8000 bytes; a wide projection fused into one such
-    # method would run interpreted. Past the limit Spark splits it into small methods instead.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings in ``REQUIRED`` to a running session."""
-    for key, value in REQUIRED.items():
+# HotSpot does not compile methods above 8000 bytes, so a very wide projection fused into one
+# method would run interpreted; past this limit Spark splits it into small methods instead.
+# Aggregations are better left fused, hence two profiles.
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+FUSED, SPLIT = "65535", "8000"
+
+
+def prepare(spark: SparkSession, wide: bool = False) -> SparkSession:
+    """Apply the settings in ``REQUIRED`` to a running session.
+
+    ``wide`` is for jobs dominated by projections of dozens of derived columns, such as the
+    payment features.
+    """
+    settings = REQUIRED | {METHOD_LIMIT: SPLIT if wide else FUSED}
+    for key, value in settings.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

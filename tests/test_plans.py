@@ -62,3 +62,35 @@ def test_payment_features_from_raw_columns(spark):
     out = m.transform(x, explain=True)
     assert dict(out.dtypes)["member_id_type"] == "double" and out.where("member_id_type is null").isEmpty()
     assert out.where("net_balance_indicator is null or model_explainability_features is null").isEmpty()
+    cols = payment_scoring.model_columns()
+    assert len(cols) == len(set(cols)) and set(payment_scoring.model_columns(False)) < set(cols)
+
+
+def test_onboarding_features(spark):
+    directors = '[{"firstname":"Ann","lastname":"Lee","dob":"1980-01-01","nationality":"IRL"},{"firstname":"Bo","lastname":"Ek","dob":"1970-01-01","nationality":"SWE"}]'
+    raw = spark.createDataFrame([("1", " ann ", "LEE", "1980-01-01", "UNKNOWN", directors, "62012,7", "SW1A 1AA", "EC1", '{"1": 4}', "x1@gmail.com", "2020-01-01",
+                                  "2020-01-05", " IOS ", " Retail ", "2025-01-01", None, "Best Bank", "a,b", None, "Passport", "full", "IE")],
+        "company_id string, applicant_id_firstname_rawdata string, applicant_id_lastname_rawdata string, applicant_dob_rawdata string, applicant_nationality_rawdata string, "
+        "directorstree string, company_sic_rawdata string, company_postcode_rawdata string, applicant_postcode_rawdata string, structurelevelwise string, applicant_email_rawdata string, "
+        "created_on string, approved_at string, applicant_device_type_rawdata string, company_icc_rawdata string, applicant_id_expiry_rawdata string, company_type_rawdata string, "
+        "company_trading_name_rawdata string, manual_approval_triggers_rawdata string, company_is_registered_rawdata int, applicant_id_type_rawdata string, applicant_id_subtype_rawdata string, "
+        "applicant_idcountry_issue_rawdata string")
+    countries = spark.createDataFrame([("IRL", "IE"), ("IE", "IE")], "any_code string, code string")
+    kinds = spark.createDataFrame([("passport", "FULL", "ie", "passport-ie")], "id_type string, id_subtype string, id_country string, id_value string")
+    r = new_company.onboarding_features(raw, countries, kinds, ["bank"]).collect()[0]
+    want = {"applicant_nationality_0": "IE", "applicant_nationality_1": None, "company_sic_0": "62012", "company_sic_1": "00007", "company_sic_2": None, "company_postcode": "SWA",
+            "applicant_postcode": "EC", "company_structurelevelwise_1": "3+", "company_directors_count": "2", "applicant_email_numeric": 1, "applicant_email_domain": "gmail.com",
+            "days_to_approval": 4, "applicant_device_type": "ios", "company_type": "SOLE-TRADER", "is_restricted_keyword_present": 1, "company_is_registered": 0,
+            "applicant_id_type": "passport-ie", "applicant_idcountry_issue": "IE"}
+    assert {k: r[k] for k in want} == want
+    assert 39 < r["applicant_age_at_completion"] < 41 and 4.9 < r["applicant_years_to_id_expiry"] < 5.1
+
+
+def test_member_features(spark):
+    cols = {**{c: 1.0 for c in ongoing_risk.TRANSACTION_COLUMNS}, "days_since_incorp": 5.0, "age_at_completion": 30.0, "is_registered": 1.0, "mkyc_ind": 0.0}
+    texts = {"company_type": "LTD", "applicant_id_type": "Driving_License", "applicant_id_country_issue": "GB", "applicant_postcode": "SW1A", "section_description": "x"}
+    df = spark.createDataFrame([(str(i), *cols.values(), *texts.values()) for i in range(5)],
+                               "company_id string, " + ", ".join(f"{c} double" for c in cols) + ", " + ", ".join(f"{c} string" for c in texts))
+    p = ongoing_risk.fit_member_features(df, ["company_id"])
+    out = p.transform(ongoing_risk.member_categories(df))
+    assert "applicant_id_country_issue_GBR" in out.columns and "applicant_postcode_SW" in out.columns and "applicant_id_type_driving_licence" in out.columns
