@@ -51,7 +51,8 @@ def cleared_transactions(events: DataFrame, start, stop, received: str, created:
 def with_company(transactions: DataFrame, accounts: DataFrame, companies: DataFrame, memberships: DataFrame) -> DataFrame:
     """Inner key chain account -> company -> membership, keys compared as text."""
     text = lambda df, c: df.withColumn(c, F.col(c).cast("string"))
-    return (transactions.join(text(accounts, "account_id"), "account_id").join(text(companies, "company_id"), "company_id")
+    keyed = text(text(accounts, "account_id"), "company_id")
+    return (transactions.join(keyed, "account_id").join(text(companies, "company_id"), "company_id")
             .join(memberships, "membership_id"))
 
 

@@ -18,7 +18,7 @@ def frequency_weights(df: DataFrame, company: str) -> DataFrame:
     """
     sizes = df.groupBy(company).agg(F.count(F.lit(1)).alias("__n"))
     mean_n = sizes.agg((F.sum("__n") / F.count(F.lit(1))).alias("__mean"))
-    joined = df.join(sizes, company).crossJoin(F.broadcast(mean_n))  # exactly one row
+    joined = df.join(sizes, company, "left").crossJoin(F.broadcast(mean_n))  # exactly one row
     return joined.select(*df.columns, (F.lit(1.0) / F.col("__n")).alias("w_inverse"),
                          (F.col("__mean") / F.col("__n")).alias("w_mean"))
 

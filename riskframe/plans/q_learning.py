@@ -109,11 +109,11 @@ def ft11(t: Tables):
 
 # ---- binning and selection -----------------------------------------------------------------
 
-EDGES20 = "(SELECT list_distinct(quantile_disc(x, [" + ", ".join(str(i / 20) for i in range(1, 20)) + "])) FROM d)"
+EDGES = "(SELECT list_distinct(quantile_disc(x, [" + ", ".join(str(i / 8) for i in range(1, 8)) + "])) FROM d)"
 
 
 @query("ft12_woe", f"""{S}, d AS (SELECT row_key, CASE WHEN row_key % 11 <> 0 THEN l_quantity END AS x, y FROM supervised),
-e AS (SELECT unnest({EDGES20}) AS edge), b AS (SELECT row_key, y, x, CASE WHEN x IS NOT NULL THEN (SELECT count(*) FROM e WHERE edge <= x) END AS bin FROM d),
+e AS (SELECT unnest({EDGES}) AS edge), b AS (SELECT row_key, y, x, CASE WHEN x IS NOT NULL THEN (SELECT count(*) FROM e WHERE edge <= x) END AS bin FROM d),
 c AS (SELECT bin, count(*) AS n, sum(y) AS s FROM b WHERE bin IS NOT NULL GROUP BY 1),
 av AS (SELECT i.bin AS i, j.bin AS j, (SELECT sum(s) / sum(n) FROM c k WHERE k.bin BETWEEN i.bin AND j.bin) AS a FROM c i JOIN c j ON i.bin <= j.bin),
 iso AS (SELECT k.bin, max(m) AS g FROM c k JOIN (SELECT i, kk.bin AS k, min(a) AS m FROM av JOIN c kk ON av.i <= kk.bin AND av.j >= kk.bin GROUP BY 1, 2) q ON q.k = k.bin GROUP BY 1),
@@ -121,7 +121,7 @@ tot AS (SELECT count(*) AS n, sum(y) AS s FROM d), mis AS (SELECT count(*) AS n,
 SELECT row_key, {R("CASE WHEN b.bin IS NULL THEN ln(((mis.n - mis.s) / (tot.n - tot.s)) / (mis.s / tot.s)) ELSE ln(((1 - g) / g) * (tot.s / (tot.n - tot.s))) END", 6)} AS x_encoded FROM tot, mis, b LEFT JOIN iso ON b.bin = iso.bin""")
 def ft12(t: Tables):
     d = _sup(t).select("row_key", "y", F.when(F.col("row_key") % 11 != 0, F.col("l_quantity")).alias("x"))
-    m = binning.fit_woe(d, ["x"], "y", prebins=20, accuracy=1_000_000)["x"]
+    m = binning.fit_woe(d, ["x"], "y", prebins=8, accuracy=1_000_000)["x"]
     return m.transform(d).select("row_key", rnd("x_encoded", 6).alias("x_encoded"))
 
 
@@ -247,12 +247,12 @@ def mt1(t: Tables):
     return a.select(rnd("positives", 3).alias("positives"), rnd("negatives", 3).alias("negatives"), rnd("auc", 6).alias("auc"))
 
 
-@query("mt1_auc_by_segment", f"{S}, {_auc_sql('l_linestatus', '1.0')} SELECT l_linestatus, positives, negatives, {R('auc', 6)} AS auc FROM a")
+@query("mt1_auc_by_segment", f"{S}, {_auc_sql('l_linestatus', 'CAST(1 AS DOUBLE)')} SELECT l_linestatus, positives, negatives, {R('auc', 6)} AS auc FROM a")
 def mt1_segment(t: Tables):
     return metrics.auc(_sup(t), "score", "y", keys=["l_linestatus"]).withColumn("auc", rnd("auc", 6))
 
 
-@query("mt1_auc_over_dates", f"{S}, d AS (SELECT * EXCLUDE (l_shipdate), CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM supervised), {_auc_sql('month', '1.0').replace('FROM supervised', 'FROM d')} "
+@query("mt1_auc_over_dates", f"{S}, d AS (SELECT * EXCLUDE (l_shipdate), CAST(date_trunc('month', l_shipdate) AS DATE) AS month FROM supervised), {_auc_sql('month', 'CAST(1 AS DOUBLE)').replace('FROM supervised', 'FROM d')} "
        f"SELECT {R('avg(round_even(auc, 2))', 5)} AS mean_auc, {R('stddev_pop(round_even(auc, 2))', 5)} AS std_auc, count(auc) AS dates FROM a")
 def mt1_dates(t: Tables):
     d = _sup(t).withColumn("month", F.trunc("l_shipdate", "month"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import curves, labels, prefix, profile, sequence, splits, tickets, validate
 from ..sources import names, readers, sinks
+from ..streaming.run import scratch
 from . import standins as v
 from .registry import Tables, query
 from .standins import R, rnd
@@ -27,11 +26,7 @@ def src1(t: Tables):
 
 
 def _scratch(t: Tables) -> str:
-    """Private folder below the shared checkpoint folder, or a temporary one in local tests."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/riskframe-{t.spark.sparkContext.applicationId}-{id(t)}"
-    return tempfile.mkdtemp(prefix="riskframe-")
+    return scratch(t.spark, "files")
 
 
 @query("src3_snk1_parquet_round_trip", f"SELECT c_mktsegment, count(*) AS n, {R('sum(c_acctbal)', 2)} AS balance FROM customer GROUP BY 1")
