@@ -112,7 +112,7 @@ def ft11(t: Tables):
 EDGES = "(SELECT list_distinct(quantile_disc(x, [" + ", ".join(str(i / 8) for i in range(1, 8)) + "])) FROM d)"
 
 
-@query("ft12_woe", f"""{S}, d AS (SELECT row_key, CASE WHEN row_key % 11 <> 0 THEN l_quantity END AS x, y FROM supervised),
+@query("ft12_woe", f"""{S}, d AS (SELECT row_key, CASE WHEN row_key % 11 <> 0 THEN l_quantity + 200 * l_discount END AS x, y FROM supervised),
 e AS (SELECT unnest({EDGES}) AS edge), b AS (SELECT row_key, y, x, CASE WHEN x IS NOT NULL THEN (SELECT count(*) FROM e WHERE edge <= x) END AS bin FROM d),
 c AS (SELECT bin, count(*) AS n, sum(y) AS s FROM b WHERE bin IS NOT NULL GROUP BY 1),
 av AS (SELECT i.bin AS i, j.bin AS j, (SELECT sum(s) / sum(n) FROM c k WHERE k.bin BETWEEN i.bin AND j.bin) AS a FROM c i JOIN c j ON i.bin <= j.bin),
@@ -120,7 +120,7 @@ iso AS (SELECT k.bin, max(m) AS g FROM c k JOIN (SELECT i, kk.bin AS k, min(a) A
 tot AS (SELECT count(*) AS n, sum(y) AS s FROM d), mis AS (SELECT count(*) AS n, sum(y) AS s FROM d WHERE x IS NULL)
 SELECT row_key, {R("CASE WHEN b.bin IS NULL THEN ln(((mis.n - mis.s) / (tot.n - tot.s)) / (mis.s / tot.s)) ELSE ln(((1 - g) / g) * (tot.s / (tot.n - tot.s))) END", 6)} AS x_encoded FROM tot, mis, b LEFT JOIN iso ON b.bin = iso.bin""")
 def ft12(t: Tables):
-    d = _sup(t).select("row_key", "y", F.when(F.col("row_key") % 11 != 0, F.col("l_quantity")).alias("x"))
+    d = _sup(t).select("row_key", "y", F.when(F.col("row_key") % 11 != 0, F.col("l_quantity") + 200 * F.col("l_discount")).alias("x"))
     m = binning.fit_woe(d, ["x"], "y", prebins=8, accuracy=1_000_000)["x"]
     return m.transform(d).select("row_key", rnd("x_encoded", 6).alias("x_encoded"))
 
