@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, families
 from ..operators.families import SHORT_HOURS
-from ..operators.rolling import Rolling, add_rolling
 from . import standins as v
 from .registry import Tables, query
 
