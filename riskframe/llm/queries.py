@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import mixing
+from . import mixing, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,8 @@ def query(name: str, sql: str | None = None):
 @query("op7_pivotal_mixing")
 def _op7(table):
     return mixing.report(mixing.decide(table("documents")))
+
+
+@query("op8_line_first_rules", quality_rules.REPORT_SQL)
+def _op8(table):
+    return quality_rules.measure(table("documents")).select(*quality_rules.REPORT)
