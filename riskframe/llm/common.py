@@ -26,14 +26,9 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-def text_key(text: Column, name: str) -> list[Column]:
-    """Two 64-bit hashes of a text, never null: a 128-bit identity of the text."""
-    return [F.xxhash64(F.lit(1), text).alias(f"{name}1"), F.xxhash64(F.lit(2), text).alias(f"{name}2")]
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
+def doc_keys(id_col: Column, text: Column) -> list[Column]:
+    """A 128-bit identity of a document, (id, text), never null."""
+    return [F.xxhash64(F.lit(1), id_col, text), F.xxhash64(F.lit(2), text, id_col)]
 
 
 def uniform(*parts) -> Column:

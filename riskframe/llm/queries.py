@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import mixing, quality_rules
+from . import decontamination, line_dedup, mixing, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,13 @@ def _op7(table):
 @query("op8_line_first_rules", quality_rules.REPORT_SQL)
 def _op8(table):
     return quality_rules.measure(table("documents")).select(*quality_rules.REPORT)
+
+
+@query("op4_line_windows", line_dedup.SQL)
+def _op4(table):
+    return line_dedup.dedup(table("documents").select("doc_id", "text"))
+
+
+@query("op1_template_decontamination")
+def _op1(table):
+    return decontamination.leaks(table("documents"), table("benchmark")).drop("k1", "k2")
