@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontamination, line_dedup, mixing, quality_rules
+from . import decontamination, language_id, line_dedup, mixing, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,12 @@ def _op4(table):
 @query("op1_template_decontamination")
 def _op1(table):
     return decontamination.leaks(table("documents"), table("benchmark")).drop("k1", "k2")
+
+
+@query("op3_language_families")
+def _op3(table):
+    docs = table("documents")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~held))
+    found = language_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
