@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontamination, language_id, line_dedup, mixing, quality_rules
+from . import decontamination, language_id, line_dedup, mixing, quality_model, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,11 @@ def _op3(table):
     model = language_id.fit(docs.where(~held))
     found = language_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_factorisation_machine")
+def _op6(table):
+    docs, labels = table("documents"), table("labels")
+    model = quality_model.fit(docs, labels.where(~quality_model.held_out(F.col("doc_id"))))
+    found = quality_model.score(docs.select("doc_id", "text", "n_chars", quality_model.held_out(F.col("doc_id")).alias("held_out")), model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
