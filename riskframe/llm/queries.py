@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontamination, language_id, line_dedup, mixing, quality_model, quality_rules
+from . import decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def _op6(table):
     model = quality_model.fit(docs, labels.where(~quality_model.held_out(F.col("doc_id"))))
     found = quality_model.score(docs.select("doc_id", "text", "n_chars", quality_model.held_out(F.col("doc_id")).alias("held_out")), model)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op5_probminhash")
+def _op5(table):
+    return near_dedup.classes(table("documents")).select("doc_id", "class_id", "class_size")
