@@ -31,6 +31,11 @@ def doc_keys(id_col: Column, text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(1), id_col, text), F.xxhash64(F.lit(2), text, id_col)]
 
 
+def text_key(text: Column, name: str) -> list[Column]:
+    """Two 64-bit hashes of a text, never null: a 128-bit identity of the text."""
+    return [F.xxhash64(F.lit(1), text).alias(f"{name}1"), F.xxhash64(text, F.lit(2)).alias(f"{name}2")]
+
+
 def uniform(*parts) -> Column:
     """A draw in [0, 1) fixed by the values of ``parts``."""
     cols = [p if isinstance(p, Column) else F.lit(p) for p in parts]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules
+from . import decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_dedup
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def _op6(table):
 @query("op5_probminhash")
 def _op5(table):
     return near_dedup.classes(table("documents")).select("doc_id", "class_id", "class_size")
+
+
+@query("op10_repeat_intervals")
+def _op10(table):
+    return suffix_dedup.dedup(table("documents"))
