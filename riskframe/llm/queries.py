@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_dedup
+from . import decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, surrogates
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def _op5(table):
 @query("op10_repeat_intervals")
 def _op10(table):
     return suffix_dedup.dedup(table("documents"))
+
+
+@query("op9_surrogates")
+def _op9(table):
+    return surrogates.replace(table("documents").select("doc_id", "text"))
