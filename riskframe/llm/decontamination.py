@@ -32,61 +32,65 @@ UNITS = (
     "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "dollar", "dollars", "euro", "euros",
     "cent", "cents", "percent", "degree", "degrees", "v", "w", "kw", "hz", "n", "j", "pa",
 )
-NAME = "\x01"  # marks a name
-NAME_PATTERN = r"(\p{Ll}[,;]? )(\p{Lu}\p{L}*)"
+NAME = "\x01"  # stands for a name, or marks one
+NAME_PATTERN = r"\p{Lu}(?<=\p{Ll}[,;]? .)\p{L}*"  # the upper-case letter is looked for first
+# Code points between words; control, ASCII, Latin-1 and general punctuation, ideographic space and stops.
+BETWEEN = r"[\x00\x02-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F]+"
+NUMBER, UNIT = 1, 3
 
 
-def _marked(text: Column) -> Column:
-    """Lower-case words with single spaces; names marked; numbers apart from letters."""
-    once = F.regexp_replace(text, NAME_PATTERN, "$1" + NAME + "$2")
-    twice = F.when(once.contains(NAME), F.regexp_replace(once, NAME_PATTERN, "$1" + NAME + "$2")).otherwise(once)
-    return F.lower(twice)
-
-
-def _numbers(text: Column) -> Column:
-    joined = F.regexp_replace(F.regexp_replace(text, r"([0-9])[.,:]([0-9])", "$1_$2"), r"([0-9])[.,:]([0-9])", "$1_$2")
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(joined, r"([0-9])(\p{L})", "$1 $2")).otherwise(text)
+def _words(text: Column, name: str) -> Column:
+    """Lower-case words, names replaced by ``name``; numbers keep inner points and stand apart from letters."""
+    t = F.lower(F.regexp_replace(text, NAME_PATTERN, name))
+    joined = F.regexp_replace(F.regexp_replace(t, r"([0-9])[.,:]([0-9])", "$1_$2"), r"([0-9])[.,:]([0-9])", "$1_$2")
+    t = F.when(text.rlike("[0-9]"), F.regexp_replace(joined, r"([0-9])(\p{L})", "$1 $2")).otherwise(t)
+    return F.array_remove(F.split(t, BETWEEN), "")
 
 
 def _is_number(w: Column) -> Column:
     return (w >= "0") & (w < ":")
 
 
-def template_windows(df: DataFrame, text_col: str, keep: list[Column], width: int = WIDTH) -> DataFrame:
-    """One row per window of ``width`` canonical words: the kept columns, ``i``, ``h``, ``slots``, ``literals``.
-
-    ``slots`` is null where the text has no placeholder.
-    """
-    d = df.where(F.col(text_col).isNotNull()).select(*keep, _marked(F.col(text_col)).alias("_t"))
-    d = d.withColumn("_t", _numbers(F.col("_t")))
-    d = d.withColumn("_w", F.array_remove(F.split("_t", r"[^\p{L}\p{N}_\x01]+"), "")).drop("_t").where(F.size("_w") >= width)
+def _hashes(words: str, number: Column) -> Column:
+    """Hashes of the words, with one value for all numbers and one for all units after a number."""
     units = F.array(*map(F.lit, UNITS))
 
     def canonical(w: Column, i: Column) -> Column:
-        return (
-            F.when(_is_number(w), F.lit(1).cast("long")).when(w.startswith(NAME), F.lit(2).cast("long"))
-            .when((i > 0) & _is_number(F.get("_w", i - 1)) & F.array_contains(units, w), F.lit(3).cast("long"))
-            .otherwise(F.xxhash64(w))
-        )
+        unit = (i > 0) & _is_number(F.get(words, i - 1)) & F.array_contains(units, w)
+        return F.when(_is_number(w), F.lit(NUMBER).cast("long")).when(unit, F.lit(UNIT).cast("long")).otherwise(F.xxhash64(w))
 
-    d = d.withColumn("_h", F.transform("_w", canonical))
-    d = d.withColumn("_any", F.exists("_h", lambda h: (h >= 1) & (h <= 3)))
+    return F.when(number, F.transform(words, canonical)).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
 
-    def window(_, i: Column) -> Column:
-        part = F.slice("_h", i + 1, width)
-        at = F.filter(F.sequence(i, i + width - 1), lambda p: (F.get("_h", p) >= 1) & (F.get("_h", p) <= 3))
-        slots = F.when(F.col("_any"), F.transform(at, lambda p: F.get("_w", p)))
-        return F.struct(i.alias("i"), F.xxhash64(part).alias("h"), slots.alias("slots"))
 
+def template_windows(df: DataFrame, text_col: str, keep: list[Column], width: int = WIDTH) -> DataFrame:
+    """One row per window of ``width`` canonical words: the kept columns, ``i`` and ``h``."""
+    text = F.col(text_col)
+    d = df.where(text.isNotNull()).select(*keep, text.rlike("[0-9]").alias("_n"), _words(text, NAME).alias("_w"))
+    names = [c for c in d.columns if c not in ("_n", "_w")]
+    d = d.where(F.size("_w") >= width).select(*names, _hashes("_w", F.col("_n")).alias("_h"))
     starts = F.slice("_h", 1, F.size("_h") - (width - 1))
-    rows = d.select(*[F.col(c) for c in d.columns if c not in ("_w", "_h", "_any")], F.explode(F.transform(starts, window)).alias("_x"))
-    return rows.select(*[c for c in rows.columns if c != "_x"], "_x.i", "_x.h", "_x.slots")
+    rows = d.select(*names, F.posexplode(F.transform(starts, lambda _, i: F.xxhash64(F.slice("_h", i + 1, width)))).alias("i", "h"))
+    return rows
+
+
+def with_words(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
+    """The kept columns, ``words`` (names marked) and ``slot`` (which of them are placeholders)."""
+    text = F.col(text_col)
+    d = df.where(text.isNotNull()).select(*keep, text.rlike("[0-9]").alias("_n"), _words(text, NAME + "$0").alias("words"))
+    names = [c for c in d.columns if c not in ("_n", "words")]
+    d = d.select(*names, "words", _hashes("words", F.col("_n")).alias("_h"))
+    return d.select(*names, "words", F.transform("words", lambda w, i: w.startswith(NAME) | F.get("_h", i).isin(NUMBER, UNIT)).alias("slot"))
+
+
+def _slots(i: Column, width: int) -> Column:
+    """Values of the placeholders among words i .. i + width - 1."""
+    at = F.filter(F.sequence(i, i + (width - 1)), lambda p: F.get("slot", p))
+    return F.transform(at, lambda p: F.get("words", p))
 
 
 def _widths(items: DataFrame, width: int) -> list[int]:
     """Widths in use: ``width``, and the lengths of items that are shorter; a handful at most."""
-    canonical = F.regexp_replace(_numbers(_marked(F.col("item_text"))), r"[^\p{L}\p{N}_\x01]+", " ")
-    n = F.least(F.size(F.array_remove(F.split(canonical, " "), "")), F.lit(width))
+    n = F.least(F.size(_words(F.col("item_text"), NAME)), F.lit(width))
     return sorted(r[0] for r in items.where(F.col("item_text").isNotNull()).select(n.alias("n")).distinct().collect() if r[0] >= SHORTEST)
 
 
@@ -96,29 +100,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     ``n_matched`` of the item's ``n_windows`` stand in the document in one run of positions;
     ``changed`` tells whether a slot has another value there. Null and empty texts on either side,
-    and items of fewer than five words, match nothing. Items that repeat an id are joined into one
+    items without id and items of fewer than five words match nothing. Items that repeat an id are joined into one
     set of windows; items that share a text each get their rows.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).distinct()
     k1, k2 = doc_keys(F.col(id_col), F.col(text_col))
     found = None
     for w in _widths(items, width):
-        keep = [F.col("item_id"), F.col("item_text")]
-        canonical = template_windows(items, "item_text", keep, w)
-        # within a sentence the item's first word may pass for a name
-        inside = template_windows(items.withColumn("inside", F.concat(F.lit("a "), "item_text")), "inside", keep, w)
-        inside = inside.where(F.col("i") > 0).withColumn("i", F.col("i") - 1)
-        sizes = canonical.groupBy("item_id", "item_text").agg(F.count("*").alias("n_windows"))
+        # within a sentence the item's first word may pass for a name: it is read both ways
+        both = items.withColumn("read", F.explode(F.array(F.struct(F.lit(0).alias("cut"), F.col("item_text").alias("text")),
+                                                          F.struct(F.lit(1).alias("cut"), F.concat(F.lit("a "), "item_text").alias("text")))))
+        both = both.select("item_id", F.xxhash64("item_id", "item_text").alias("item"), "read.cut", "read.text")
+        keep = [F.col("item_id"), F.col("item"), F.col("cut")]
+        side = template_windows(both, "text", keep, w).join(with_words(both, "text", keep), ["item_id", "item", "cut"])
+        side = side.where(F.col("i") >= F.col("cut")).select("item_id", "item", (F.col("i") - F.col("cut")).alias("ipos"), "h", _slots(F.col("i"), w).alias("islots"))
+        sizes = side.groupBy("item").agg((F.max("ipos") + 1).cast("long").alias("n_windows"))
         if w < width:  # a width for items of just that length
             sizes = sizes.where(F.col("n_windows") == 1)
-        literal = F.size(F.coalesce("slots", F.array().cast("array<string>"))) <= w - min(LITERALS, w - 1)
-        side = canonical.unionByName(inside).where(literal).dropDuplicates(["item_id", "item_text", "i", "h"]).join(sizes, ["item_id", "item_text"]).select(
-            F.xxhash64("item_id", "item_text").alias("item"), "item_id", "n_windows", F.col("i").alias("ipos"), "h", F.col("slots").alias("islots"))
+        side = side.where(F.size("islots") <= w - min(LITERALS, w - 1)).dropDuplicates(["item", "ipos", "h"]).join(sizes, "item")
         side = materialise(side, f"benchmark-{w}")
         few = side.count() <= broadcast_rows
         mine = template_windows(docs, text_col, [F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2")], w)
-        hits = mine.join(F.broadcast(side) if few else side, "h")
-        hits = hits.select("doc_id", "k1", "k2", "item_id", "item", "n_windows", (F.col("i") - F.col("ipos")).alias("diagonal"), "ipos", "slots", "islots", F.lit(w).alias("w"))
+        hits = mine.join(F.broadcast(side) if few else side, "h").select(
+            "doc_id", "k1", "k2", "i", "item_id", "item", "n_windows", (F.col("i") - F.col("ipos")).alias("diagonal"), "ipos", "islots", F.lit(w).alias("w"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         empty = items.limit(0).select(F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), "item_id")
@@ -126,12 +130,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             "doc_id", "k1", "k2", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_matched"), F.lit(False).alias("changed"))
     hits = materialise(found.distinct(), "leaks")
     run_key = ["doc_id", "k1", "k2", "item_id", "item", "n_windows", "w", "diagonal"]
-    pairs = hits.where(F.size(F.coalesce("islots", F.array().cast("array<string>"))) > 0).select(*run_key, F.explode(F.arrays_zip("islots", "slots")).alias("z"))
-    pairs = pairs.groupBy(*run_key, F.col("z.islots").alias("there")).agg(F.min("z.slots").alias("low"), F.max("z.slots").alias("high"))
+    plain = F.size("islots") == 0
+    runs = hits.groupBy(*run_key).agg(F.count_distinct("ipos").alias("n_matched"), F.count_distinct(F.when(plain, F.col("ipos"))).alias("n_plain"))
+    # the words of documents are read again only where a matched window has slots
+    open_ = hits.where(~plain)
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).join(open_.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    keyed = with_words(keyed.dropDuplicates(["k1", "k2"]), "text", [F.col("k1"), F.col("k2")])
+    here = F.transform(F.filter(F.sequence(F.lit(0), F.col("w") - 1), lambda o: F.get("slot", F.col("i") + o)), lambda o: F.get("words", F.col("i") + o))
+    pairs = open_.join(keyed, ["k1", "k2"]).select(*run_key, F.explode(F.arrays_zip(F.col("islots").alias("there"), here.alias("here"))).alias("z"))
+    pairs = pairs.groupBy(*run_key, F.col("z.there").alias("there")).agg(F.min("z.here").alias("low"), F.max("z.here").alias("high"))
     slots = pairs.groupBy(*run_key).agg(
         F.min(F.col("low") == F.col("high")).alias("consistent"), F.max((F.col("low") != F.col("there")) | (F.col("high") != F.col("there"))).alias("changed"))
-    plain = F.size(F.coalesce("islots", F.array().cast("array<string>"))) == 0
-    runs = hits.groupBy(*run_key).agg(F.count_distinct("ipos").alias("n_matched"), F.count_distinct(F.when(plain, F.col("ipos"))).alias("n_plain"))
     same = [runs[c].eqNullSafe(slots[c]) for c in run_key]
     joined = runs.join(slots, same, "left").select(*[runs[c] for c in run_key], "n_matched", "n_plain", "consistent", "changed")
     need = F.least(F.lit(run), F.col("n_windows"))

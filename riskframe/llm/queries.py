@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, surrogates
+from . import decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, surrogates, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,18 @@ def _op10(table):
 @query("op9_surrogates")
 def _op9(table):
     return surrogates.replace(table("documents").select("doc_id", "text"))
+
+
+MASKED = r"\d{9,}|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b"
+
+
+@query("op2_edit_aware_counts")
+def _op2(table):
+    """Tokens of every text, and again after long numbers, mail and IP addresses are masked."""
+    docs = table("documents").select("doc_id", "text")
+    count = token_counts.Counter(docs.sparkSession)
+    trees = token_counts.build(docs, count).withColumn("n_tokens", token_counts.total("tree"))
+    trees = trees.withColumn("edits", token_counts.replace_edits(F.col("text"), MASKED, "[hidden]"))
+    edited = token_counts.apply(trees, count, "edits")
+    return edited.select("doc_id", "n_tokens", F.size("edits").cast("long").alias("n_edits"), token_counts.total("tree").alias("n_tokens_edited"),
+                         F.col("encoded").cast("long").alias("n_chars_encoded"))
