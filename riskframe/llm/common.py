@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_groups(parts: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches ordered by ``keys`` put together to frames of at least ``rows`` rows that end with a group."""
+    held: list[pd.DataFrame] = []
+    size = 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= rows:
+            every = pd.concat(held, ignore_index=True)
+            same = np.ones(len(every), bool)
+            for k in keys:
+                same &= (every[k] == every[k].iloc[-1]).to_numpy()
+            cut = int(np.argmax(same))  # the last group may go on
+            held, size = [every.iloc[cut:]], len(every) - cut
+            if cut:
+                yield every.iloc[:cut].reset_index(drop=True)
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that ``df`` does not have, made from the wanted ones."""
     taken = {c.lower() for c in df.columns}

@@ -124,16 +124,18 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lan
         model.languages.setdefault(r["family"], []).append(r["lang"])
     model.languages = {f: sorted(names) for f, names in sorted(model.languages.items())}
     model.families = list(model.languages)
-    data = rows.select("lang", "family", array_to_vector("x").alias("features"))
+    # the sample is bounded: a few partitions make short iterations
+    data = rows.select("lang", "family", array_to_vector("x").alias("features")).coalesce(4).persist()
     if len(model.families) > 1:
         number = F.create_map(*[F.lit(v) for i, f in enumerate(model.families) for v in (f, float(i))])
-        lr = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=50).fit(data.select("features", number[F.col("family")].alias("label")))
+        lr = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=25).fit(data.select("features", number[F.col("family")].alias("label")))
         model.family_weights, model.family_bias = lr.coefficientMatrix.toArray().T.copy(), lr.interceptVector.toArray()
     for names in model.languages.values():
         for a, c in combinations(names, 2):
             pair = data.where(F.col("lang").isin(a, c)).select("features", (F.col("lang") == c).cast("double").alias("label"))
-            svm = LinearSVC(regParam=1e-4, maxIter=40).fit(pair)
+            svm = LinearSVC(regParam=1e-4, maxIter=25).fit(pair)
             model.pairs[a, c] = svm.coefficients.toArray(), float(svm.intercept)
+    data.unpersist()
     return model
 
 

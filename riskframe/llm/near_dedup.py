@@ -7,15 +7,17 @@ next arrival would come after the latest of the registers. Two texts agree in a
 probability Jaccard similarity of their sets, which for unrepeated shingles is the Jaccard
 similarity.
 
-Registers in bands give buckets. In a bucket all members are compared with one of them, its
-leader; verified links make components; and only where a bucket still spans several components
-are its other pairs looked at: all across components in a small bucket, and in a large one after
-splitting it by every other band. So a bucket of near copies costs as many comparisons as
-members, and no pair that shares a bucket stays undecided.
-
-A link needs a similarity of ``THRESHOLD`` on the texts themselves, by Jaccard or by probability
-Jaccard. Exact copies are one node throughout. With ``BANDS`` bands of ``ROWS`` registers a pair at
-0.8 is missed with probability below 0.0001.
+Registers in bands give buckets. Every text gets a rank, the number of texts it meets in its
+buckets; in each bucket all members are compared with the one of highest rank, the leader, which
+in a group of near copies is the text closest to all. Verified links make components. Only where a
+bucket still spans several components are its other pairs looked at: the members of one leader's
+open buckets form a block, cut into tiles of at most two times ``TILE`` texts, and a tile reports
+no more links than it has texts. So a group of near copies costs as many comparisons as members
+unless its similarities straddle the threshold, and no pair that shares a bucket stays undecided.
+
+A link needs a Jaccard similarity of ``THRESHOLD`` of the shingles themselves. Exact copies are one
+node throughout. With ``BANDS`` bands of ``ROWS`` registers a pair at 0.8 is missed with probability
+below 0.0001.
 """
 
 from __future__ import annotations
@@ -28,13 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling_hash as rh
-from .common import free_name, materialise
+from .common import free_name, materialise, whole_groups
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
-SMALL = 64  # texts of a bucket whose pairs are looked at without splitting it
-DEPTH = 3
+TILE = 512
 
 U = np.uint64
 _FACTORS = [U(f | 1) for f in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -98,24 +99,10 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of Jaccard and probability Jaccard of two sorted weighted sets (hashes, counts)."""
-    every = np.union1d(a[0], b[0])
-    w, v = np.zeros(len(every)), np.zeros(len(every))
-    w[np.searchsorted(every, a[0])] = a[1]
-    v[np.searchsorted(every, b[0])] = b[1]
-    both = (w > 0) & (v > 0)
-    if not len(every) or not both.any():
-        return 0.0
-    plain = both.sum() / len(every)
-    ratio = np.where(v > 0, w / np.where(v > 0, v, 1), np.inf)
-    order = np.argsort(ratio, kind="stable")
-    r, ws, vs = ratio[order], w[order], v[order]
-    at = np.searchsorted(r, r, side="left")  # those before have a smaller ratio
-    below = np.concatenate([[0], np.cumsum(vs)])[at]
-    above = ws.sum() - np.concatenate([[0], np.cumsum(ws)])[at]
-    ok = both[order]
-    return max(float(plain), float((1 / (above[ok] / ws[ok] + below[ok] / vs[ok])).sum()))
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of hashes, each without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def _node(text: Column) -> Column:
@@ -137,20 +124,61 @@ def _bands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-    def of(node: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
-        if node not in seen:
-            if len(seen) > 100:
-                seen.clear()
-            seen[node] = shingles([text])[1:]
-        return seen[node]
-
+    leader, own = None, np.empty(0, np.uint64)
     for part in parts:
-        ok = [similarity(of(a, s), shingles([t])[1:]) >= THRESHOLD for a, s, t in zip(part["a"], part["a_text"], part["b_text"])]
+        ok = []
+        for a, s, t in zip(part["a"], part["a_text"], part["b_text"]):
+            if a != leader:
+                leader, own = a, shingles([s])[1]
+            ok.append(jaccard(own, shingles([t])[1]) >= THRESHOLD)
         yield part.loc[ok, ["a", "b"]]
 
 
+def _tile(rows: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    """Links that join components among the texts of a tile; between its two chunks if it has two."""
+    n = len(rows)
+    doc, h, _ = shingles(list(rows["text"]))
+    size = np.bincount(doc, minlength=n)
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    doc, column = doc[keep], np.unique(column[keep], return_inverse=True)[1]
+    shared = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    doc, column = doc[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        some = slice(*np.searchsorted(column, [at, at + 2048]))
+        m = np.zeros((n, 2048), np.float32)
+        m[doc[some], column[some] - at] = 1
+        shared += m @ m.T
+    label = pd.factorize(rows["label"])[0]
+    good = (shared >= THRESHOLD * (size[:, None] + size[None, :] - shared) - 1e-3) & (label[:, None] != label[None, :])
+    if rows["i"].iloc[0] != rows["j"].iloc[0]:
+        chunk = rows["chunk"].to_numpy()
+        good &= chunk[:, None] != chunk[None, :]
+    parent = list(range(int(label.max()) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out, node = [], list(rows["node"])
+    for x, y in zip(*np.nonzero(np.triu(good, 1))):
+        a, b = root(label[x]), root(label[y])
+        s = int(shared[x, y])
+        if a != b and s >= THRESHOLD * (int(size[x]) + int(size[y]) - s):
+            parent[a] = b
+            out.append((node[x], node[y]))
+    return out
+
+
+def _tiles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in whole_groups(parts, ["a", "i", "j"], TILE):
+        links = [x for _, tile in rows.groupby(["a", "i", "j"], sort=False) for x in _tile(tile)]
+        yield pd.DataFrame(links, columns=["a", "b"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts are similar enough."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -184,40 +212,32 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def _starred(rows: DataFrame) -> DataFrame:
-    """Pairs of every member of a bucket (h, node) with its smallest member."""
-    leaders = rows.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("h", "a")
-    return rows.join(leaders, "h").where("node != a").select("a", F.col("node").alias("b")).distinct()
-
-
 def classes_of_texts(texts: DataFrame) -> DataFrame:
     """(node, label) of texts that have a near copy, from (node, text); see the module's text."""
     found = texts.mapInPandas(_bands, "node binary, bands array<long>").groupBy("node").agg(F.first("bands").alias("bands"))
-    found = materialise(found, "near-bands")
-    rows = found.select("node", F.explode("bands").alias("h"))
-    links = _verified(materialise(_starred(rows), "near-pairs"), texts)
+    rows = materialise(found, "near-bands").select("node", F.explode("bands").alias("h"))
+    sizes = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(rows.join(sizes, "h").select("h", "node", "n"), "near-shared")
+    rank = shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("rank"))
+    leaders = shared.join(rank, "node").groupBy("h").agg(F.max(F.struct("rank", "node")).alias("top")).select("h", F.col("top.node").alias("a"))
+    led = materialise(shared.join(leaders, "h").select("h", "node", "n", "a"), "near-led")
+    pairs = led.where("node != a").select("a", F.col("node").alias("b")).distinct()
+    links = _verified(materialise(pairs, "near-pairs"), texts)
     labels = components(links)
-    depth = 1
-    while True:
-        named = rows.join(labels, "node", "left").select("h", "node", F.coalesce("label", "node").alias("label"))
-        mixed = named.groupBy("h").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = mixed.where("low < high and n > 2").select("h", "n")  # in a pair the leader has met all
-        open_ = materialise(named.join(mixed, "h"), "near-open")
-        large = open_.where(F.col("n") > SMALL) if depth < DEPTH else open_.limit(0)
-        small = open_.where(F.col("n") <= SMALL) if depth < DEPTH else open_
-        if not open_.take(1):
-            return labels
-        one, two = small.alias("x"), small.alias("y")
-        across = one.join(two, (F.col("x.h") == F.col("y.h")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-        pairs = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        rows = large.join(found, "node").select("node", "h", F.explode("bands").alias("g")).where("g != h")
-        rows = materialise(rows.select("node", F.xxhash64("h", "g").alias("h")), "near-split")
-        pairs = materialise(pairs.union(_starred(rows)).distinct(), "near-pairs")
-        if not pairs.take(1):
-            return labels
-        links = links.union(_verified(pairs, texts))
-        labels = components(links)
-        depth += 1
+
+    named = led.where("n > 2").join(labels, "node", "left").select("h", "node", "a", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
+    blocks = materialise(named.join(mixed, "h").select("a", "node", "label").distinct(), "near-blocks")
+    if not blocks.take(1):
+        return labels
+    tiles = blocks.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    members = blocks.join(tiles, "a").withColumn("chunk", F.pmod(F.hash("node"), "tiles"))
+    members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    members = members.select("a", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "label")
+    own = materialise(texts.join(blocks.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    tiled = members.join(own, "node").repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    more = materialise(tiled.mapInPandas(_tiles, "a binary, b binary"), "near-more")
+    return components(links.union(more)) if more.take(1) else labels
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling_hash as rh
-from .common import materialise, text_key
+from .common import materialise, text_key, whole_groups
 
 LENGTH = 200
 ANCHOR = 32
@@ -239,27 +239,11 @@ _EMITTED = "k1 long, k2 long, kind string, n_removed long, n_spans long, sha str
 
 def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Covered spans from contexts that arrive ordered by anchor; whole anchors are compared at a time."""
-    held: list[pd.DataFrame] = []
-
-    def done(rows: pd.DataFrame) -> pd.DataFrame:
+    for rows in whole_groups(parts, ["anchor"], BATCH):
         spans = maximal_repeats(rows["anchor"].to_numpy(), list(rows["data"]))
         out = [(k1, k2, start + a, start + b) for k1, k2, start, compare, found in
                zip(rows["k1"], rows["k2"], rows["start"], rows["compare"], spans) if compare for a, b in merged(found)]
-        return pd.DataFrame(out, columns=["k1", "k2", "first", "last"])
-
-    size = 0
-    for part in parts:
-        held.append(part)
-        size += len(part)
-        if size >= BATCH:
-            rows = pd.concat(held, ignore_index=True)
-            anchors = rows["anchor"].to_numpy()
-            cut = int(np.argmax(anchors == anchors[-1]))  # the last anchor may go on
-            held, size = [rows.iloc[cut:]], len(rows) - cut
-            if cut:
-                yield done(rows.iloc[:cut])
-    if held:
-        yield done(pd.concat(held, ignore_index=True))
+        yield pd.DataFrame(out, columns=["k1", "k2", "first", "last"])
 
 
 def _emit_strings(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
