@@ -77,13 +77,16 @@ def running(
 
     ``aggs`` maps an output name to (kind, column), kind one of sum, count, min, max, last
     (last non-null). ``inclusive`` counts the current row. The order must be total, since
-    frames are by row, and keys must not be null. ``chunk_col`` is the numeric leading order column used for chunking
+    frames are by row; null keys form groups like other values. ``chunk_col`` is the numeric leading order column used for chunking
     (default: ``order[0]``, which must then be an ascending numeric column name).
     """
     chunk_col = chunk_col or order[0]
+    own_keys = [f"__key{i}" for i in range(len(keys))]
+    df_columns = df.columns
+    df = df.select("*", *[F.struct(F.col(k)).alias(c) for k, c in zip(keys, own_keys)])  # a struct is never null, whatever it holds
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     chunked = with_chunk(df, chunk_col, split_points(df, chunk_col, chunk_count(df, n_chunks)))
-    inside = W.partitionBy(*keys, "__chunk").orderBy(*order_cols).rowsBetween(
+    inside = W.partitionBy(*own_keys, "__chunk").orderBy(*order_cols).rowsBetween(
         W.unboundedPreceding, 0 if inclusive else -1
     )
     rows = chunked.select(
@@ -96,7 +99,7 @@ def running(
         return _in_chunk(kind, value)
 
     carried_keys = [f"__k{i}" for i in range(len(keys))]
-    totals = chunked.groupBy(*[F.col(k).alias(c) for k, c in zip(keys, carried_keys)],
+    totals = chunked.groupBy(*[F.col(k).alias(c) for k, c in zip(own_keys, carried_keys)],
                              F.col("__chunk").alias("__c")).agg(
         *[total(kind, value).alias(f"__t_{name}") for name, (kind, value) in aggs.items()]
     )
@@ -111,7 +114,7 @@ def running(
         carry = F.broadcast(carry)  # one row per chunk, at most n_chunks rows
     # plain equality keeps the hash layout of the window, so the rows are not shuffled again
     cond = reduce(lambda a, b: a & b,
-                  [F.col(x) == F.col(y) for x, y in zip([*keys, "__chunk"], [*carried_keys, "__c"])])
+                  [F.col(x) == F.col(y) for x, y in zip([*own_keys, "__chunk"], [*carried_keys, "__c"])])
     joined = rows.join(carry, cond, "left")
 
     def combine(name: str, kind: str) -> Column:
@@ -122,7 +125,7 @@ def running(
             return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b)
         return {"min": F.least, "max": F.greatest, "last": F.coalesce}[kind](a, b)
 
-    return joined.select(*df.columns, *[combine(name, kind).alias(name) for name, (kind, _) in aggs.items()])
+    return joined.select(*df_columns, *[combine(name, kind).alias(name) for name, (kind, _) in aggs.items()])
 
 
 def row_numbers(df: DataFrame, keys: list[str], order: list[str | Column], out: str = "rn",

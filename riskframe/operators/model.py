@@ -17,7 +17,24 @@ from ..functions.scalars import risk_level
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "__features") -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="skip").transform(df)
+    """Feature vectors for a fit; a null or NaN feature raises, so no row is left out unseen."""
+    return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="error").transform(df)
+
+
+def complete(features: list[str]) -> Column:
+    """Whether a row has all features."""
+    ok = F.lit(True)
+    for f in features:
+        ok = ok & F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double"))
+    return ok
+
+
+def _for_scoring(df: DataFrame, features: list[str]) -> DataFrame:
+    """All rows with vectors and ``__complete``; missing features stand as 0 and their score is nulled."""
+    filled = df.withColumn("__complete", complete(features))
+    named = [f"__f{i}" for i in range(len(features))]
+    filled = filled.withColumns({n: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for n, f in zip(named, features)})
+    return VectorAssembler(inputCols=named, outputCol="__features").transform(filled)
 
 
 def fit_logistic(df: DataFrame, features: list[str], label: str, weight: str | None = None, c: float = 1.0,
@@ -41,8 +58,10 @@ def importance(model: LogisticRegressionModel, features: list[str], df: DataFram
 
 
 def score_logistic(model: LogisticRegressionModel, df: DataFrame, features: list[str], out: str = "probability") -> DataFrame:
-    scored = model.transform(assemble(df, features))
-    return scored.select(*df.columns, F.get(vector_to_array(F.col("probability")), F.lit(1)).alias(out))
+    """Every row with its probability, null where a feature is missing."""
+    scored = model.setProbabilityCol("__probability").setRawPredictionCol("__raw").setPredictionCol("__prediction").transform(_for_scoring(df, features))
+    p = F.get(vector_to_array(F.col("__probability")), F.lit(1))
+    return scored.select(*df.columns, F.when(F.col("__complete"), p).alias(out))
 
 
 def logistic_expression(coefficients: dict[str, float], intercept: float) -> Column:
@@ -95,9 +114,10 @@ def fit_survival_regression(df: DataFrame, features: list[str], duration: str, e
 
 
 def survival_probability(model: AFTSurvivalRegressionModel, df: DataFrame, features: list[str], horizon: float, out: str = "survival") -> DataFrame:
-    """Weibull survival at the horizon: exp(-(t / lambda)^(1 / scale))."""
-    p = model.setPredictionCol("__lambda").transform(assemble(df, features))
-    return p.select(*df.columns, F.exp(-F.pow(F.lit(horizon) / F.col("__lambda"), F.lit(1.0 / model.scale))).alias(out))
+    """Weibull survival at the horizon: exp(-(t / lambda)^(1 / scale)); null where a feature is missing."""
+    p = model.setPredictionCol("__lambda").transform(_for_scoring(df, features))
+    s = F.exp(-F.pow(F.lit(horizon) / F.col("__lambda"), F.lit(1.0 / model.scale)))
+    return p.select(*df.columns, F.when(F.col("__complete"), s).alias(out))
 
 
 def rate_predictions(df: DataFrame, survival: str = "survival", low: float = 0.005, high: float = 0.01, out: str = "risk_rating") -> DataFrame:

@@ -19,26 +19,111 @@ FILL_ONE = (
 )
 
 
+# Columns filled with zero before the ratios: account, counterparty and one-year measures.
+FILL_ZERO = (
+    "rolling_sum_of_deposits_on_account_2h",
+    "rolling_sum_of_deposits_on_account_4h",
+    "rolling_sum_of_deposits_on_account_8h",
+    "rolling_sum_of_deposits_on_account_12h",
+    "rolling_sum_of_deposits_on_account_24h",
+    "rolling_sum_of_deposits_on_account_48h",
+    "rolling_sum_of_withdrawals_on_account_2h",
+    "rolling_sum_of_withdrawals_on_account_4h",
+    "rolling_sum_of_withdrawals_on_account_8h",
+    "rolling_sum_of_withdrawals_on_account_12h",
+    "rolling_sum_of_withdrawals_on_account_24h",
+    "rolling_sum_of_withdrawals_on_account_48h",
+    "rolling_sum_of_incoming_payments_on_account_2h",
+    "rolling_sum_of_incoming_payments_on_account_4h",
+    "rolling_sum_of_incoming_payments_on_account_8h",
+    "rolling_sum_of_incoming_payments_on_account_12h",
+    "rolling_sum_of_incoming_payments_on_account_24h",
+    "rolling_sum_of_incoming_payments_on_account_48h",
+    "rolling_sum_of_outgoing_payments_on_account_2h",
+    "rolling_sum_of_outgoing_payments_on_account_4h",
+    "rolling_sum_of_outgoing_payments_on_account_8h",
+    "rolling_sum_of_outgoing_payments_on_account_12h",
+    "rolling_sum_of_outgoing_payments_on_account_24h",
+    "rolling_sum_of_outgoing_payments_on_account_48h",
+    "rolling_sum_of_withdrawals_to_counter_party_2h",
+    "rolling_mean_of_withdrawals_to_counter_party_2h",
+    "rolling_max_of_withdrawals_to_counter_party_2h",
+    "rolling_min_of_withdrawals_to_counter_party_2h",
+    "rolling_count_of_payments_to_counter_party_2h",
+    "rolling_sum_of_withdrawals_to_counter_party_abv_thresh_1000_2h",
+    "rolling_sum_of_withdrawals_value_to_counter_party_abv_thresh_1000_2h",
+    "rolling_sum_of_deposits_from_counter_party_2h",
+    "rolling_mean_of_deposits_from_counter_party_2h",
+    "rolling_max_of_deposits_from_counter_party_2h",
+    "rolling_min_of_deposits_from_counter_party_2h",
+    "rolling_count_of_payments_from_counter_party_2h",
+    "rolling_sum_of_deposits_to_counter_party_abv_thresh_1000_2h",
+    "rolling_sum_of_deposits_value_to_counter_party_abv_thresh_1000_2h",
+    "rolling_sum_of_withdrawals_to_counter_party_48h",
+    "rolling_mean_of_withdrawals_to_counter_party_48h",
+    "rolling_max_of_withdrawals_to_counter_party_48h",
+    "rolling_min_of_withdrawals_to_counter_party_48h",
+    "rolling_count_of_payments_to_counter_party_48h",
+    "rolling_sum_of_withdrawals_to_counter_party_abv_thresh_1000_48h",
+    "rolling_sum_of_withdrawals_value_to_counter_party_abv_thresh_1000_48h",
+    "rolling_sum_of_deposits_from_counter_party_48h",
+    "rolling_mean_of_deposits_from_counter_party_48h",
+    "rolling_max_of_deposits_from_counter_party_48h",
+    "rolling_min_of_deposits_from_counter_party_48h",
+    "rolling_count_of_payments_from_counter_party_48h",
+    "rolling_sum_of_deposits_to_counter_party_abv_thresh_1000_48h",
+    "rolling_sum_of_deposits_value_to_counter_party_abv_thresh_1000_48h",
+    "rolling_sum_of_withdrawals_to_counter_party_60d",
+    "rolling_mean_of_withdrawals_to_counter_party_60d",
+    "rolling_max_of_withdrawals_to_counter_party_60d",
+    "rolling_min_of_withdrawals_to_counter_party_60d",
+    "rolling_count_of_payments_to_counter_party_60d",
+    "rolling_sum_of_withdrawals_to_counter_party_abv_thresh_1000_60d",
+    "rolling_sum_of_withdrawals_value_to_counter_party_abv_thresh_1000_60d",
+    "rolling_sum_of_deposits_from_counter_party_60d",
+    "rolling_mean_of_deposits_from_counter_party_60d",
+    "rolling_max_of_deposits_from_counter_party_60d",
+    "rolling_min_of_deposits_from_counter_party_60d",
+    "rolling_count_of_payments_from_counter_party_60d",
+    "rolling_sum_of_deposits_to_counter_party_abv_thresh_1000_60d",
+    "rolling_sum_of_deposits_value_to_counter_party_abv_thresh_1000_60d",
+    "new_payee_count_30mins",
+    "new_payee_count_2h",
+    "new_payee_count_48h",
+    "average_deposit_value_1y",
+    "max_deposit_value_1y",
+    "average_withdrawal_value_60d",
+    "average_withdrawal_value_1y",
+    "max_withdrawal_value_1y",
+    "number_of_tester_payments_24h",
+    "number_of_withdrawals_over_threshold_60d",
+    "number_of_accounts_with_the_same_payee",
+    "number_of_payments_outside_9am_to_10pm_60d",
+    "number_of_high_outgoing_fastpayments_on_account_48h",
+    "number_of_high_outgoing_fastpayments_on_account_60d",
+    "payment_initiated_hour_max_48h",
+    "payment_initiated_hour_min_48h",
+    "percentage_cardpayments_of_all_withdrawals_1y",
+    "percentage_fastpayments_of_all_withdrawals_1y",
+    "percentage_directdebits_of_all_withdrawals_1y",
+    "percentage_cardwithdrawals_of_all_withdrawals_1y",
+    "percentage_outpayments_of_all_withdrawals_1y",
+    "percentage_fastpayments_of_all_deposits_1y",
+    "percentage_cashdeposits_of_all_deposits_1y",
+    "percentage_inpayments_of_all_deposits_1y",
+    "number_of_high_card_payments_on_account_1y",
+    "number_of_high_card_withdrawals_on_account_1y",
+    "number_of_high_outgoing_fastpayments_on_account_1y",
+    "number_of_high_outpayments_on_account_1y",
+    "number_of_high_directdebits_on_account_1y",
+    "number_of_high_incoming_fastpayments_on_account_1y",
+    "number_of_maximum_cash_deposits_on_account_1y",
+    "number_of_high_inpayments_on_account_1y",
+)
+
+
 def fill_zero_columns() -> list[str]:
-    """Columns filled with zero before the ratios: account, counterparty and one-year measures."""
-    cols = [f"rolling_sum_of_{flow}_on_account_{h}h" for flow in
-            ("deposits", "withdrawals", "incoming_payments", "outgoing_payments") for h in HOURS]
-    for w in ("2h", "48h", "60d"):
-        for flow, way in (("withdrawals", "to"), ("deposits", "from")):
-            cols += [f"rolling_{a}_of_{flow}_{way}_counter_party_{w}" for a in ("sum", "mean", "max", "min")]
-            cols.append(f"rolling_count_of_payments_{way}_counter_party_{w}")
-            cols += [f"rolling_sum_of_{flow}_{kind}to_counter_party_abv_thresh_1000_{w}" for kind in ("", "value_")]
-    cols += [f"new_payee_count_{w}" for w in ("30mins", "2h", "48h")]
-    # The remaining names follow no rule.
-    cols += [
-        "average_deposit_value_1y", "max_deposit_value_1y", "average_withdrawal_value_60d",
-        "average_withdrawal_value_1y", "max_withdrawal_value_1y", "number_of_tester_payments_24h",
-        "number_of_withdrawals_over_threshold_60d", "number_of_accounts_with_the_same_payee",
-        "number_of_payments_outside_9am_to_10pm_60d", "number_of_high_outgoing_fastpayments_on_account_48h",
-        "number_of_high_outgoing_fastpayments_on_account_60d", "payment_initiated_hour_max_48h",
-        "payment_initiated_hour_min_48h", *WITHDRAWAL_CHANNELS, *DEPOSIT_CHANNELS, *HIGH_VALUE_COUNTS,
-    ]
-    return cols
+    return list(FILL_ZERO)
 
 
 # Channel shares in tie-break order, and the high-value counts.

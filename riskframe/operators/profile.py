@@ -38,8 +38,8 @@ def weighted_std(x: Column, w: Column) -> Column:
 def level_shares(df: DataFrame, column: str) -> DataFrame:
     """Count and percent share of each level, rounded half-even to 2 digits."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(W.partitionBy(F.lit(0)))  # one row per level
-    return counts.select(column, "n", F.bround(F.col("n") * 100 / total, 2).alias("pct"))
+    total = df.agg(F.count(F.lit(1)).alias("__total"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(column, "n", F.bround(F.col("n") * 100 / F.col("__total"), 2).alias("pct"))
 
 
 def class_profile(df: DataFrame, label: str, columns: list[str]) -> DataFrame:

@@ -73,14 +73,15 @@ def add_rolling(df: DataFrame, keys: list[str], ts: str, measures: list[Rolling]
                       for h in windows}
 
     pos = micros(ts)
-    base = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), *keys,
+    own_keys = [f"__key{i}" for i in range(len(keys))]  # structs, which join and group null keys like other values
+    base = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("__row"), *[F.struct(F.col(k)).alias(c) for k, c in zip(keys, own_keys)],
                      pos.alias("__ts"), *[values.get(v, F.col(v)).alias(f"__v_{v}") for v in used])
     val = {v: F.col(f"__v_{v}") for v in used}
 
     copies = F.array(*[F.struct(F.lit(i).alias("role"), (F.col("__ts") + F.lit(h * MICROS)).alias("pos"))
                        for i, h in enumerate([0, *windows])])
     spread = (base.withColumn("__cp", F.explode(copies))
-              .select(*keys, *[f"__v_{v}" for v in used],
+              .select(*own_keys, *[f"__v_{v}" for v in used],
                       F.col("__cp.role").alias("__role"), F.col("__cp.pos").alias("__pos"),
                       F.when(F.col("__cp.role") == 0, F.col("__row")).alias("__row"))
               .withColumn("__bkt", floor_bucket(F.col("__pos"), width)))
@@ -88,7 +89,7 @@ def add_rolling(df: DataFrame, keys: list[str], ts: str, measures: list[Rolling]
     def masked(role: int, v: str) -> Column:
         return F.when(F.col("__role") == role, val[v])
 
-    grid = W.partitionBy(*keys, "__bkt")
+    grid = W.partitionBy(*own_keys, "__bkt")
     tail = grid.orderBy("__pos").rangeBetween(W.unboundedPreceding, -1)
     head = grid.orderBy(F.col("__neg")).rangeBetween(W.unboundedPreceding, 0)
     tails = spread.withColumn("__neg", -F.col("__pos")).select(
@@ -101,19 +102,19 @@ def add_rolling(df: DataFrame, keys: list[str], ts: str, measures: list[Rolling]
     multi = [h for h in windows if h > bucket]
     partial_cols = {(p, v): F.col(f"__p_{p}_{v}") for p, v in need}
     if multi:
-        partials = base.groupBy(*keys, floor_bucket(F.col("__ts"), width).alias("__bkt")).agg(
+        partials = base.groupBy(*own_keys, floor_bucket(F.col("__ts"), width).alias("__bkt")).agg(
             *[_part(p, val[v]).alias(f"__p_{p}_{v}") for p, v in need])
-        per_key = W.partitionBy(*keys).orderBy("__bkt")
+        per_key = W.partitionBy(*own_keys).orderBy("__bkt")
 
         def middle(h: int, p: str, v: str) -> Column:
             frame = per_key.rangeBetween(-(h // bucket) + 1, -1)
             merge = {"min": F.min, "max": F.max}.get(p, F.sum)
             return merge(partial_cols[(p, v)]).over(frame).alias(f"__m{h}_{p}_{v}")
 
-        mids = partials.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bkt").alias("__mb"),
+        mids = partials.select(*[F.col(k).alias(f"__k_{k}") for k in own_keys], F.col("__bkt").alias("__mb"),
                                *[middle(h, p, v) for h in multi for p, v in need_by_window[h]])
         cond = F.col("__bkt") == F.col("__mb")
-        for k in keys:
+        for k in own_keys:
             cond = cond & (F.col(k) == F.col(f"__k_{k}"))  # same hash layout as the windows: no new shuffle
         heads = heads.join(mids, cond, "left")
 

@@ -21,13 +21,15 @@ def member_spine(calendar: DataFrame, members: DataFrame, carry: list[str] | Non
     """One row per (company, date) for every member at each date of the calendar.
 
     The calendar is a few dates, so it is broadcast and the member table is read once for
-    the whole period; one row per company needs no distinct.
+    the whole period. A company with several memberships that count at a date comes out once,
+    with the smallest of each carried column.
     """
     dates = calendar.select(F.col("feature_date")).distinct()
-    return (
-        members.join(F.broadcast(dates), is_member_at(F.col("feature_date")))
-        .select("company_id", F.col("feature_date").alias("timestamp"), *(carry or []))
-    )
+    rows = members.join(F.broadcast(dates), is_member_at(F.col("feature_date"))).select(
+        "company_id", F.col("feature_date").alias("timestamp"), *(carry or []))
+    if not carry:
+        return rows.distinct()
+    return rows.groupBy("company_id", "timestamp").agg(*[F.min(c).alias(c) for c in carry])
 
 
 def first_activity(transactions: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def active_member_spine(calendar: DataFrame, members: DataFrame, transactions: D
         .join(F.broadcast(dates),
               ((F.col("is_rejected") == 0) | ((F.col("is_rejected") == 1) & (F.col("rejected_at") > day)))
               & (F.col("first_transaction_at") < day))
-        .select("company_id", day.alias("timestamp"))
+        .select("company_id", day.alias("timestamp")).distinct()
     )
 
 

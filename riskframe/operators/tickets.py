@@ -71,11 +71,13 @@ def first_ticket_per_transaction(rows: DataFrame, txn: str = "txn_ref", created:
 
 
 def victim_transactions(tickets: DataFrame, transactions: DataFrame, ref_columns: list[str], project: str,
-                        start, stop, mapping: dict[str, str] = VICTIM_TYPES) -> DataFrame:
+                        start, stop, mapping: dict[str, str] = VICTIM_TYPES, payments: DataFrame | None = None) -> DataFrame:
     """Transactions named in victim tickets of a project, reported in the period.
 
     ``tickets``: ticket_key, parent_key, project_key, company_id, date_of_report, fraud_type,
     ticket_created_at and the reference columns. ``transactions``: txn_ref, amount, transaction_at.
+    ``payments`` (txn_ref, sort_code, bank_name) adds the two columns where a payment is known.
+    Tickets that name no known transaction have none to report and are left out on purpose.
     """
     refs = reference_rows(tickets, "ticket_key", ref_columns)
     cases = with_parent(tickets.drop(*ref_columns), ["company_id", "date_of_report", "fraud_type"]).where(
@@ -83,10 +85,13 @@ def victim_transactions(tickets: DataFrame, transactions: DataFrame, ref_columns
     named = cases.join(refs, "ticket_key").join(transactions, "txn_ref")
     first = first_ticket_per_transaction(named)
     mapped = first.withColumn("mapped_fraud_type", roll_up("fraud_type", mapping))
+    extra = []
+    if payments is not None:
+        mapped, extra = mapped.join(payments.select("txn_ref", "sort_code", "bank_name").dropDuplicates(["txn_ref"]), "txn_ref", "left"), ["sort_code", "bank_name"]
     return mapped.where(F.col("date_of_report").between(F.lit(start), F.lit(stop))
                         & F.col("mapped_fraud_type").isin(sorted(set(mapping.values())))).select(
         "company_id", F.col("case_key").alias("ticket_key"), "date_of_report", "fraud_type", "txn_ref",
-        F.abs("amount").alias("amount"), "transaction_at", "mapped_fraud_type")
+        F.abs("amount").alias("amount"), "transaction_at", "mapped_fraud_type", *extra)
 
 
 def reported_tickets(tickets: DataFrame, changes: DataFrame, project: str, change_field: str, start, stop,
@@ -109,27 +114,32 @@ def reported_tickets(tickets: DataFrame, changes: DataFrame, project: str, chang
 
 def perpetrator_transactions(tickets: DataFrame, changes: DataFrame, transactions: DataFrame, companies: DataFrame,
                              memberships: DataFrame, ref_columns: list[str], project: str, change_field: str,
-                             start, stop, year: int, mapping: dict[str, str] = PERPETRATOR_TYPES) -> DataFrame:
+                             start, stop, year: int, mapping: dict[str, str] = PERPETRATOR_TYPES,
+                             company_columns: tuple[str, ...] = (), member_columns: tuple[str, ...] = ()) -> DataFrame:
     """Transactions named in perpetrator tickets, enriched with company and membership.
 
-    ``transactions`` also carry company_id, ``companies`` member_id, ``memberships``
-    manual_approval_triggers and risk_rating.
+    The company is the ticket's, or the transaction's where the ticket has none; company and
+    membership facts are those of the transaction's company. ``transactions`` also carry
+    company_id, ``companies`` member_id and ``company_columns`` (such as is_registered,
+    first_transaction_at, industry, is_cofo, incorporation_at), ``memberships``
+    manual_approval_triggers, risk_rating and ``member_columns`` (such as approved_at,
+    marketing channel, risk_band).
     """
     reported = reported_tickets(tickets, changes, project, change_field, start, stop)
     refs = reference_rows(tickets, "ticket_key", ref_columns)
     own = tickets.where(F.col("project_key") == project).select(
-        "ticket_key", "parent_key", "ticket_created_at", F.col("fraud_type").alias("own_type"))
+        "ticket_key", "parent_key", "ticket_created_at", F.col("company_id").alias("ticket_company"), F.col("fraud_type").alias("own_type"))
     up = tickets.select(F.col("ticket_key").alias("__up"), F.col("fraud_type").alias("parent_type"))
     in_year = transactions.where(F.year("transaction_at") == year)
     named = (own.join(refs, "ticket_key").join(in_year, "txn_ref")
              .join(up, F.col("parent_key") == F.col("__up"), "left"))
     first = first_ticket_per_transaction(named).select(
-        "company_id", "txn_ref", "transaction_at", "amount",
+        "company_id", "ticket_company", "txn_ref", "transaction_at", "amount",
         F.coalesce("parent_key", "ticket_key").alias("ticket_key"),
         F.when(F.col("parent_key").isNull(), F.col("own_type")).otherwise(F.col("parent_type")).alias("fraud_type"))
     enriched = first.join(companies, "company_id", "left").join(memberships, "member_id", "left")
     manual = F.when(F.col("manual_approval_triggers") != "", "Yes").otherwise("No")
     joined = enriched.join(reported.select("ticket_key"), "ticket_key")
-    return joined.select("company_id", "ticket_key", "txn_ref", "transaction_at", "amount", "fraud_type", "risk_rating",
-                         manual.alias("manual_kyc"), roll_up("fraud_type", mapping).alias("mapped_fraud_type")).where(
+    return joined.select(F.coalesce("ticket_company", "company_id").alias("company_id"), "ticket_key", "txn_ref", "transaction_at", "amount",
+                         "fraud_type", "risk_rating", *company_columns, *member_columns, manual.alias("manual_kyc"), roll_up("fraud_type", mapping).alias("mapped_fraud_type")).where(
         F.col("mapped_fraud_type").isin(sorted(set(mapping.values()))))

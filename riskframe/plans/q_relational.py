@@ -75,9 +75,9 @@ def snk3(t: Tables):
     return t.spark.read.parquet(path).groupBy(F.col("month_year").cast("string").alias("month_year")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk4_snk5_build_once", "SELECT 'ofre_01_1995_08_2001' AS dataset, count(*) AS n, 1 AS builds FROM orders")
+@query("snk4_snk5_build_once", "SELECT 'risk_01_1995_08_2001' AS dataset, count(*) AS n, 1 AS builds FROM orders")
 def snk4(t: Tables):
-    name = sinks.dataset_name(1995, 1, 2001, 8)
+    name = sinks.dataset_name(1995, 1, 2001, 8, "risk")
     path, builds = f"{_scratch(t)}/{name}", []
 
     def build():
@@ -142,7 +142,7 @@ def pr8(t: Tables):
 # ---- filters and validation --------------------------------------------------------------
 
 TARGETS = f"""WITH {v.MEMBERS}, {v.REPORTS}, {v.CALENDAR}, {v.SPINE},
-dated AS (SELECT s.company_id, s.timestamp, min(reported_at) - s.timestamp AS dur FROM spine s LEFT JOIN reports r ON s.company_id = r.company_id
+dated AS MATERIALIZED (SELECT s.company_id, s.timestamp, min(reported_at) - s.timestamp AS dur FROM spine s LEFT JOIN reports r ON s.company_id = r.company_id
   AND r.reported_at BETWEEN s.timestamp AND s.timestamp + INTERVAL 90 DAY GROUP BY s.company_id, s.timestamp),
 tgt AS (SELECT company_id, timestamp, CAST(dur IS NOT NULL AS INT) AS event, coalesce(dur, 90) AS duration,
   CASE WHEN CAST(company_id AS BIGINT) % 11 <> 0 THEN CAST(company_id AS BIGINT) % 5 END AS is_registered FROM dated)"""
@@ -341,22 +341,26 @@ rep AS (SELECT ticket_key, company_id, ticket_id, min(event_at) AS reported_date
     WHERE project_key = 'AC' AND number_of_reports IS NOT NULL AND is_subtask <> 1 AND fraud_type IN ({', '.join(f"'{x}'" for x in tickets.PERPETRATOR_TYPES)})
       AND ticket_status NOT IN ('Duplicate', 'Duplicates') AND CAST(coalesce(change_at, ticket_created_at) AS DATE) BETWEEN DATE '1995-06-01' AND DATE '2001-12-31')
   GROUP BY 1, 2, 3 HAVING min(event_at) BETWEEN DATE '1995-06-01' AND DATE '2001-12-31'),
-f AS (SELECT c.company_id, coalesce(a.parent_key, a.ticket_key) AS ticket_key, CASE WHEN a.parent_key IS NULL THEN a.fraud_type ELSE s.fraud_type END AS fraud_type,
+f AS (SELECT c.company_id AS own_company, coalesce(a.company_id, c.company_id) AS company_id, coalesce(a.parent_key, a.ticket_key) AS ticket_key, CASE WHEN a.parent_key IS NULL THEN a.fraud_type ELSE s.fraud_type END AS fraud_type,
     c.txn_ref, c.transaction_at, c.amount, row_number() OVER (PARTITION BY c.txn_ref ORDER BY a.ticket_created_at, a.ticket_key) AS rn
   FROM tickets a JOIN refs r ON a.ticket_key = r.ticket_key JOIN cash c ON r.txn_ref = c.txn_ref LEFT JOIN tickets s ON a.parent_key = s.ticket_key
   WHERE a.project_key = 'AC' AND year(c.transaction_at) = 2024),
-m AS (SELECT f.*, CASE WHEN c_custkey % 3 = 0 THEN 'Yes' ELSE 'No' END AS manual_kyc, c_mktsegment AS risk_rating FROM f LEFT JOIN customer ON f.company_id = CAST(c_custkey AS VARCHAR) WHERE rn = 1)
-SELECT m.company_id, m.ticket_key, txn_ref, transaction_at, amount, fraud_type, risk_rating, manual_kyc, mapped_fraud_type
+m AS (SELECT f.*, CASE WHEN c_custkey % 3 = 0 THEN 'Yes' ELSE 'No' END AS manual_kyc, c_mktsegment AS risk_rating,
+    c_custkey % 2 = 0 AS is_registered, c_nationkey AS industry, substr(c_name, 1, 8) AS marketing_channel, c_custkey % 5 AS risk_band
+  FROM f LEFT JOIN customer ON f.own_company = CAST(c_custkey AS VARCHAR) WHERE rn = 1)
+SELECT m.company_id, m.ticket_key, txn_ref, transaction_at, amount, fraud_type, risk_rating, is_registered, industry, marketing_channel, risk_band, manual_kyc, mapped_fraud_type
 FROM (SELECT *, {VICTIM_CASE} AS mapped_fraud_type FROM m) m JOIN rep USING (ticket_key) WHERE mapped_fraud_type IN ({ALLOWED})""")
 def lb12(t: Tables):
     from datetime import date
 
     c = t.customer
-    companies = c.select(F.col("c_custkey").cast("string").alias("company_id"), F.col("c_custkey").alias("member_id"))
+    companies = c.select(F.col("c_custkey").cast("string").alias("company_id"), F.col("c_custkey").alias("member_id"),
+                         (F.col("c_custkey") % 2 == 0).alias("is_registered"), F.col("c_nationkey").alias("industry"))
     members = c.select(F.col("c_custkey").alias("member_id"), F.when(F.col("c_custkey") % 3 == 0, "address,name").otherwise("").alias("manual_approval_triggers"),
-                       F.col("c_mktsegment").alias("risk_rating"))
+                       F.col("c_mktsegment").alias("risk_rating"), F.substring("c_name", 1, 8).alias("marketing_channel"), (F.col("c_custkey") % 5).alias("risk_band"))
     return tickets.perpetrator_transactions(_tickets(t), _changes(t), _cash(t), companies, members, REFS, "AC", "Number of fraud reports",
-                                            date(1995, 6, 1), date(2001, 12, 31), 2024)
+                                            date(1995, 6, 1), date(2001, 12, 31), 2024, company_columns=("is_registered", "industry"),
+                                            member_columns=("marketing_channel", "risk_band"))
 
 
 @query("jn9_labels_to_features", f"""{TARGETS} SELECT t.company_id, t.timestamp, t.event, o.n_orders FROM tgt t LEFT JOIN (
@@ -404,14 +408,13 @@ def jn15(t: Tables):
     return p.select("doc_id", prefix.area_code("p").alias("area"))
 
 
-@query("jn15_longest_prefix", """SELECT event_id, max(CASE WHEN n = 3 THEN prefix END) AS p3, coalesce(max(CASE WHEN n = 3 THEN prefix END), max(CASE WHEN n = 2 THEN prefix END), max(CASE WHEN n = 1 THEN prefix END)) AS matched
-FROM events LEFT JOIN (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS prefix, length(CAST(o_custkey AS VARCHAR)) AS n FROM orders WHERE o_custkey % 3 = 0 AND o_custkey < 1000)
+@query("jn15_longest_prefix", """SELECT event_id, max_by(prefix, n) AS matched, max(n) AS n
+FROM events LEFT JOIN (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS prefix, length(CAST(o_custkey AS VARCHAR)) AS n FROM orders WHERE o_custkey % 3 = 0)
 ON starts_with(CAST(event_id AS VARCHAR), prefix) GROUP BY 1""")
 def jn15_general(t: Tables):
     ids = t.events.select("event_id", F.col("event_id").cast("string").alias("code"))
-    table = t.orders.where("o_custkey % 3 = 0 and o_custkey < 1000").select(F.col("o_custkey").cast("string").alias("prefix"))
-    hit = prefix.longest_prefix_join(ids, "code", table, "prefix", (1, 2, 3))
-    return hit.select("event_id", F.when(F.length("matched") == 3, F.col("matched")).alias("p3"), "matched")
+    table = t.orders.where("o_custkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("prefix"))
+    return prefix.longest_prefix_join(ids, "code", table, "prefix").select("event_id", "matched", F.length("matched").cast("long").alias("n"))
 
 
 SPLIT_SQL = f"""per AS (SELECT o_custkey AS company_id, max(CAST(o_totalprice > 480000 AS INT)) AS y FROM orders GROUP BY 1),

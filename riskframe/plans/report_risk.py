@@ -1,4 +1,4 @@
-"""Ongoing risk: labelled dataset, training and monthly evaluation as single lazy plans."""
+"""Reports on members: labelled dataset, training and monthly evaluation as single lazy plans."""
 
 from __future__ import annotations
 

@@ -24,6 +24,17 @@ def read_query(spark: SparkSession, text: str, fmt: str | None = None, options:
     return spark.sql(text, args=args or {})
 
 
+def read_table(spark: SparkSession, table: str, options: dict[str, str], partition_column: str, lower, upper, partitions: int,
+               fmt: str = "jdbc") -> DataFrame:
+    """Read a table or a parenthesised query in ``partitions`` parallel ranges of ``partition_column``.
+
+    The bounds only place the ranges: rows outside them are read by the first and last task.
+    ``read_query`` with a source goes through one task and is for small results.
+    """
+    ranges = {"dbtable": table, "partitionColumn": partition_column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions)}
+    return spark.read.format(fmt).options(**(options | ranges)).load()
+
+
 def read_parquet(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     return (spark.read.schema(schema) if schema else spark.read).parquet(path)
 
@@ -46,10 +57,11 @@ def read_list(spark: SparkSession, path: str, name: str = "area_code") -> DataFr
 def source_for_spine(spine: DataFrame, source: DataFrame, keys: list[str], ts: str) -> DataFrame:
     """Left join of a data source on (keys, ts), the source first cut to the spine's time range.
 
-    The range is a one-row subquery, broadcast into the scan side of the join.
+    The two bounds are read first (one job over the spine's time column) and enter the scan as
+    literals, so files and row groups outside them are skipped.
     """
-    bounds = F.broadcast(spine.agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi")))
-    inside = source.join(bounds, F.col(ts).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+    low, high = spine.agg(F.min(ts), F.max(ts)).first()
+    inside = source.where(F.col(ts).between(F.lit(low), F.lit(high))) if low is not None else source.limit(0)
     return spine.join(inside, [*keys, ts], "left")
 
 

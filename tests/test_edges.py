@@ -414,7 +414,7 @@ def test_oversampling_with_copies_and_split_buckets(spark):
 
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "2020-01-02", "3.5"), (2, "bad", "x")], "id long, at string, v string")
-    assert sinks.dataset_name(2018, 6, 2020, 12) == "ofre_06_2018_12_2020"
+    assert sinks.dataset_name(2018, 6, 2020, 12, "risk") == "risk_06_2018_12_2020"
     sinks.write_csv(df, str(tmp_path / "c"))
     back = readers.read_csv(spark, str(tmp_path / "c"), df.schema, timestamps={"at": "yyyy-MM-dd"})
     assert [r["at"] for r in back.orderBy("id").collect()] == [datetime(2020, 1, 2), None]

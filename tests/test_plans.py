@@ -5,7 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.plans import new_company, ongoing_risk, payment_scoring
+from riskframe.plans import new_company, report_risk, payment_scoring
 
 
 @pytest.fixture(scope="module")
@@ -21,16 +21,16 @@ def world(spark):
     return members, reports, feats
 
 
-def test_ongoing_risk_from_dataset_to_trend(spark, world):
+def test_report_risk_from_dataset_to_trend(spark, world):
     members, reports, feats = world
-    ds = ongoing_risk.labelled_dataset(members, reports, date(2020, 1, 1), date(2020, 9, 30), "first", feats, columns=["score", "kind"])
+    ds = report_risk.labelled_dataset(members, reports, date(2020, 1, 1), date(2020, 9, 30), "first", feats, columns=["score", "kind"])
     assert {"event", "duration", "score", "kind", "days_since_incorp"} <= set(ds.columns)
     assert ds.where("feature_ts > timestamp").isEmpty()
     rows = ds.withColumn("row_id", F.concat_ws("-", "company_id", "timestamp"))
-    m = ongoing_risk.train(rows, "row_id", ["days_since_incorp"], ["score"], {"kind": (0.01, 5)}, ["score"])
+    m = report_risk.train(rows, "row_id", ["days_since_incorp"], ["score"], {"kind": (0.01, 5)}, ["score"])
     p = m.predict(rows, 0.05, 0.2)
     assert p.count() == rows.count() and p.where("survival < 0 or survival > 1").isEmpty()
-    t = ongoing_risk.monthly_trend(p, rows)
+    t = report_risk.monthly_trend(p, rows)
     assert {"Average", "Std"} <= {r["month_year"] for r in t.collect()}
 
 
@@ -87,10 +87,10 @@ def test_onboarding_features(spark):
 
 
 def test_member_features(spark):
-    cols = {**{c: 1.0 for c in ongoing_risk.TRANSACTION_COLUMNS}, "days_since_incorp": 5.0, "age_at_completion": 30.0, "is_registered": 1.0, "mkyc_ind": 0.0}
+    cols = {**{c: 1.0 for c in report_risk.TRANSACTION_COLUMNS}, "days_since_incorp": 5.0, "age_at_completion": 30.0, "is_registered": 1.0, "mkyc_ind": 0.0}
     texts = {"company_type": "LTD", "applicant_id_type": "Driving_License", "applicant_id_country_issue": "GB", "applicant_postcode": "SW1A", "section_description": "x"}
     df = spark.createDataFrame([(str(i), *cols.values(), *texts.values()) for i in range(5)],
                                "company_id string, " + ", ".join(f"{c} double" for c in cols) + ", " + ", ".join(f"{c} string" for c in texts))
-    p = ongoing_risk.fit_member_features(df, ["company_id"])
-    out = p.transform(ongoing_risk.member_categories(df))
+    p = report_risk.fit_member_features(df, ["company_id"])
+    out = p.transform(report_risk.member_categories(df))
     assert "applicant_id_country_issue_GBR" in out.columns and "applicant_postcode_SW" in out.columns and "applicant_id_type_driving_licence" in out.columns

@@ -131,3 +131,17 @@ def test_results_do_not_depend_on_partitioning(events, spark, partitions):
             i * (1 + sum((t2, i2) < (t, i) for i2, k2, t2, _ in rows if k2 == k)) for i, k, t, _ in rows)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_null_keys_form_groups(spark):
+    rows = [(None if k < 12 else "a", float(k % 7), k) for k in range(40)]
+    df = spark.createDataFrame(rows, "k string, v double, t int")
+    for n in (1, 16):
+        got = {r["t"]: (r["s"], r["n"]) for r in chunks.running(df, ["k"], ["t"], {"s": ("sum", F.col("v")), "n": ("count", F.lit(1))}, n_chunks=n).collect()}
+        for key, v, t in rows:
+            before = [x for kk, x, tt in rows if kk == key and tt <= t]
+            assert got[t] == (sum(before), len(before))
+    events = df.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("t") * 40_000))
+    out = add_rolling(events, ["k"], "ts", [Rolling("n", "count", "v", 10 * 86400)], 86400)
+    got = {r["t"]: r["n"] for r in out.collect()}
+    assert all(got[t] == sum(1 for kk, _, tt in rows if kk == key and 0 < (t - tt) * 40_000 <= 10 * 86400) for key, _, t in rows)
