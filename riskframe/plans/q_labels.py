@@ -121,7 +121,7 @@ def lb4(t: Tables):
 # ---- fraud arrays and horizons ---------------------------------------------------------------
 
 FRAUDS = """frauds AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS company_id, o_orderdate AS transaction_at, o_orderpriority AS app_fraud_type, o_totalprice AS amount FROM orders
-  WHERE o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' + 90),
+  WHERE o_orderstatus = 'F' ),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, transaction_at ORDER BY amount DESC, app_fraud_type) AS rn FROM frauds) WHERE rn = 1)"""
 TENURE = f"""WITH {v.MEMBERS}, {v.CALENDAR}, {v.SPINE}, {FRAUDS},
 ten AS (SELECT s.company_id, s.timestamp, 120 - (s.timestamp - m.approved_at) AS days_remaining FROM spine s JOIN members m ON s.company_id = m.company_id WHERE s.timestamp - m.approved_at <= 120),
@@ -134,7 +134,7 @@ def _fraud_inputs(t: Tables):
 
     f = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("company_id"), F.col("o_orderdate").alias("transaction_at"),
                                                     F.col("o_orderpriority").alias("app_fraud_type"), F.col("o_totalprice").alias("amount"))
-    frauds = labels.fraud_list(f, date(1996, 1, 1), date(1999, 12, 31))
+    frauds = labels.fraud_list(f, *v.period(t))
     ten = spine.tenure_spine(_calendar(t), v.members(t), v.transactions(t), 120).select("company_id", "timestamp", "days_remaining")
     return ten, frauds
 
@@ -201,7 +201,7 @@ def lb14(t: Tables):
 DAYS = "CAST(m + CAST(((((year(m) * 12 + month(m)) * 31) * 7919 + 7) % 1000003) % day(last_day(m)) AS INT) AS DATE)"
 
 
-@query("lb10_spine_mode_comparison", f"""WITH {v.MEMBERS}, {v.REPORTS}, months AS (SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS DATE) AS m),
+@query("lb10_spine_mode_comparison", f"""WITH {v.MEMBERS}, {v.REPORTS}, months AS (SELECT CAST(unnest(generate_series(date_trunc('month', (SELECT min(o_orderdate) FROM orders)), date_trunc('month', (SELECT max(o_orderdate) FROM orders)), INTERVAL 1 MONTH)) AS DATE) AS m),
 cal AS (SELECT 'first' AS mode, m AS d FROM months UNION ALL SELECT 'random', {DAYS} FROM months),
 s AS (SELECT mode, company_id, d FROM cal JOIN members ON approved_at < d AND (is_rejected = 0 OR (is_rejected = 1 AND rejected_at > d))),
 l AS (SELECT s.mode, s.company_id, s.d, min(r.reported_at) AS f FROM s LEFT JOIN reports r ON s.company_id = r.company_id AND r.reported_at BETWEEN s.d AND s.d + INTERVAL 90 DAY GROUP BY s.mode, s.company_id, s.d)

@@ -13,8 +13,7 @@ from .registry import Tables, query
 
 
 def _calendar(t: Tables, mode: str = "first", **kw):
-    calendar.check_period(date(2018, 6, 1), date(2018, 7, 1))
-    return calendar.feature_dates(t.spark, *v.PERIOD, mode=mode, **kw)
+    return calendar.feature_dates(t.spark, *v.period(t), mode=mode, **kw)
 
 
 def _spine(t: Tables):
@@ -41,12 +40,6 @@ MIX = "((year(m) * 12 + month(m)) * 31 + {draw}) * 7919 + {seed}) % 1000003"
 MONTHS = "SELECT CAST(date_trunc('month', unnest(generate_series(date_trunc('month', (SELECT min(o_orderdate) FROM orders)), date_trunc('month', (SELECT max(o_orderdate) FROM orders)), INTERVAL 1 MONTH))) AS DATE) AS m"
 
 
-def _order_period(t: Tables):
-    """Bounds of the order dates: one row of two dates."""
-    row = t.orders.agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("z")).first()
-    return row["a"], row["z"]
-
-
 def _orders_per_date(t: Tables, dates):
     """Orders placed in the month on or after each feature date."""
     o = t.orders.select(calendar.month_of("o_orderdate").alias("month"), F.col("o_orderdate").cast("date").alias("d"))
@@ -67,20 +60,20 @@ def _day(draw: str, seed: int) -> str:
 
 @query("sp1_random_day_of_month", _dated_sql(f"SELECT m, {_day('0', 7)} AS feature_date FROM months"))
 def sp1(t: Tables):
-    a, z = _order_period(t)
+    a, z = v.period(t)
     return _orders_per_date(t, calendar.feature_dates(t.spark, a, z, "random", seed=7))
 
 
 @query("sp2_first_day_of_month", _dated_sql("SELECT m, m AS feature_date FROM months"))
 def sp2(t: Tables):
-    a, z = _order_period(t)
+    a, z = v.period(t)
     return _orders_per_date(t, calendar.feature_dates(t.spark, a, z, "first"))
 
 
 @query("sp3_k_days_of_month", _dated_sql(
     f"SELECT DISTINCT m, {_day('draw', 7)} AS feature_date FROM months, (SELECT unnest(range(3)) AS draw)"))
 def sp3(t: Tables):
-    a, z = _order_period(t)
+    a, z = v.period(t)
     return _orders_per_date(t, calendar.feature_dates(t.spark, a, z, "multiple", k=3, seed=7))
 
 
@@ -91,7 +84,7 @@ def sp3(t: Tables):
 SELECT mode, month(m) AS month_no, count(*) AS n_dates, CAST(sum(day(feature_date)) AS BIGINT) AS day_sum
 FROM dates GROUP BY ALL""")
 def sp4(t: Tables):
-    a, z = _order_period(t)
+    a, z = v.period(t)
     parts = [calendar.feature_dates(t.spark, a, z, m, seed=7).withColumn("mode", F.lit(m))
              for m in ("first", "random", "multiple")]
     dates = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -103,7 +96,7 @@ def sp4(t: Tables):
 SELECT m AS month, count(o_orderkey) AS n_orders, round(coalesce(sum(o_totalprice), 0), 2) AS total
 FROM months LEFT JOIN orders ON CAST(date_trunc('month', o_orderdate) AS DATE) = m GROUP BY 1""")
 def sp5(t: Tables):
-    a, z = _order_period(t)
+    a, z = v.period(t)
     per_month = t.orders.groupBy(calendar.month_of("o_orderdate").alias("month")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("s"))
     return calendar.months(t.spark, a, z).join(F.broadcast(per_month), "month", "left").select(

@@ -25,7 +25,12 @@ def R(expr: str, digits: int) -> str:
     return f"(round({expr} + 1e-9, {digits}) + 0.0)"
 
 
-PERIOD = (date(1996, 1, 1), date(1999, 12, 31))
+def period(t: Tables) -> tuple[date, date]:
+    """First and last order date: one row of two dates."""
+    row = t.orders.agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("z")).first()
+    return row["a"], row["z"]
+
+
 
 
 def members(t: Tables) -> DataFrame:
@@ -76,7 +81,8 @@ REPORTS = """reports AS (
   FROM orders WHERE o_orderstatus = 'F')"""
 
 CALENDAR = """calendar AS (
-  SELECT CAST(unnest(generate_series(DATE '1996-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS DATE) AS feature_date)"""
+  SELECT CAST(unnest(generate_series(date_trunc('month', (SELECT min(o_orderdate) FROM orders)),
+    date_trunc('month', (SELECT max(o_orderdate) FROM orders)), INTERVAL 1 MONTH)) AS DATE) AS feature_date)"""
 
 SPINE = """spine AS (
   SELECT company_id, segment, feature_date AS timestamp FROM calendar JOIN members

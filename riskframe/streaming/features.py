@@ -11,9 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import rules
+from ..operators.rolling import Rolling, add_rolling
 from ..operators.timekeys import DAY, MICROS, micros
 
 HOUR = 3600
@@ -57,16 +59,18 @@ def _window_stats(times: np.ndarray, values: np.ndarray, at: np.ndarray, span: i
 
 def rolling_state(events: DataFrame, hours: tuple[int, ...] = (2, 4, 8, 12, 24, 48), days: int = 60,
                   account: str = "account_id", row_id: str = "event_id", ts: str = "ts", watermark: str = "1 hour",
-                  shards: int = 1) -> DataFrame:
+                  shards: int = 8) -> DataFrame:
     """Per event, partial rolling sums, counts and maxima from keyed state (append mode).
 
-    State keeps each account's payments of the last ``days`` (time, deposit, withdrawal). With
+    State keeps each account's payments of the last ``days`` and the watermark's delay (time,
+    deposit, withdrawal), so that a row which is late but counted finds its whole window; an
+    account without payments for that long is forgotten. With
     ``shards`` > 1 an account's history is spread over that many keys: an event is stored in
     one shard and answered by all, so no task keeps a whole busy account. The partial rows
     carry (row_id, shard); ``merge_shards`` adds them up per micro-batch.
     """
     spans = {f"{h}h": h * HOUR * MICROS for h in hours} | {f"{days}d": days * DAY * MICROS}
-    keep = days * DAY * MICROS
+    keep = days * DAY * MICROS + int(pd.Timedelta(watermark) / pd.Timedelta(microseconds=1))
     home = F.pmod(F.xxhash64(row_id), F.lit(shards)).cast("int")
     rows = events.withWatermark(ts, watermark).select(
         account, row_id, ts, micros(ts).alias("us"), F.col("deposit").cast("double").alias("deposit"),
@@ -98,8 +102,7 @@ def rolling_state(events: DataFrame, hours: tuple[int, ...] = (2, 4, 8, 12, 24,
                 out[f"{short}_max_{k}"] = np.where(np.isfinite(top), top, np.nan)
         alive = t >= (t.max() if len(t) else 0) - keep
         state.update((t[alive].tolist(), d[alive].tolist(), w[alive].tolist()))
-        if state.getCurrentWatermarkMs() > 0:
-            state.setTimeoutTimestamp(max(int(at.max() // 1000), state.getCurrentWatermarkMs()) + days * DAY * 1000)
+        state.setTimeoutTimestamp(max(int(at.max() // 1000), state.getCurrentWatermarkMs()) + keep // 1000)
         yield pd.DataFrame(out)
 
     return rows.groupBy(account, "shard").applyInPandasWithState(
@@ -132,6 +135,19 @@ def new_payee_windows(firsts: DataFrame, window: str, account: str = "account_id
         account, F.col("w.start").alias("window_start"), "new_payees")
 
 
+def new_payee_counts(events: DataFrame, firsts: DataFrame, spans: dict[str, int], account: str = "account_id", ts: str = "ts",
+                     row_id: str = "event_id") -> DataFrame:
+    """New payees of the account in the spans before each event, from the table of first payments.
+
+    ``spans`` maps an output column to seconds. An event is a new payee if its id is the pair's
+    first; rolling counts of those run on the bucket grid, so a busy account is spread over it.
+    """
+    marked = events.join(firsts.select(F.col("first_id").alias(row_id), F.lit(1).alias("is_new")), row_id, "left")
+    bucket = int(np.gcd.reduce(list(spans.values())))
+    measures = [Rolling(name, "count", "is_new", seconds) for name, seconds in spans.items()]
+    return add_rolling(marked, [account], ts, measures, bucket).drop("is_new")
+
+
 # ---- RS4: rules and scoring ----------------------------------------------------------------
 
 def score_requests(requests: DataFrame, allow_lists: DataFrame, key: str, probability, low: float = 0.005, high: float = 0.01) -> DataFrame:
@@ -153,6 +169,39 @@ def deduplicated(events: DataFrame, row_id: str = "event_id", ts: str = "ts", wa
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([row_id])
 
 
+class LateRows(StreamingQueryListener):
+    """Counts the rows that queries drop for lateness, over their whole runs.
+
+    Register it with ``spark.streams.addListener`` before the query starts.
+    """
+
+    def __init__(self) -> None:
+        self.by_query: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.by_query.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        key = str(event.progress.id)
+        self.by_query[key] = self.by_query.get(key, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def count(self, query) -> int:
+        return self.by_query.get(str(query.id), 0)
+
+
 def late_rows(query) -> int:
-    """Rows the query dropped for lateness, from its progress reports."""
-    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
+    """Rows that the query dropped for lateness, from its progress reports.
+
+    Only as many reports are kept as ``spark.sql.streaming.numRecentProgressUpdates``; a longer
+    run raises, and needs ``LateRows``.
+    """
+    reports = query.recentProgress
+    if reports and reports[0].batchId > 0:
+        raise ValueError("early progress reports are gone; count with LateRows")
+    return sum(op.numRowsDroppedByWatermark for p in reports for op in p.stateOperators)
