@@ -366,3 +366,12 @@ def ft20(t: Tables):
 
     out = oversample.borderline_oversample(_vectors(t), "vec_id", "embedding", "y", 64, ratio=0.3)
     return out.select("base", "other", "step", F.round(F.get("vec", F.lit(0)), 6).alias("v0"), F.size("vec").alias("dim"))
+
+
+@query("ml4_native_scoring", f"""{S}, r AS (SELECT row_key, y, CASE WHEN row_key % 5 <> 0 THEN CAST(l_quantity > 25 AS INT) END AS x FROM supervised),
+p AS (SELECT x, avg(y) AS p FROM r WHERE x IS NOT NULL GROUP BY 1) SELECT row_key, {R('p', 2)} AS probability FROM r LEFT JOIN p USING (x)""")
+def ml4_native(t: Tables):
+    """With one binary feature the fitted probability is the share of each value; rows without it stay, unscored."""
+    d = _sup(t).select("row_key", "y", F.when(F.col("row_key") % 5 != 0, (F.col("l_quantity") > 25).cast("int")).alias("x"))
+    m = model.fit_logistic(d.where("x is not null"), ["x"], "y", c=1e9, l1_ratio=0.0, balanced=False, max_iter=200)
+    return model.score_logistic(m, d, ["x"]).select("row_key", rnd("probability", 2).alias("probability"))
