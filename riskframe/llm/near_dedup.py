@@ -241,7 +241,7 @@ def classes_of_texts(texts: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, class_id, class_size, and node (the identity of its text).
+    """One row per document: doc_id, class_id, class_size, node (the identity of its text), label (of the class).
 
     ``class_id`` is the smallest id of the class (null if all are), ``class_size`` its documents.
     Equal texts are always one class; texts without a word match nothing else. A null text is a
@@ -252,8 +252,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     labels = classes_of_texts(texts)
     named = own.where(F.col("node").isNotNull()).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    known = named.join(sizes, "label").select("doc_id", "class_id", "class_size", "node")
-    alone = own.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "node")
+    known = named.join(sizes, "label").select("doc_id", "class_id", "class_size", "node", "label")
+    alone = own.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), "node", F.col("node").alias("label"))
     return known.unionByName(alone)
 
 
@@ -264,8 +264,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     node = free_name(docs, "node")[0]
     found = classes(docs, id_col, text_col).where(F.col("node").isNotNull())
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("other")).agg(F.min("node").alias("node"))
-    first = first.select(F.col("class_id").alias(f"{node}_id"), F.col("node").alias(node))
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("node").alias(node), F.first("class_id").alias(f"{node}_id"))
     rows = docs.withColumn(f"{node}_own", _node(F.col(text_col)))
     same = (F.col(f"{node}_own") == F.col(node)) & F.col(id_col).eqNullSafe(F.col(f"{node}_id"))
     kept = rows.join(first, same, "left_semi").dropDuplicates([id_col, f"{node}_own"])

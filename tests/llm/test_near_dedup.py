@@ -112,9 +112,9 @@ def test_components_of_paths_and_stars(spark):
 
 def test_keep_one_and_odd_inputs(spark):
     text = " ".join(f"w{i}" for i in range(60))
-    rows = [(3, text), (1, text + " end"), (1, text + " end"), (None, text), (7, None), (8, None), (None, "other"), (9, "long " * 50000)]
+    rows = [(3, text), (1, text + " end"), (1, text + " end"), (None, text), (7, None), (8, None), (None, "other"), (9, "long " * 50000), (1, "a text of its own, same id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(n) for n in ("node", "label", "a", "b", "class_id", "bands")])
     kept = nd.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id or -1, (r.text or "")[-4:]) for r in kept.collect()) == [(-1, "ther"), (1, " end"), (7, ""), (8, ""), (9, "ong ")]
+    assert sorted((r.doc_id or -1, (r.text or "")[-4:]) for r in kept.collect()) == [(-1, "ther"), (1, " end"), (1, "e id"), (7, ""), (8, ""), (9, "ong ")]
     assert nd.keep_one(docs.limit(0)).count() == 0 and nd.classes(docs.limit(0)).count() == 0
