@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .chunks import CHUNKS, attach_totals, exact_quantiles, running
+from .chunks import CHUNKS, attach_totals, exact_quantiles, row_numbers, running
 
 
 def _by_score(df: DataFrame, keys: list[str], score: str, label: str, weight: Column | None) -> DataFrame:
@@ -89,29 +89,27 @@ def classification_scores(df: DataFrame, label: str, predicted: str, weight: Col
                         ((recall + tnr) / 2).alias("balanced_accuracy"))
 
 
-def concordance(df: DataFrame, duration: str, event: str, risk: str, limit: int = 1000, n_chunks: int | None = CHUNKS) -> DataFrame:
+def concordance(df: DataFrame, duration: str, event: str, risk: str, n_chunks: int | None = CHUNKS) -> DataFrame:
     """Concordance index: share of comparable pairs in which the earlier event has the higher risk.
 
     A pair is an event at t against a row lasting longer than t, or censored at t; tied risks
-    count half. Pairs are never formed: rows are first counted per (duration, event, risk);
-    each count then serves as control to every event duration before it (durations are whole
-    periods of a bounded horizon, ``limit`` of them at most), and each event duration is a
-    rank sum.
+    count half. Pairs are never formed: rows are first counted per (duration, event, risk), and
+    the (duration, event) values are numbered in time, an event before what is censored with it.
+    Two numbers differ first, from the top, in one binary digit; at that digit the earlier one has
+    0 and the later one 1, and all above is equal. So each row takes part once per digit, as
+    event or as control of the values that share its higher digits, and each such group is a
+    rank sum. Any number of durations costs its logarithm.
     """
     counts = cut_lineage(df.groupBy(F.col(duration).alias("d"), F.col(event).cast("int").alias("e"),
                                     F.col(risk).cast("double").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("n")))
-    times = [r["d"] for r in counts.where("e = 1").select("d").distinct().orderBy("d").limit(limit + 1).collect()]
-    if len(times) > limit:
-        raise ValueError("too many event durations; use whole periods")
-    if not times:
-        return counts.agg(F.lit(0.0).alias("concordant"), F.lit(0.0).alias("comparable"), F.lit(None).cast("double").alias("concordance"))
-    at = F.array(*[F.lit(x) for x in times])
-    own = F.when(F.col("e") == 1, F.array(F.struct(F.col("d").alias("t"), F.col("n").alias("cases"), F.lit(0.0).alias("controls"))))
-    earlier = F.filter(at, lambda t: (t < F.col("d")) | ((t == F.col("d")) & (F.col("e") == 0)))
-    as_control = F.transform(earlier, lambda t: F.struct(t.alias("t"), F.lit(0.0).alias("cases"), F.col("n").alias("controls")))
-    empty = F.array().cast("array<struct<t:" + dict(counts.dtypes)["d"] + ",cases:double,controls:double>>")
-    roles = counts.select("r", F.explode(F.concat(F.coalesce(own, empty), as_control)).alias("x")).groupBy(
-        F.col("x.t").alias("t"), "r").agg(F.sum("x.cases").alias("cases"), F.sum("x.controls").alias("controls"))
+    values = row_numbers(counts.select("d", "e").distinct(), [], [F.col("d").asc(), F.col("e").desc()], "place", "d", n_chunks)
+    values = cut_lineage(values.withColumn("place", F.col("place") - 1))
+    digits = max(1, values.count().bit_length())
+    placed = counts.join(values, ["d", "e"]).withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))))
+    later = F.expr("shiftright(place, digit) & 1") == 1
+    roles = placed.select("r", F.concat_ws(":", "digit", F.expr("shiftright(place, digit + 1)")).alias("t"),
+                          F.when(~later & (F.col("e") == 1), F.col("n")).otherwise(0.0).alias("cases"), F.when(later, F.col("n")).otherwise(0.0).alias("controls"))
+    roles = roles.groupBy("t", "r").agg(F.sum("cases").alias("cases"), F.sum("controls").alias("controls"))
     ranked = running(roles, ["t"], ["r"], {"lower": ("sum", F.col("controls"))}, inclusive=False, n_chunks=n_chunks)
     won = F.col("cases") * (F.coalesce("lower", F.lit(0.0)) + F.col("controls") / 2)
     per = ranked.groupBy("t").agg(F.sum(won).alias("won"), (F.sum("cases") * F.sum("controls")).alias("pairs"))

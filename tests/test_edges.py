@@ -341,7 +341,13 @@ def test_threshold_and_roc(spark):
 
 
 def test_concordance_equals_brute_force(spark):
-    rows = [(1 + (i * 7) % 6, int(i % 3 != 0), float((i * 5) % 7)) for i in range(60)]
+    few = [(1 + (i * 7) % 6, int(i % 3 != 0), float((i * 5) % 7)) for i in range(60)]
+    many = [((i * 7919) % 2503, int(i % 4 != 0), float((i * 31) % 97)) for i in range(1300)]  # over 1,000 event durations
+    for rows in (few, many):
+        check_concordance(spark, rows)
+
+
+def check_concordance(spark, rows):
     won = pairs = 0.0
     for d1, e1, r1 in rows:
         for d2, e2, r2 in rows:
