@@ -35,7 +35,7 @@ def labelled_dataset(members: DataFrame, reports: DataFrame, start: date, stop:
     return out
 
 
-# Model columns of the ongoing-risk model.
+# Model columns of the report model.
 MEMBER_COLUMNS = ("days_since_incorp", "is_registered", "company_type", "mkyc_ind", "age_at_completion")
 CATEGORY_COLUMNS = ("applicant_id_type", "applicant_id_country_issue", "applicant_postcode", "section_description")
 TRANSACTION_COLUMNS = (
