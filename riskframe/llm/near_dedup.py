@@ -179,10 +179,8 @@ def _tiles(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(links, columns=["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts are similar enough."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    own = materialise(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
     left = own.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
     right = own.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
     both = pairs.join(right, "b").join(left, "a").sortWithinPartitions("a").select("a", "a_text", "b", "b_text")
@@ -222,7 +220,10 @@ def classes_of_texts(texts: DataFrame) -> DataFrame:
     leaders = shared.join(rank, "node").groupBy("h").agg(F.max(F.struct("rank", "node")).alias("top")).select("h", F.col("top.node").alias("a"))
     led = materialise(shared.join(leaders, "h").select("h", "node", "n", "a"), "near-led")
     pairs = led.where("node != a").select("a", F.col("node").alias("b")).distinct()
-    links = _verified(materialise(pairs, "near-pairs"), texts)
+    # the texts that share a bucket are read once; a merge join at every size, as their number grows with the input
+    own = texts.join(rank.select("node").hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    own = materialise(own, "near-texts")
+    links = _verified(materialise(pairs, "near-pairs"), own)
     labels = components(links)
 
     named = led.where("n > 2").join(labels, "node", "left").select("h", "node", "a", F.coalesce("label", "node").alias("label"))
@@ -234,7 +235,6 @@ def classes_of_texts(texts: DataFrame) -> DataFrame:
     members = blocks.join(tiles, "a").withColumn("chunk", F.pmod(F.hash("node"), "tiles"))
     members = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     members = members.select("a", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "node", "label")
-    own = materialise(texts.join(blocks.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
     tiled = members.join(own, "node").repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
     more = materialise(tiled.mapInPandas(_tiles, "a binary, b binary"), "near-more")
     return components(links.union(more)) if more.take(1) else labels
