@@ -62,15 +62,28 @@ def _hashes(words: str, number: Column) -> Column:
     return F.when(number, F.transform(words, canonical)).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
 
 
+def _paired(left: str, right: str, shift: int) -> Column:
+    """Hash of each element of one array with the element ``shift`` places on in another."""
+    return F.transform(left, lambda x, i: F.xxhash64(x, F.get(right, i + shift)))
+
+
 def template_windows(df: DataFrame, text_col: str, keep: list[Column], width: int = WIDTH) -> DataFrame:
     """One row per window of ``width`` canonical words: the kept columns, ``i`` and ``h``."""
     text = F.col(text_col)
     d = df.where(text.isNotNull()).select(*keep, text.rlike("[0-9]").alias("_n"), _words(text, NAME).alias("_w"))
     names = [c for c in d.columns if c not in ("_n", "_w")]
-    d = d.where(F.size("_w") >= width).select(*names, _hashes("_w", F.col("_n")).alias("_h"))
-    starts = F.slice("_h", 1, F.size("_h") - (width - 1))
-    rows = d.select(*names, F.posexplode(F.transform(starts, lambda _, i: F.xxhash64(F.slice("_h", i + 1, width)))).alias("i", "h"))
-    return rows
+    d = d.select(*names, _hashes("_w", F.col("_n")).alias("_h1"))
+    # hashes of 2, 4, 8... words by doubling; a width in between adds the parts it is made of
+    part, wide = 1, None
+    while part <= width:
+        if part > 1:
+            d = d.withColumn(f"_h{part}", _paired(f"_h{part // 2}", f"_h{part // 2}", part // 2))
+        if width & part:
+            d = d.withColumn("_hw", F.col(f"_h{part}") if wide is None else _paired("_hw", f"_h{part}", wide))
+            wide = (wide or 0) + part
+        part *= 2
+    whole = F.slice("_hw", 1, F.greatest(F.size("_h1") - (width - 1), F.lit(0)))  # those that do not run over the end
+    return d.select(*names, F.posexplode(whole).alias("i", "h"))
 
 
 def with_words(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
