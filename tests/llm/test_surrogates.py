@@ -19,7 +19,7 @@ def luhn(n):
 
 def test_types_formats_and_coreference(spark):
     texts = [
-        "Call Mrs. Anna Schmidt at +1 (017) 555-7713 or 1.017.555.7713.",
+        "Call Mrs. Anna Schmidt at +1 (017) 555-7713 or +1.017.555.7713.",
         "MRS X, Mrs. Anna Schmidt; JOHN.DOE@MAIL.EXAMPLE.COM = john.doe@mail.example.com",
         "card 4111 1111 1111 1111, 4111-1111-1111-1111, plain 4432507379035540", "ip 53.224.140.246, token = \"2abc3ff2ca8fb1e4c565a0eb63815530a948bdde\"",
         "Herr Иванов и Mme Мария Петрова", "IBAN DE89 3704 0044 0532 0130 00; DE89370400440532013000", "secret: 'abCD-12345xyz' 078-05-1120", "Version 2.0 of 1.2.3 costs 12,50 on page 1234",
