@@ -1,11 +1,11 @@
 """Near-duplicate classes by ProbMinHash, banding and verification.
 
-A text is a weighted set of shingles of five words; the weight is the number of times. Every
-shingle runs a Poisson process at the rate of its weight, with arrival times and registers drawn
-from its hash; a register keeps the shingle that arrives first. A shingle stops as soon as its
-next arrival would come after the latest of the registers. Two texts agree in a register with the
-probability Jaccard similarity of their sets, which for unrepeated shingles is the Jaccard
-similarity.
+A text is a set of shingles of five words. Every shingle runs a Poisson process at the rate of its
+weight, with arrival times and registers drawn from its hash; a register keeps the shingle that
+arrives first. A shingle stops as soon as its next arrival would come after the latest of the
+registers. Two texts agree in a register with the probability Jaccard similarity of their weighted
+sets. All weights are 1 here, however often a shingle is repeated, so that this is the Jaccard
+similarity by which links are verified.
 
 Registers in bands give buckets. Every text gets a rank, the number of texts it meets in its
 buckets; in each bucket all members are compared with the one of highest rank, the leader, which
@@ -114,9 +114,9 @@ def _bands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         for i in range(0, len(part), 1000):
             piece = part.iloc[i : i + 1000]
-            doc, h, n = shingles(list(piece["text"]))
+            doc, h, _ = shingles(list(piece["text"]))
             some, number = np.unique(doc, return_inverse=True)
-            sig = signatures(number, h, n, len(some), BANDS * ROWS).reshape(len(some), BANDS, ROWS)
+            sig = signatures(number, h, np.ones(len(h)), len(some), BANDS * ROWS).reshape(len(some), BANDS, ROWS)
             key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(some), BANDS)).copy()
             for r in range(ROWS):
                 key = rh.mix(key * U(0x9E3779B97F4A7C15) + sig[:, :, r])

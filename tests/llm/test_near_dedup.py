@@ -64,6 +64,18 @@ def test_chain_of_neighbours_is_one_class(spark):
     assert got == brute(docs) and set(got.values()) == {0}
 
 
+def test_lines_repeated_a_different_number_of_times(spark):
+    """Equal but for the repeats of one line: similar sets, dissimilar counts."""
+    docs = []
+    for k, (n, times) in enumerate([(104, 30), (104, 10), (204, 20), (104, 60), (300, 200), (104, 30), (150, 45)]):
+        body, line = " ".join(f"w{k}x{i}" for i in range(n)), " ".join(f"l{k}x{i}" for i in range(20))
+        docs += [(2 * k, f"{body}\n{line}"), (2 * k + 1, body + f"\n{line}" * times)]
+    want = brute(docs)
+    assert all(want[i] == i - i % 2 for i, _ in docs)
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_registers_estimate_probability_jaccard():
     rng = np.random.default_rng(0)
     shared, a, b = rng.integers(1, 1 << 62, 300), rng.integers(1, 1 << 62, 40), rng.integers(1, 1 << 62, 60)
