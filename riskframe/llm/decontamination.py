@@ -1,12 +1,14 @@
 """Benchmark decontamination by templates.
 
 Texts are canonicalised to words: lower case, no punctuation, and typed placeholders in place of
-numbers, of names (capitalised words within a sentence) and of units after a number. Windows of
-``WIDTH`` canonical words of the benchmark are hash-joined with those of the documents. Matches of
-a document and an item at one distance from each other belong together: a run of ``RUN`` windows,
-or all of a shorter item, is a leak, provided that the slots are consistent, that is, that each
-value of the item stands for one value in the document throughout. Runs without any slot need no
-such check. So a question asked again with other numbers and names is found as well.
+numbers, of names (capitalised words within a sentence) and of units after a number. They are also
+read with every word as it is. Windows of ``WIDTH`` words of the benchmark are hash-joined with
+those of the documents. Matches of a document and an item at one distance from each other belong
+together: a run of ``RUN`` windows, or all of a shorter item, is a leak, provided that its words are
+the item's, or that the slots are consistent, that is, that each value of the item stands for one
+value in the document throughout. So a question asked again with other numbers and names is found
+as well. Where values differ, windows with fewer than ``LITERALS`` other words count only beside
+all windows that have more.
 
 The benchmark's windows are broadcast while they are counted to be few; beyond that both sides
 are shuffled by hash.
@@ -32,16 +34,23 @@ UNITS = (
     "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "dollar", "dollars", "euro", "euros",
     "cent", "cents", "percent", "degree", "degrees", "v", "w", "kw", "hz", "n", "j", "pa",
 )
-NAME = "\x01"  # stands for a name, or marks one
+NAME = "\x01"  # marks a capitalised word; two of them mark a name within a sentence
 NAME_PATTERN = r"\p{Lu}(?<=\p{Ll}[,;]? .)\p{L}*"  # the upper-case letter is looked for first
+CAPITAL_PATTERN = r"\p{Lu}(?<![\p{L}0-9].)\p{L}*"
 # Code points between words; control, ASCII, Latin-1 and general punctuation, ideographic space and stops.
 BETWEEN = r"[\x00\x02-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F]+"
-NUMBER, UNIT = 1, 3
+NUMBER, UNIT, WITHIN, CAPITAL = 1, 2, 3, 4
+ITEM_READINGS = ((NUMBER, UNIT, WITHIN),)  # kinds of words that are slots; every word as it is comes with each
+DOCUMENT_READINGS = ((), (NUMBER, UNIT, WITHIN))
 
 
-def _words(text: Column, name: str) -> Column:
-    """Lower-case words, names replaced by ``name``; numbers keep inner points and stand apart from letters."""
-    t = F.lower(F.regexp_replace(text, NAME_PATTERN, name))
+def _words(text: Column) -> Column:
+    """Lower-case words; numbers keep inner points and stand apart from letters.
+
+    ``NAME`` stands before capitalised words, twice within a sentence.
+    """
+    t = F.regexp_replace(F.regexp_replace(F.translate(text, NAME, " "), NAME_PATTERN, NAME + "$0"), CAPITAL_PATTERN, NAME + "$0")
+    t = F.lower(t)
     joined = F.regexp_replace(F.regexp_replace(t, r"([0-9])[.,:]([0-9])", "$1_$2"), r"([0-9])[.,:]([0-9])", "$1_$2")
     t = F.when(text.rlike("[0-9]"), F.regexp_replace(joined, r"([0-9])(\p{L})", "$1 $2")).otherwise(t)
     return F.array_remove(F.split(t, BETWEEN), "")
@@ -51,28 +60,42 @@ def _is_number(w: Column) -> Column:
     return (w >= "0") & (w < ":")
 
 
-def _hashes(words: str, number: Column) -> Column:
-    """Hashes of the words, with one value for all numbers and one for all units after a number."""
+def _read(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
+    """The kept columns, ``words`` without marks, ``kinds`` of words and ``_h0``, hashes of the words.
+
+    Kinds: NUMBER, UNIT (after a number), WITHIN (a name within a sentence), CAPITAL (another
+    capitalised word), 0.
+    """
+    text = F.col(text_col)
+    d = df.where(text.isNotNull()).select(*keep, text.rlike("[0-9]").alias("_n"), _words(text).alias("_m"))
+    names = [c for c in d.columns if c not in ("_n", "_m")]
+    d = d.select(*names, "_n", "_m", F.transform("_m", lambda w: F.ltrim(w, F.lit(NAME))).alias("words"))
     units = F.array(*map(F.lit, UNITS))
 
-    def canonical(w: Column, i: Column) -> Column:
-        unit = (i > 0) & _is_number(F.get(words, i - 1)) & F.array_contains(units, w)
-        return F.when(_is_number(w), F.lit(NUMBER).cast("long")).when(unit, F.lit(UNIT).cast("long")).otherwise(F.xxhash64(w))
+    def name(w: Column) -> Column:
+        return F.when(w.startswith(NAME + NAME), WITHIN).when(w.startswith(NAME), CAPITAL).otherwise(0)
+
+    # arrays are arguments, not looked up in lambdas: the planner may move their whole computation in there
+    before = F.slice(F.concat(F.array(F.lit("")), "words"), 1, F.size("words"))
+    value = F.zip_with("words", before, lambda w, b: F.when(_is_number(w), NUMBER).when(_is_number(b) & F.array_contains(units, w), UNIT).otherwise(0))
+    kinds = F.when(F.col("_n"), F.zip_with("_m", value, lambda w, v: F.when(v > 0, v).otherwise(name(w)))).otherwise(F.transform("_m", name))
+    return d.select(*names, "words", kinds.alias("kinds"), F.transform("words", lambda w: F.xxhash64(w)).alias("_h0"))
 
-    return F.when(number, F.transform(words, canonical)).otherwise(F.transform(words, lambda w: F.xxhash64(w)))
+
+def _canonical(slots: tuple[int, ...]) -> Column:
+    """Hashes of the words with one value for all words of each of these kinds; both kinds of names are one."""
+    return F.zip_with("_h0", "kinds", lambda h, k: F.when(k.isin(*slots), F.least(k, F.lit(WITHIN)).cast("long")).otherwise(h))
 
 
 def _paired(left: str, right: str, shift: int) -> Column:
     """Hash of each element of one array with the element ``shift`` places on in another."""
-    return F.transform(left, lambda x, i: F.xxhash64(x, F.get(right, i + shift)))
+    return F.zip_with(left, F.slice(right, shift + 1, 1 << 30), lambda x, y: F.xxhash64(x, y))
 
 
-def template_windows(df: DataFrame, text_col: str, keep: list[Column], width: int = WIDTH) -> DataFrame:
-    """One row per window of ``width`` canonical words: the kept columns, ``i`` and ``h``."""
-    text = F.col(text_col)
-    d = df.where(text.isNotNull()).select(*keep, text.rlike("[0-9]").alias("_n"), _words(text, NAME).alias("_w"))
-    names = [c for c in d.columns if c not in ("_n", "_w")]
-    d = d.select(*names, _hashes("_w", F.col("_n")).alias("_h1"))
+def _windows(d: DataFrame, hashes: Column, width: int, name: str) -> DataFrame:
+    """Add ``name``: the hash of every window of ``width`` words, in order."""
+    names = d.columns
+    d = d.select("*", hashes.alias("_h1"))
     # hashes of 2, 4, 8... words by doubling; a width in between adds the parts it is made of
     part, wide = 1, None
     while part <= width:
@@ -83,27 +106,60 @@ def template_windows(df: DataFrame, text_col: str, keep: list[Column], width: in
             wide = (wide or 0) + part
         part *= 2
     whole = F.slice("_hw", 1, F.greatest(F.size("_h1") - (width - 1), F.lit(0)))  # those that do not run over the end
-    return d.select(*names, F.posexplode(whole).alias("i", "h"))
+    return d.select(*names, whole.alias(name))
 
 
-def with_words(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    """The kept columns, ``words`` (names marked) and ``slot`` (which of them are placeholders)."""
-    text = F.col(text_col)
-    d = df.where(text.isNotNull()).select(*keep, text.rlike("[0-9]").alias("_n"), _words(text, NAME + "$0").alias("words"))
-    names = [c for c in d.columns if c not in ("_n", "words")]
-    d = d.select(*names, "words", _hashes("words", F.col("_n")).alias("_h"))
-    return d.select(*names, "words", F.transform("words", lambda w, i: w.startswith(NAME) | F.get("_h", i).isin(NUMBER, UNIT)).alias("slot"))
+def document_windows(docs: DataFrame, text_col: str, keep: list[Column], width: int = WIDTH) -> DataFrame:
+    """One row per window of ``width`` words and way to read it, equal ones once: the kept columns, ``i`` and ``h``."""
+    d = _read(docs, text_col, keep)
+    names = [c for c in d.columns if c not in ("words", "kinds", "_h0")]
+    read = [f"_r{r}" for r in range(len(DOCUMENT_READINGS))]
+    for r, slots in zip(read, DOCUMENT_READINGS):
+        d = _windows(d, _canonical(slots) if slots else F.col("_h0"), width, r)
+    d = d.select(*names, F.posexplode(F.arrays_zip(*read)).alias("i", "_z"))
+    return d.select(*names, "i", F.explode(F.array_distinct(F.array(*[F.col(f"_z.{r}") for r in read]))).alias("h"))
 
 
-def _slots(i: Column, width: int) -> Column:
-    """Values of the placeholders among words i .. i + width - 1."""
-    at = F.filter(F.sequence(i, i + (width - 1)), lambda p: F.get("slot", p))
-    return F.transform(at, lambda p: F.get("words", p))
+def item_windows(items: DataFrame, width: int = WIDTH, run: int = RUN) -> DataFrame:
+    """Windows of the items to look for, by ``reading``, and what is needed of them.
+
+    ``verbatim``: all words are taken as they are. Otherwise ``at`` and ``there`` are the places
+    and values of the slots, and ``light`` windows have enough other words. Windows with few
+    others are looked for only where an item has fewer than ``run`` light ones, but has some.
+    """
+    # within a sentence the item's first word may pass for a name: it is read both ways
+    first = F.concat(F.lit("a "), F.upper(F.substring("item_text", 1, 1)), F.expr("substring(item_text, 2)"))
+    both = items.withColumn("read", F.explode(F.array(F.struct(F.lit(0).alias("cut"), F.col("item_text").alias("text")), F.struct(F.lit(1).alias("cut"), first.alias("text")))))
+    both = both.select("item_id", F.xxhash64("item_id", "item_text").alias("item"), "read.cut", "read.text")
+    d = _read(both, "text", [F.col("item_id"), F.col("item"), F.col("cut")])
+    every = None
+    for reading, slots in enumerate(ITEM_READINGS):
+        for verbatim in (True, False):
+            w = _windows(d, F.col("_h0") if verbatim else _canonical(slots), width, "_w")
+            w = w.select("item_id", "item", "cut", "words", "kinds", F.posexplode("_w").alias("i", "h")).where(F.col("i") >= F.col("cut"))
+            places = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda o: F.get("kinds", F.col("i") + o).isin(*slots))
+            places = F.array().cast("array<int>") if verbatim else places
+            w = w.withColumn("at", places).select(
+                "item_id", "item", F.lit(reading).alias("reading"), (F.col("i") - F.col("cut")).alias("ipos"), "h", F.lit(verbatim).alias("verbatim"), "at",
+                F.transform("at", lambda o: F.get("words", F.col("i") + o)).alias("there"))
+            every = w if every is None else every.unionByName(w)
+    light = ~F.col("verbatim") & (F.size("at") <= width - min(LITERALS, width - 1))
+    every = every.withColumn("light", light)
+    spoken = ~F.col("verbatim") & (F.size("at") < width)
+    of = lambda c: F.count_distinct(F.when(c, F.col("ipos")))
+    sizes = every.groupBy("item", "reading").agg(
+        (F.max("ipos") + 1).cast("long").alias("n_windows"), of(F.col("light")).alias("n_light"), of(spoken).alias("n_spoken"))
+    if width < WIDTH:  # a width for items of just that length
+        sizes = sizes.where(F.col("n_windows") == 1)
+    every = every.join(sizes, ["item", "reading"])
+    every = every.where(F.col("verbatim") | F.col("light") | (spoken & F.col("n_light").between(1, run - 1)))
+    return every.groupBy("item_id", "item", "reading", "ipos", "h", "n_windows", "n_light", "n_spoken").agg(
+        F.max("verbatim").alias("verbatim"), F.max("light").alias("light"), F.max(F.struct("at", "there")).alias("slots")).select("*", "slots.*").drop("slots")
 
 
 def _widths(items: DataFrame, width: int) -> list[int]:
     """Widths in use: ``width``, and the lengths of items that are shorter; a handful at most."""
-    n = F.least(F.size(_words(F.col("item_text"), NAME)), F.lit(width))
+    n = F.least(F.size(_words(F.col("item_text"))), F.lit(width))
     return sorted(r[0] for r in items.where(F.col("item_text").isNotNull()).select(n.alias("n")).distinct().collect() if r[0] >= SHORTEST)
 
 
@@ -116,48 +172,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items without id and items of fewer than five words match nothing. Items that repeat an id are joined into one
     set of windows; items that share a text each get their rows.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).distinct()
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_id is not null").distinct()
     k1, k2 = doc_keys(F.col(id_col), F.col(text_col))
     found = None
     for w in _widths(items, width):
-        # within a sentence the item's first word may pass for a name: it is read both ways
-        both = items.withColumn("read", F.explode(F.array(F.struct(F.lit(0).alias("cut"), F.col("item_text").alias("text")),
-                                                          F.struct(F.lit(1).alias("cut"), F.concat(F.lit("a "), "item_text").alias("text")))))
-        both = both.select("item_id", F.xxhash64("item_id", "item_text").alias("item"), "read.cut", "read.text")
-        keep = [F.col("item_id"), F.col("item"), F.col("cut")]
-        side = template_windows(both, "text", keep, w).join(with_words(both, "text", keep), ["item_id", "item", "cut"])
-        side = side.where(F.col("i") >= F.col("cut")).select("item_id", "item", (F.col("i") - F.col("cut")).alias("ipos"), "h", _slots(F.col("i"), w).alias("islots"))
-        sizes = side.groupBy("item").agg((F.max("ipos") + 1).cast("long").alias("n_windows"))
-        if w < width:  # a width for items of just that length
-            sizes = sizes.where(F.col("n_windows") == 1)
-        side = side.where(F.size("islots") <= w - min(LITERALS, w - 1)).dropDuplicates(["item", "ipos", "h"]).join(sizes, "item")
-        side = materialise(side, f"benchmark-{w}")
+        side = materialise(item_windows(items, w, run), f"benchmark-{w}")
         few = side.count() <= broadcast_rows
-        mine = template_windows(docs, text_col, [F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2")], w)
+        mine = document_windows(docs, text_col, [F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2")], w)
         hits = mine.join(F.broadcast(side) if few else side, "h").select(
-            "doc_id", "k1", "k2", "i", "item_id", "item", "n_windows", (F.col("i") - F.col("ipos")).alias("diagonal"), "ipos", "islots", F.lit(w).alias("w"))
+            "doc_id", "k1", "k2", "i", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", (F.col("i") - F.col("ipos")).alias("diagonal"),
+            "ipos", "verbatim", "light", "at", "there", F.lit(w).alias("w"))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         empty = items.limit(0).select(F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), "item_id")
         return docs.limit(0).select(F.col(id_col).alias("doc_id")).join(empty, F.lit(False)).select(
             "doc_id", "k1", "k2", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_matched"), F.lit(False).alias("changed"))
     hits = materialise(found.distinct(), "leaks")
-    run_key = ["doc_id", "k1", "k2", "item_id", "item", "n_windows", "w", "diagonal"]
-    plain = F.size("islots") == 0
-    runs = hits.groupBy(*run_key).agg(F.count_distinct("ipos").alias("n_matched"), F.count_distinct(F.when(plain, F.col("ipos"))).alias("n_plain"))
+    run_key = ["doc_id", "k1", "k2", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", "w", "diagonal"]
+    of = lambda c: F.count_distinct(F.when(c, F.col("ipos")))
+    runs = hits.groupBy(*run_key).agg(
+        F.count_distinct("ipos").alias("n_matched"), of(F.col("verbatim")).alias("n_same"), of(F.col("light")).alias("n_lit"), of(F.col("verbatim") | F.col("light")).alias("n_good"))
     # the words of documents are read again only where a matched window has slots
-    open_ = hits.where(~plain)
+    open_ = hits.where(F.size("at") > 0)
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).join(open_.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-    keyed = with_words(keyed.dropDuplicates(["k1", "k2"]), "text", [F.col("k1"), F.col("k2")])
-    here = F.transform(F.filter(F.sequence(F.lit(0), F.col("w") - 1), lambda o: F.get("slot", F.col("i") + o)), lambda o: F.get("words", F.col("i") + o))
-    pairs = open_.join(keyed, ["k1", "k2"]).select(*run_key, F.explode(F.arrays_zip(F.col("islots").alias("there"), here.alias("here"))).alias("z"))
+    keyed = _read(keyed.dropDuplicates(["k1", "k2"]), "text", [F.col("k1"), F.col("k2")]).select("k1", "k2", "words")
+    here = F.transform("at", lambda o: F.get("words", F.col("i") + o))
+    pairs = open_.join(keyed, ["k1", "k2"]).select(*run_key, F.explode(F.arrays_zip(F.col("there"), here.alias("here"))).alias("z"))
     pairs = pairs.groupBy(*run_key, F.col("z.there").alias("there")).agg(F.min("z.here").alias("low"), F.max("z.here").alias("high"))
     slots = pairs.groupBy(*run_key).agg(
         F.min(F.col("low") == F.col("high")).alias("consistent"), F.max((F.col("low") != F.col("there")) | (F.col("high") != F.col("there"))).alias("changed"))
     same = [runs[c].eqNullSafe(slots[c]) for c in run_key]
-    joined = runs.join(slots, same, "left").select(*[runs[c] for c in run_key], "n_matched", "n_plain", "consistent", "changed")
+    joined = runs.join(slots, same, "left").select(*[runs[c] for c in run_key], "n_matched", "n_same", "n_lit", "n_good", "consistent", "changed")
     need = F.least(F.lit(run), F.col("n_windows"))
-    leak = joined.where(F.when(F.coalesce("consistent", F.lit(True)), F.col("n_matched") >= need).otherwise(F.col("n_plain") >= need))
+    # an item with too few light windows needs all of them, and windows with fewer words beside
+    dense = F.col("n_light").between(1, run - 1) & (F.col("n_lit") >= F.col("n_light")) & (F.col("n_matched") >= F.least(F.lit(run), F.col("n_spoken")))
+    leak = joined.where((F.col("n_same") >= need) | (F.coalesce("consistent", F.lit(True)) & ((F.col("n_good") >= need) | dense)))
     return leak.groupBy("doc_id", "k1", "k2", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
 

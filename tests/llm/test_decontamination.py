@@ -43,3 +43,15 @@ def test_empty_tables_and_clashing_columns(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
     long = " ".join(f"w{i}" for i in range(30000)) + " " + PLAIN
     assert found(spark, [(1, long)]) == {(1, 2): False}
+
+
+def test_number_dense_items(spark):
+    dense = "what is 3 kg plus 4 kg plus 5 kg in g today"
+    one = "add 3 kg 4 kg and 5 kg"
+    docs = [
+        (1, f"They asked: {dense}?"), (2, "They asked: what is 9 kg plus 2 kg plus 7 kg in g today?"), (3, f"Now {one} please"), (4, "2 kg plus 7 kg plus 5 kg"),
+        (5, "what is 3 kg plus 4 kg plus 5 kg in bed today"), (6, "1 kg 2 kg 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg 9 kg"),
+    ]
+    got = found(spark, docs, ((1, dense), (2, one)))
+    assert got == {(1, 1): False, (2, 1): True, (3, 2): False}
+    assert found(spark, docs, ((1, dense), (2, one)), broadcast_rows=0) == got
