@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Texts are canonicalised to words: lower case, no punctuation, and typed placeholders in place of
-numbers, of names (capitalised words within a sentence) and of units after a number. They are also
+numbers, of names and of units after a number. Names are read in three ways: capitalised words
+within a sentence, all capitalised words, and none, for copies in other capitals. Texts are also
 read with every word as it is. Windows of ``WIDTH`` words of the benchmark are hash-joined with
 those of the documents. Matches of a document and an item at one distance from each other belong
 together: a run of ``RUN`` windows, or all of a shorter item, is a leak, provided that its words are
@@ -40,8 +41,9 @@ CAPITAL_PATTERN = r"\p{Lu}(?<![\p{L}0-9].)\p{L}*"
 # Code points between words; control, ASCII, Latin-1 and general punctuation, ideographic space and stops.
 BETWEEN = r"[\x00\x02-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F]+"
 NUMBER, UNIT, WITHIN, CAPITAL = 1, 2, 3, 4
-ITEM_READINGS = ((NUMBER, UNIT, WITHIN),)  # kinds of words that are slots; every word as it is comes with each
-DOCUMENT_READINGS = ((), (NUMBER, UNIT, WITHIN))
+# kinds of words that are slots; every word as it is comes with each reading of an item
+ITEM_READINGS = ((NUMBER, UNIT, WITHIN), (NUMBER, UNIT, WITHIN, CAPITAL), (NUMBER, UNIT))
+DOCUMENT_READINGS = ((), *ITEM_READINGS)
 
 
 def _words(text: Column) -> Column:

@@ -55,3 +55,14 @@ def test_number_dense_items(spark):
     got = found(spark, docs, ((1, dense), (2, one)))
     assert got == {(1, 1): False, (2, 1): True, (3, 2): False}
     assert found(spark, docs, ((1, dense), (2, one)), broadcast_rows=0) == got
+
+
+def test_names_at_any_place_and_in_any_case(spark):
+    tom = "Tom has 3 apples. Tom buys 4 more. Tom eats 2. How many apples does Tom have?"
+    short = "Is it true: Tom owns 3 red boats near Rome"
+    docs = [
+        (1, tom.replace("Tom", "Anna")), (2, "He asked: " + tom.replace("Tom", "Anna").replace("4", "9")), (3, tom.replace("Tom", "Anna", 2)), (4, ITEM.lower()), (5, ITEM.upper()),
+        (6, ITEM.title()), (7, ITEM.lower().replace("7", "9")), (8, short.replace("Tom", "Anna")), (9, short.upper()), (10, "Tom Has Many Apples And Anna Buys A Few"),
+    ]
+    got = found(spark, docs, ((1, ITEM), (2, tom), (3, short)))
+    assert got == {(1, 2): True, (2, 2): True, (4, 1): False, (5, 1): False, (6, 1): False, (7, 1): True, (8, 3): True, (9, 3): False}
