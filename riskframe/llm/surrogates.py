@@ -9,7 +9,8 @@ the same script; a card that passes its check digit still does; a given name is
 the honorific's gender.
 
 Surrogates are checked over the corpus: two entities never share one, and none is an entity that
-occurs itself. Whoever fails draws again, in rounds, until all differ.
+occurs itself. Whoever fails draws again, in rounds, until all differ; names and mail addresses get
+longer from round ``GROW`` on, so that short ones do not run out.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import free_name, materialise, text_key
 
 ROUNDS = 60
+GROW = 4  # rounds at the entity's own length; then spelled surrogates get a letter more each round
 
 # Patterns of the types, in the order in which they are tried at a place.
 MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
@@ -95,7 +97,8 @@ def _candidate(identity: Column, seed: Column) -> Column:
         for pattern, letters in LETTERS:
             out = out.when(c.rlike(pattern), F.substring(F.lit(letters), _draw(seed, i, len(letters)) + 1, F.lit(1)))
         ideograph = F.decode(F.unhex(F.hex(_draw(seed, i, 0x5000) + 0x4E00)), "UTF-16BE")
-        return out.when((c >= "一") & (c <= "鿿"), ideograph).otherwise(c)
+        out = out.when((c >= "一") & (c <= "鿿"), ideograph)
+        return out.when(c.rlike(r"\p{L}"), F.substring(F.lit("bcdfghjklmnprstvwz"), _draw(seed, i, 18) + 1, F.lit(1))).otherwise(c)  # of another script
 
     chars = _characters(identity)
     spelled = F.array_join(F.transform(chars, letter), "")
@@ -111,7 +114,12 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
     pending, done = entities, None
     for attempt in range(ROUNDS):
         seed = F.sha2(F.concat_ws("|", F.lit(key), "kind", "identity", F.lit(str(attempt))), 256)
-        parts = _candidate(F.col("identity"), F.col("seed"))
+        more = max(0, attempt - GROW + 1)
+        longer = (
+            F.when(F.col("kind").isin("male", "female"), F.concat("identity", F.repeat(F.substring("identity", -1, 1), F.lit(more))))
+            .when(F.col("kind") == "mail", F.concat(F.lit("b" * more), "identity")).otherwise(F.col("identity"))
+        )
+        parts = _candidate(longer, F.col("seed"))
         mailed = F.concat(F.expr("substring(spelled, 1, length(spelled) - length(identity_end))"), F.col("identity_end"))
         tried = pending.withColumn("seed", seed).withColumn("parts", parts).select("kind", "identity", "seed", "parts.*")
         valid = _check_sum(F.col("identity")) % 10 == 0
@@ -127,7 +135,7 @@ def _surrogates(entities: DataFrame, key: str) -> DataFrame:
         surrogate = (
             F.when(F.col("kind").isin("male", "female"), named).when(F.col("kind") == "mail", mailed).when(F.col("kind") == "address", F.col("octets"))
             .when((F.col("kind") == "card") & valid, F.concat(body, check)).when(F.col("kind").isin(*_NUMBERS), F.col("digits"))
-            .when((F.col("kind") == "secret") & F.col("identity").rlike("^[0-9a-f]+$"), F.col("hexed"))
+            .when((F.col("kind") == "secret") & (F.col("identity").rlike("^[0-9a-f]+$") | F.lit(more > 0)), F.col("hexed"))
             .when(F.col("kind") == "account", F.concat(F.substring("identity", 1, 2), F.expr("substring(spelled, 3, length(spelled))"))).otherwise(F.col("spelled"))
         )
         tried = tried.select("kind", "identity", surrogate.alias("surrogate"))

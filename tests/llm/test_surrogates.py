@@ -49,6 +49,17 @@ def test_collisions_are_drawn_again(spark):
     assert len(rows) == 7 and len(set(made)) == 7 and not set(made) & set("012345x")
 
 
+def test_short_names_do_not_run_out(spark):
+    names = [("male", c + v) for c in "bcdfghjklmnpqrstvwxz" for v in "aeiou"]
+    mails = [("mail", f"{c}@{d}.org") for c in "aeiou" for d in "aeiou"]
+    rows = [*names, *mails, ("female", "արամ"), ("secret", "$%&!$%&!")]
+    made = {(r.kind, r.identity): r.surrogate for r in s._surrogates(spark.createDataFrame(rows, "kind string, identity string"), "k").collect()}
+    assert set(made) == set(rows) and len({(k, v) for (k, _), v in made.items()}) == len(rows)
+    assert not {(k, v) for (k, _), v in made.items()} & set(rows)
+    assert not set("արմ") & set(made["female", "արամ"]) and "$" not in made["secret", "$%&!$%&!"]
+    assert all(re.fullmatch(r"[a-z]+@[a-z]\.org", v) for (k, _), v in made.items() if k == "mail")
+
+
 def test_odd_inputs(spark):
     assert replaced(spark, None, "", " ", "no data here") == [None, "", " ", "no data here"]
     docs = spark.createDataFrame([(1, "a@b.org"), (1, "a@b.org"), (None, "a@b.org and 10.1.2.3"), (2, None)], "doc_id long, text string")
