@@ -1,17 +1,13 @@
-"""Minority oversampling by borderline interpolation, with bucketed nearest neighbours.
+"""Minority oversampling by borderline interpolation, with exact nearest neighbours.
 
-Candidates come from random-hyperplane signatures (several tables). Signatures are prefixes
-of one long bit string: a bucket that is too large is split by taking more bits, and one
-that is still too large is cut into blocks whose pairs of blocks are separate small tasks.
+Minority points are compared with all points at every size: both are cut into blocks, each block of
+queries meets each block of points in a task of its own, and the nearest of all blocks are merged.
 Copies of one vector are merged into a single weighted point before any of this, so they
-never meet each other. Inside a bucket the search is exact; with few points there is one
-bucket and the whole search is exact.
+never meet each other.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,7 +17,6 @@ from pyspark.sql import Window as W
 from ..functions.hashing import hash_fraction, stable_hash
 from .chunks import running
 
-BITS = 48
 BUCKET = 4000  # points a task compares at once
 
 
@@ -32,61 +27,21 @@ def distinct_points(df: DataFrame, id_col: str, vector: str, label: str) -> Data
         F.min(id_col).alias("pid"), F.count_if(y == 1).alias("n_min"), F.count_if(y != 1).alias("n_maj"))
 
 
-def with_signatures(points: DataFrame, dim: int, tables: int, seed: int) -> DataFrame:
-    """Add ``sigs``: one BITS-bit signature per table, from vectors centred on their mean."""
-    mean = points.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()  # dim rows
-    centre = np.array([r["m"] for r in mean])
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * BITS))
-    powers = (1 << np.arange(BITS - 1, -1, -1)).astype(np.int64)
-
-    @F.pandas_udf("array<long>")
-    def sign(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy()) - centre
-        bits = (x @ planes > 0).reshape(len(x), tables, BITS)
-        return pd.Series(list((bits * powers).sum(axis=2)))
-
-    return points.withColumn("sigs", sign("vec"))
-
-
-def bucketed(points: DataFrame, tables: int, n_points: int, bucket: int = BUCKET, step: int = 6) -> DataFrame:
-    """One row per (point, table) with its bucket key: the shortest signature prefix, of the
-    lengths tried, that holds at most ``bucket`` points (else the longest), and its size."""
-    first = max(0, math.ceil(math.log2(max(n_points, 1) / bucket)))
-    levels = sorted({*range(first, BITS, step), BITS})
-    rows = points.select("*", F.posexplode("sigs").alias("table", "sig")).drop("sigs")
-    prefix = lambda n: F.shiftrightunsigned("sig", BITS - n) if n else F.lit(0).cast("long")
-    tries = F.array(*[F.struct(F.lit(n).alias("level"), prefix(n).alias("prefix")) for n in levels])
-    sizes = rows.select("table", F.explode(tries).alias("k")).groupBy("table", "k").agg(F.count(F.lit(1)).alias("size"))
-    fits = (rows.select("pid", "table", F.explode(tries).alias("k")).join(sizes, ["table", "k"])
-            .groupBy("pid", "table").agg(F.min(F.when((F.col("size") <= bucket) | (F.col("k.level") == BITS),
-                                                      F.struct("k", "size"))).alias("b")))
-    return rows.drop("sig").join(fits, ["pid", "table"]).select(
-        "pid", "vec", "n_min", "n_maj", F.struct("table", "b.k").alias("bucket"), F.col("b.size").alias("size"))
-
-
 def nearest(points: DataFrame, dim: int, k_all: int, k_min: int, tables: int = 4, seed: int = 0,
             bucket: int = BUCKET) -> DataFrame:
-    """For every minority point, its nearest points and nearest minority points.
+    """For every minority point, its nearest points and nearest minority points, exactly.
 
-    Rows: pid, kind ('all' or 'min'), rank, other, dist, n_min, n_maj.
+    Rows: pid, kind ('all' or 'min'), rank, other, dist, n_min, n_maj. A task compares at most about
+    ``bucket`` queries with ``bucket`` points; the result depends on none of ``tables``, ``seed`` and ``bucket``.
     """
-    n = points.count()
-    if n <= bucket:  # one bucket, no signatures
-        one = F.struct(F.lit(0).alias("table"), F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("prefix")).alias("k"))
-        b = points.select("pid", "vec", "n_min", "n_maj", one.alias("bucket"), F.lit(n).alias("size"))
-    else:
-        b = bucketed(with_signatures(points, dim, tables, seed), tables, n, bucket)
-    blocks = F.ceil(F.col("size") / F.lit(bucket)).cast("int")
-    own = F.pmod(stable_hash("pid", seed=seed), blocks).cast("int")
-    b = b.withColumn("blocks", blocks).withColumn("own", own)
-    # each block of queries meets each block of points once: tasks of at most about bucket x bucket
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    key = F.to_json("bucket").alias("bucket_id")
-    queries = b.where("n_min > 0").select(key, F.col("own").alias("qb"), F.explode(every).alias("pb"),
-                                          F.col("pid").alias("qid"), F.col("vec").alias("qvec"))
-    data = b.select(key, F.explode(every).alias("qb"), F.col("own").alias("pb"), F.col("pid").alias("oid"),
-                    F.col("vec").alias("ovec"), F.col("n_min").alias("n_min"), F.col("n_maj").alias("n_maj"))
-    keys = ["bucket_id", "qb", "pb"]
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_min") > 0).alias("q")).first()
+    n_blocks, q_blocks = (max(1, -(-n // bucket)) for n in size)
+    own = lambda n: F.pmod(stable_hash("pid", seed=seed), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # each block of queries meets each block of points once
+    queries = points.where("n_min > 0").select(own(q_blocks).alias("qb"), every(n_blocks).alias("pb"), F.col("pid").alias("qid"), F.col("vec").alias("qvec"))
+    data = points.select(every(q_blocks).alias("qb"), own(n_blocks).alias("pb"), F.col("pid").alias("oid"), F.col("vec").alias("ovec"), "n_min", "n_maj")
+    keys = ["qb", "pb"]
 
     def search(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -109,10 +64,9 @@ def nearest(points: DataFrame, dim: int, k_all: int, k_min: int, tables: int = 4
     pid_type = dict(points.dtypes)["pid"]
     found = queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(
         search, f"pid {pid_type}, kind string, other {pid_type}, d2 double, n_min long, n_maj long")
-    merged = found.groupBy("pid", "kind", "other").agg(F.min("d2").alias("d2"), F.first("n_min").alias("n_min"), F.first("n_maj").alias("n_maj"))
     rank = F.row_number().over(W.partitionBy("pid", "kind").orderBy("d2", "other"))
     limit = F.when(F.col("kind") == "all", k_all).otherwise(k_min)
-    return merged.withColumn("rank", rank).where(F.col("rank") <= limit).select(
+    return found.withColumn("rank", rank).where(F.col("rank") <= limit).select(
         "pid", "kind", "rank", "other", F.sqrt("d2").alias("dist"), "n_min", "n_maj")
 
 

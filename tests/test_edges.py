@@ -416,6 +416,21 @@ def test_oversampling_with_copies_and_split_buckets(spark):
     assert new.count() == need and new.where("base = other").isEmpty()
 
 
+def test_neighbours_do_not_depend_on_the_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vec = rng.normal(0, 1, (600, 12))
+    y = (np.arange(600) % 6 == 0).astype(int)
+    p = oversample.distinct_points(spark.createDataFrame([(i, [float(x) for x in v], int(c)) for i, (v, c) in enumerate(zip(vec, y))], "id long, v array<double>, y int"), "id", "v", "y")
+    got = {(r["pid"], r["kind"], r["rank"]): r["other"] for r in oversample.nearest(p, 12, 10, 5, bucket=45).collect()}
+    want = {}
+    for i in np.flatnonzero(y):
+        order = [int(j) for j in np.argsort(((vec - vec[i]) ** 2).sum(1)) if j != i]
+        want |= {(i, "all", r + 1): j for r, j in enumerate(order[:10])} | {(i, "min", r + 1): j for r, j in enumerate([j for j in order if y[j]][:5])}
+    assert got == want
+
+
 # ---- sources -------------------------------------------------------------------------------
 
 def test_sources_round_trip(spark, tmp_path):
