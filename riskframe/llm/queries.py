@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, surrogates, token_counts
+from . import bpe, decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, surrogates, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,10 @@ def _op2(table):
     edited = token_counts.apply(trees, count, "edits")
     return edited.select("doc_id", "n_tokens", F.size("edits").cast("long").alias("n_edits"), token_counts.total("tree").alias("n_tokens_edited"),
                          F.col("encoded").cast("long").alias("n_chars_encoded"))
+
+
+@query("op12_speculative_bpe")
+def _op12(table):
+    rows = bpe.encode(table("documents").select("doc_id", "text"), decoded_col="decoded")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
+                       F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
