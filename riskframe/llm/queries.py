@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_dedup, surrogates, token_counts
+from . import bpe, decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, spelling, suffix_dedup, surrogates, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,8 @@ def _op12(table):
     rows = bpe.encode(table("documents").select("doc_id", "text"), decoded_col="decoded")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op13_sorted_spelling", spelling.SQL)
+def _op13(table):
+    return spelling.group(spelling.vocabulary(table("documents")))
