@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
-from . import bpe, decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, spelling, suffix_dedup, surrogates, token_counts
+from . import bpe, conversations, decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, spelling, suffix_dedup, surrogates, token_counts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,8 @@ def _op12(table):
 @query("op13_sorted_spelling", spelling.SQL)
 def _op13(table):
     return spelling.group(spelling.vocabulary(table("documents")))
+
+
+@query("op11_deepening_repair")
+def _op11(table):
+    return conversations.report(table("conversations"))
