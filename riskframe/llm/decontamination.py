@@ -84,9 +84,9 @@ def _read(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     return d.select(*names, "words", kinds.alias("kinds"), F.transform("words", lambda w: F.xxhash64(w)).alias("_h0"))
 
 
-def _canonical(slots: tuple[int, ...]) -> Column:
-    """Hashes of the words with one value for all words of each of these kinds; both kinds of names are one."""
-    return F.zip_with("_h0", "kinds", lambda h, k: F.when(k.isin(*slots), F.least(k, F.lit(WITHIN)).cast("long")).otherwise(h))
+def _canonical(hashes: str, kinds: str, slots: Column) -> Column:
+    """Hashes of the words with one value for all words of each of the kinds in ``slots``; both kinds of names are one."""
+    return F.zip_with(hashes, kinds, lambda h, k: F.when(F.array_contains(slots, k), F.least(k, F.lit(WITHIN)).cast("long")).otherwise(h))
 
 
 def _paired(left: str, right: str, shift: int) -> Column:
@@ -94,68 +94,75 @@ def _paired(left: str, right: str, shift: int) -> Column:
     return F.zip_with(left, F.slice(right, shift + 1, 1 << 30), lambda x, y: F.xxhash64(x, y))
 
 
-def _windows(d: DataFrame, hashes: Column, width: int, name: str) -> DataFrame:
-    """Add ``name``: the hash of every window of ``width`` words, in order."""
+def _windows(d: DataFrame, hashes: dict[str, Column], widths: list[int]) -> DataFrame:
+    """Add ``{name}_{width}``: the hash of every window of ``width`` words, in order, for each name and width."""
     names = d.columns
-    d = d.select("*", hashes.alias("_h1"))
-    # hashes of 2, 4, 8... words by doubling; a width in between adds the parts it is made of
-    part, wide = 1, None
-    while part <= width:
-        if part > 1:
-            d = d.withColumn(f"_h{part}", _paired(f"_h{part // 2}", f"_h{part // 2}", part // 2))
-        if width & part:
-            d = d.withColumn("_hw", F.col(f"_h{part}") if wide is None else _paired("_hw", f"_h{part}", wide))
-            wide = (wide or 0) + part
+    d = d.select("*", *[c.alias(f"{n}_1h") for n, c in hashes.items()])
+    # hashes of 2, 4, 8... words by doubling, shared by the widths
+    part = 1
+    while 2 * part <= max(widths):
+        d = d.select("*", *[_paired(f"{n}_{part}h", f"{n}_{part}h", part).alias(f"{n}_{2 * part}h") for n in hashes])
         part *= 2
-    whole = F.slice("_hw", 1, F.greatest(F.size("_h1") - (width - 1), F.lit(0)))  # those that do not run over the end
-    return d.select(*names, whole.alias(name))
-
-
-def document_windows(docs: DataFrame, text_col: str, keep: list[Column], width: int = WIDTH) -> DataFrame:
-    """One row per window of ``width`` words and way to read it, equal ones once: the kept columns, ``i`` and ``h``."""
+    out = []
+    for n in hashes:
+        for w in widths:
+            # a width in between adds the parts it is made of
+            parts = [p for p in (1 << b for b in range(w.bit_length())) if w & p]
+            whole, size = F.col(f"{n}_{parts[0]}h"), parts[0]
+            for p in parts[1:]:
+                whole, size = _paired(whole, f"{n}_{p}h", size), size + p
+            fits = F.greatest(F.size(f"{n}_1h") - (w - 1), F.lit(0))  # those that do not run over the end
+            out.append(F.slice(whole, 1, fits).alias(f"{n}_{w}"))
+    return d.select(*names, *out)
+
+
+def document_windows(docs: DataFrame, text_col: str, keep: list[Column], widths: list[int]) -> DataFrame:
+    """One row per window and way to read it, equal ones once: the kept columns, ``i``, ``h`` and ``here``, the words from place ``i``.
+
+    ``here`` is worked out after a broadcast join, for windows that match only.
+    """
     d = _read(docs, text_col, keep)
     names = [c for c in d.columns if c not in ("words", "kinds", "_h0")]
-    read = [f"_r{r}" for r in range(len(DOCUMENT_READINGS))]
-    for r, slots in zip(read, DOCUMENT_READINGS):
-        d = _windows(d, _canonical(slots) if slots else F.col("_h0"), width, r)
-    d = d.select(*names, F.posexplode(F.arrays_zip(*read)).alias("i", "_z"))
-    return d.select(*names, "i", F.explode(F.array_distinct(F.array(*[F.col(f"_z.{r}") for r in read]))).alias("h"))
+    read = {f"r{r}": _canonical("_h0", "kinds", F.array(*map(F.lit, slots))) if slots else F.col("_h0") for r, slots in enumerate(DOCUMENT_READINGS)}
+    d = _windows(d.select(*names, "words", "kinds", "_h0"), read, widths)
+    every = [f"{r}_{w}" for w in widths for r in read]
+    d = d.select(*names, "words", F.posexplode(F.arrays_zip(*every)).alias("i", "_z"))
+    d = d.select(*names, "words", "i", F.explode(F.array_distinct(F.array(*[F.col(f"_z.{c}") for c in every]))).alias("h")).where("h is not null")
+    return d.select(*names, "i", "h", F.slice("words", F.col("i") + 1, max(widths)).alias("here"))
 
 
-def item_windows(items: DataFrame, width: int = WIDTH, run: int = RUN) -> DataFrame:
+def item_windows(items: DataFrame, widths: list[int], run: int = RUN) -> DataFrame:
     """Windows of the items to look for, by ``reading``, and what is needed of them.
 
     ``verbatim``: all words are taken as they are. Otherwise ``at`` and ``there`` are the places
     and values of the slots, and ``light`` windows have enough other words. Windows with few
     others are looked for only where an item has fewer than ``run`` light ones, but has some.
+    An item is cut into windows of the last of ``widths``, or of its own length if that is another of them.
     """
     # within a sentence the item's first word may pass for a name: it is read both ways
     first = F.concat(F.lit("a "), F.upper(F.substring("item_text", 1, 1)), F.expr("substring(item_text, 2)"))
     both = items.withColumn("read", F.explode(F.array(F.struct(F.lit(0).alias("cut"), F.col("item_text").alias("text")), F.struct(F.lit(1).alias("cut"), first.alias("text")))))
     both = both.select("item_id", F.xxhash64("item_id", "item_text").alias("item"), "read.cut", "read.text")
     d = _read(both, "text", [F.col("item_id"), F.col("item"), F.col("cut")])
-    every = None
-    for reading, slots in enumerate(ITEM_READINGS):
-        for verbatim in (True, False):
-            w = _windows(d, F.col("_h0") if verbatim else _canonical(slots), width, "_w")
-            w = w.select("item_id", "item", "cut", "words", "kinds", F.posexplode("_w").alias("i", "h")).where(F.col("i") >= F.col("cut"))
-            places = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda o: F.get("kinds", F.col("i") + o).isin(*slots))
-            places = F.array().cast("array<int>") if verbatim else places
-            w = w.withColumn("at", places).select(
-                "item_id", "item", F.lit(reading).alias("reading"), (F.col("i") - F.col("cut")).alias("ipos"), "h", F.lit(verbatim).alias("verbatim"), "at",
-                F.transform("at", lambda o: F.get("words", F.col("i") + o)).alias("there"))
-            every = w if every is None else every.unionByName(w)
-    light = ~F.col("verbatim") & (F.size("at") <= width - min(LITERALS, width - 1))
-    every = every.withColumn("light", light)
-    spoken = ~F.col("verbatim") & (F.size("at") < width)
-    of = lambda c: F.count_distinct(F.when(c, F.col("ipos")))
-    sizes = every.groupBy("item", "reading").agg(
-        (F.max("ipos") + 1).cast("long").alias("n_windows"), of(F.col("light")).alias("n_light"), of(spoken).alias("n_spoken"))
-    if width < WIDTH:  # a width for items of just that length
-        sizes = sizes.where(F.col("n_windows") == 1)
-    every = every.join(sizes, ["item", "reading"])
-    every = every.where(F.col("verbatim") | F.col("light") | (spoken & F.col("n_light").between(1, run - 1)))
-    return every.groupBy("item_id", "item", "reading", "ipos", "h", "n_windows", "n_light", "n_spoken").agg(
+    d = d.withColumn("width", F.least(F.size("words") - F.col("cut"), F.lit(widths[-1]))).where(F.col("width").isin(widths))
+    ways = [F.struct(F.lit(r).alias("reading"), F.lit(v).alias("verbatim"), F.array(*map(F.lit, slots)).alias("slots")) for r, slots in enumerate(ITEM_READINGS) for v in (True, False)]
+    d = d.withColumn("way", F.explode(F.array(*ways))).select("*", "way.*").drop("way")
+    # a verbatim window has no slots
+    d = d.withColumn("slots", F.when(F.col("verbatim"), F.array().cast("array<int>")).otherwise(F.col("slots")))
+    d = _windows(d, {"w": _canonical("_h0", "kinds", F.col("slots"))}, widths)
+    mine = F.coalesce(*[F.when(F.col("width") == w, F.col(f"w_{w}")) for w in widths])
+    d = d.select("item_id", "item", "reading", "verbatim", "cut", "width", "words", "kinds", "slots", F.posexplode(mine).alias("i", "h")).where(F.col("i") >= F.col("cut"))
+    at = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda o: F.array_contains("slots", F.get("kinds", F.col("i") + o)))
+    d = d.withColumn("at", at).select(
+        "item_id", "item", "reading", (F.col("i") - F.col("cut")).alias("ipos"), "h", "verbatim", "width", "at", F.transform("at", lambda o: F.get("words", F.col("i") + o)).alias("there"))
+    literals = F.least(F.lit(LITERALS), F.col("width") - 1)
+    d = d.withColumns({"light": ~F.col("verbatim") & (F.size("at") <= F.col("width") - literals), "spoken": ~F.col("verbatim") & (F.size("at") < F.col("width"))})
+    one = lambda c: F.sum(F.col(c).cast("long"))
+    sizes = d.groupBy("item", "reading", "ipos").agg(F.max("light").alias("light"), F.max("spoken").alias("spoken"))
+    sizes = sizes.groupBy("item", "reading").agg((F.max("ipos") + 1).cast("long").alias("n_windows"), one("light").alias("n_light"), one("spoken").alias("n_spoken"))
+    d = d.join(sizes, ["item", "reading"])
+    d = d.where(F.col("verbatim") | F.col("light") | (F.col("spoken") & F.col("n_light").between(1, run - 1)))
+    return d.groupBy("item_id", "item", "reading", "ipos", "h", "n_windows", "n_light", "n_spoken").agg(
         F.max("verbatim").alias("verbatim"), F.max("light").alias("light"), F.max(F.struct("at", "there")).alias("slots")).select("*", "slots.*").drop("slots")
 
 
@@ -176,39 +183,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text")).where("item_id is not null").distinct()
     k1, k2 = doc_keys(F.col(id_col), F.col(text_col))
-    found = None
-    for w in _widths(items, width):
-        side = materialise(item_windows(items, w, run), f"benchmark-{w}")
-        few = side.count() <= broadcast_rows
-        mine = document_windows(docs, text_col, [F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2")], w)
-        hits = mine.join(F.broadcast(side) if few else side, "h").select(
-            "doc_id", "k1", "k2", "i", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", (F.col("i") - F.col("ipos")).alias("diagonal"),
-            "ipos", "verbatim", "light", "at", "there", F.lit(w).alias("w"))
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    widths = _widths(items, width)
+    if not widths:
         empty = items.limit(0).select(F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), "item_id")
         return docs.limit(0).select(F.col(id_col).alias("doc_id")).join(empty, F.lit(False)).select(
             "doc_id", "k1", "k2", "item_id", F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("n_matched"), F.lit(False).alias("changed"))
-    hits = materialise(found.distinct(), "leaks")
-    run_key = ["doc_id", "k1", "k2", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", "w", "diagonal"]
-    of = lambda c: F.count_distinct(F.when(c, F.col("ipos")))
-    runs = hits.groupBy(*run_key).agg(
-        F.count_distinct("ipos").alias("n_matched"), of(F.col("verbatim")).alias("n_same"), of(F.col("light")).alias("n_lit"), of(F.col("verbatim") | F.col("light")).alias("n_good"))
-    # the words of documents are read again only where a matched window has slots
-    open_ = hits.where(F.size("at") > 0)
-    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).join(open_.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-    keyed = _read(keyed.dropDuplicates(["k1", "k2"]), "text", [F.col("k1"), F.col("k2")]).select("k1", "k2", "words")
-    here = F.transform("at", lambda o: F.get("words", F.col("i") + o))
-    pairs = open_.join(keyed, ["k1", "k2"]).select(*run_key, F.explode(F.arrays_zip(F.col("there"), here.alias("here"))).alias("z"))
-    pairs = pairs.groupBy(*run_key, F.col("z.there").alias("there")).agg(F.min("z.here").alias("low"), F.max("z.here").alias("high"))
-    slots = pairs.groupBy(*run_key).agg(
-        F.min(F.col("low") == F.col("high")).alias("consistent"), F.max((F.col("low") != F.col("there")) | (F.col("high") != F.col("there"))).alias("changed"))
-    same = [runs[c].eqNullSafe(slots[c]) for c in run_key]
-    joined = runs.join(slots, same, "left").select(*[runs[c] for c in run_key], "n_matched", "n_same", "n_lit", "n_good", "consistent", "changed")
+    side = materialise(item_windows(items, widths, run), "benchmark")
+    few = side.count() <= broadcast_rows
+    mine = document_windows(docs, text_col, [F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2")], widths)
+    run_key = ["doc_id", "k1", "k2", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", "diagonal"]
+    here = F.transform("at", lambda o: F.get("here", o))
+    # a run holds places (``what`` is the place) and values of slots (``what`` is the value)
+    place = F.array(F.struct(F.lit(True).alias("is_place"), F.col("ipos").cast("string").alias("what"), F.lit(None).cast("string").alias("value")))
+    values = F.zip_with("there", here, lambda t, v: F.struct(F.lit(False).alias("is_place"), t.alias("what"), v.alias("value")))
+    hits = mine.join(F.broadcast(side) if few else side, "h").select(
+        "doc_id", "k1", "k2", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", (F.col("i") - F.col("ipos")).alias("diagonal"), "verbatim", "light",
+        F.explode(F.concat(place, values)).alias("z"))
+    facts = hits.groupBy(*run_key, F.col("z.is_place").alias("is_place"), F.col("z.what").alias("what")).agg(
+        F.max("verbatim").alias("verbatim"), F.max("light").alias("light"), F.min("z.value").alias("low"), F.max("z.value").alias("high"))
+    facts = materialise(facts, "leaks")
+    spot, value = F.col("is_place"), ~F.col("is_place")
+    count = lambda c: F.count_if(spot & c)
+    runs = facts.groupBy(*run_key).agg(
+        F.count_if(spot).alias("n_matched"), count(F.col("verbatim")).alias("n_same"), count(F.col("light")).alias("n_lit"), count(F.col("verbatim") | F.col("light")).alias("n_good"),
+        F.min(F.when(value, F.col("low") == F.col("high"))).alias("consistent"),
+        F.max(F.when(value, (F.col("low") != F.col("what")) | (F.col("high") != F.col("what")))).alias("changed"))
     need = F.least(F.lit(run), F.col("n_windows"))
     # an item with too few light windows needs all of them, and windows with fewer words beside
     dense = F.col("n_light").between(1, run - 1) & (F.col("n_lit") >= F.col("n_light")) & (F.col("n_matched") >= F.least(F.lit(run), F.col("n_spoken")))
-    leak = joined.where((F.col("n_same") >= need) | (F.coalesce("consistent", F.lit(True)) & ((F.col("n_good") >= need) | dense)))
+    leak = runs.where((F.col("n_same") >= need) | (F.coalesce("consistent", F.lit(True)) & ((F.col("n_good") >= need) | dense)))
     return leak.groupBy("doc_id", "k1", "k2", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
 
