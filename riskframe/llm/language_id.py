@@ -3,7 +3,7 @@
 Texts are seen as frequencies of hashed character pairs and triples of their letters. A
 multinomial logistic regression tells the family; within it, a linear support vector machine for
 each pair of languages votes, and the language with most votes (then the largest summed margin)
-is predicted. The models are fitted by Spark on a sample of about ``PER_LANGUAGE`` labelled
+is predicted. The models are fitted, each in a task, on a sample of about ``PER_LANGUAGE`` labelled
 documents for each language; every text is predicted whole.
 """
 
@@ -16,8 +16,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +25,7 @@ DIM = 1024
 PER_LANGUAGE = 1000
 UNDETERMINED = "und"
 MIN_SCORE = 0.35
+RIDGE = 1e-3
 
 # Languages by family. A language not listed is a family of its own.
 FAMILIES = {
@@ -104,38 +103,111 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dim: int = DIM) -> Model:
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Columns with mean 0 and deviation 1, and these; constant columns are 0."""
+    mean, dev = x.mean(0), x.std(0)
+    factor = np.where(dev > 1e-12, 1 / np.maximum(dev, 1e-12), 0.0)
+    return (x - mean) * factor, mean, factor
+
+
+def _softmax(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (features x classes) and biases of a multinomial logistic regression, by accelerated gradient steps."""
+    x, mean, factor = _scaled(x)
+    x = np.column_stack([x, np.ones(len(x))])
+    v = np.ones(x.shape[1])
+    for _ in range(30):  # the largest curvature
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v)
+    pace = 1 / (0.5 * np.linalg.norm(x @ v) ** 2 / len(x) * 1.05 + RIDGE)
+    want = np.eye(classes)[y]
+    w = ahead = np.zeros((x.shape[1], classes))
+    for k in range(steps):
+        z = x @ ahead
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        new = ahead - pace * (x.T @ (p - want) / len(x) + RIDGE * ahead)
+        ahead = new + k / (k + 3) * (new - w)
+        w = new
+    weights = w[:-1] * factor[:, None]
+    return weights, w[-1] - mean @ weights
+
+
+def _machine(x: np.ndarray, y: np.ndarray, steps: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a linear support vector machine with squared hinge loss, by Newton steps; y is -1 or 1."""
+    x, mean, factor = _scaled(x)
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge = np.full(x.shape[1], RIDGE)
+    ridge[-1] = 1e-9
+
+    def loss(w: np.ndarray) -> float:
+        return float((np.maximum(0, 1 - y * (x @ w)) ** 2).mean() + (ridge * w * w).sum())
+
+    w = np.zeros(x.shape[1])
+    now = loss(w)
+    for _ in range(steps):
+        close = y * (x @ w) < 1
+        a = x[close]
+        slope = 2 * a.T @ (a @ w - y[close]) / len(x) + 2 * ridge * w
+        move = np.linalg.solve(2 * a.T @ a / len(x) + np.diag(2 * ridge), slope)
+        size = 1.0
+        while size > 1e-4 and (new := loss(w - size * move)) > now:
+            size /= 2
+        if size <= 1e-4 or now - new < 1e-9:
+            break
+        w, now = w - size * move, new
+    weights = w[:-1] * factor
+    return weights, np.array([w[-1] - mean @ weights])
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, dim: int = DIM, least: int = 1) -> Model:
     """Fit the models on a hashed sample of about ``per_language`` documents of each language.
 
-    Rows without language or without letters teach nothing. Without any, the model predicts
-    ``und``; with one language or family, the steps that have no choice are left out.
+    Languages of fewer than ``least`` documents are not learned; as those that are come to the driver by
+    name, a dirty column needs a higher one. The family's model sees about two times
+    ``per_language`` documents of each family. Every model is fitted in a task of its own, all in one job. Rows without language or
+    without letters teach nothing. Without any, the model predicts ``und``; with one language or
+    family, the steps that have no choice are left out.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row per language
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().where(F.col("count") >= least).collect()}
     model = Model(dim)
     if not counts:
         return model
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
-    chosen = labelled.where(uniform("language-sample", F.col("text")) < share[F.col("lang")])
-    rows = chosen.select("lang", _vector_udf(dim)("text").alias("x")).where(F.col("x").isNotNull())
-    family = F.create_map(*[F.lit(v) for lang in counts for v in (lang, family_of(lang))])
-    rows = materialise(rows.withColumn("family", family[F.col("lang")]), "language-sample")
-    for r in rows.select("family", "lang").distinct().collect():
-        model.languages.setdefault(r["family"], []).append(r["lang"])
-    model.languages = {f: sorted(names) for f, names in sorted(model.languages.items())}
+    chosen = labelled.where(F.col("lang").isin(list(counts))).where(uniform("language-sample", F.col("text")) < share[F.col("lang")])
+    rows = materialise(chosen.select("lang", uniform("family-sample", F.col("text")).alias("draw"), _vector_udf(dim)("text").alias("x")).where(F.col("x").isNotNull()), "language-sample")
+    known = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    for lang in sorted(known):
+        model.languages.setdefault(family_of(lang), []).append(lang)
+    model.languages = dict(sorted(model.languages.items()))
     model.families = list(model.languages)
-    # the sample is bounded: a few partitions make short iterations
-    data = rows.select("lang", "family", array_to_vector("x").alias("features")).coalesce(4).persist()
-    if len(model.families) > 1:
-        number = F.create_map(*[F.lit(v) for i, f in enumerate(model.families) for v in (f, float(i))])
-        lr = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=25).fit(data.select("features", number[F.col("family")].alias("label")))
-        model.family_weights, model.family_bias = lr.coefficientMatrix.toArray().T.copy(), lr.interceptVector.toArray()
-    for names in model.languages.values():
-        for a, c in combinations(names, 2):
-            pair = data.where(F.col("lang").isin(a, c)).select("features", (F.col("lang") == c).cast("double").alias("label"))
-            svm = LinearSVC(regParam=1e-4, maxIter=25).fit(pair)
-            model.pairs[a, c] = svm.coefficients.toArray(), float(svm.intercept)
-    data.unpersist()
+    # the tasks that a document takes part in: its family against the others, its language against each of the family
+    pairs = [p for names in model.languages.values() for p in combinations(names, 2)]
+    work = {lang: [k for k, p in enumerate(pairs) if lang in p] for lang in known}
+    sizes = {f: sum(known[lang] for lang in names) for f, names in model.languages.items()}
+    several = len(model.families) > 1
+    if not several and not pairs:
+        return model
+    draw = F.create_map(*[F.lit(v) for f, names in model.languages.items() for lang in names for v in (lang, 2.0 * per_language / sizes[f] if several else 0.0)])
+    mine = F.create_map(*[x for lang in known for x in (F.lit(lang), F.array(*map(F.lit, work[lang])).cast("array<int>"))])
+    tasks = F.concat(mine[F.col("lang")], F.when(F.col("draw") < draw[F.col("lang")], F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")))
+    families = {lang: model.families.index(f) for f, names in model.languages.items() for lang in names}
+
+    def learn(key: tuple, d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["draw", "lang"], kind="stable")  # sums do not depend on the order of rows
+        x = np.stack(d["x"].to_numpy()).astype(float)
+        if key[0] < 0:
+            w, b = _softmax(x, d["lang"].map(families).to_numpy(), len(set(families.values())))
+        else:
+            w, b = _machine(x, np.where(d["lang"] == pairs[key[0]][1], 1.0, -1.0))
+        return pd.DataFrame({"task": [key[0]], "w": [w.ravel()], "b": [b]})
+
+    fitted = rows.select("lang", "draw", "x", F.explode(tasks).alias("task")).groupBy("task").applyInPandas(learn, "task int, w array<double>, b array<double>")
+    for r in fitted.collect():  # one row for each model, whatever the number of documents
+        if r["task"] < 0:
+            model.family_weights, model.family_bias = np.array(r["w"]).reshape(dim, -1), np.array(r["b"])
+        else:
+            model.pairs[pairs[r["task"]]] = np.array(r["w"]), r["b"][0]
     return model
 
 
@@ -167,7 +239,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_pred: s
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents in a language that the model knows, with all their columns."""
+    """Documents in a language that the model knows, with all their columns.
+
+    Those without a letter go, and those whose score is below ``min_score``: neither family nor
+    language is clear then.
+    """
     lang, score = free_name(docs, "lang_pred", "score")
     rows = identify(docs, model, text_col, lang, score)
     return rows.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).select(*docs.columns)
