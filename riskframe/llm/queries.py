@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import prepare
 from . import bpe, conversations, decontamination, language_id, line_dedup, mixing, near_dedup, quality_model, quality_rules, spelling, suffix_dedup, surrogates, token_counts
 
+LEAST_DOCS = 5  # documents of a language that is learned
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -52,7 +54,7 @@ def _op1(table):
 def _op3(table):
     docs = table("documents")
     held = language_id.held_out(F.col("doc_id"))
-    model = language_id.fit(docs.where(~held))
+    model = language_id.fit(docs.where(~held), least=LEAST_DOCS)
     found = language_id.identify(docs.select("doc_id", "text", held.alias("held_out")), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
@@ -87,12 +89,8 @@ MASKED = r"\d{9,}|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\b\d{1,3}(?:\.\d{1,3}){3}\b"
 def _op2(table):
     """Tokens of every text, and again after long numbers, mail and IP addresses are masked."""
     docs = table("documents").select("doc_id", "text")
-    count = token_counts.Counter(docs.sparkSession)
-    trees = token_counts.build(docs, count).withColumn("n_tokens", token_counts.total("tree"))
-    trees = trees.withColumn("edits", token_counts.replace_edits(F.col("text"), MASKED, "[hidden]"))
-    edited = token_counts.apply(trees, count, "edits")
-    return edited.select("doc_id", "n_tokens", F.size("edits").cast("long").alias("n_edits"), token_counts.total("tree").alias("n_tokens_edited"),
-                         F.col("encoded").cast("long").alias("n_chars_encoded"))
+    counted = token_counts.recount(docs, token_counts.Counter(docs.sparkSession), MASKED, "[hidden]")
+    return counted.select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded")
 
 
 @query("op12_speculative_bpe")

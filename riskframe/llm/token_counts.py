@@ -1,8 +1,9 @@
 """Token counts that follow edits.
 
-A text is cut into leaves of about ``LEAF`` characters, only at single spaces between two
-non-spaces, where no pre-token of the tokenizer ever reaches across; so the text's tokens are the
-sum of its leaves' tokens. A binary tree over the leaves holds, per subtree, characters and
+A text is cut into leaves of about ``LEAF`` characters, only where no pre-token of the tokenizer ever
+reaches across: at single spaces between two non-spaces, and between a letter or digit and a
+punctuation mark, so that text without spaces has leaves too. So the text's tokens are the sum of
+its leaves' tokens. A run of letters alone is one pre-token and one leaf, however long. A binary tree over the leaves holds, per subtree, characters and
 tokens. An edit finds the leaves that it touches by the characters, with one more character on
 either side as context; only these are encoded again, and the sums above them updated.
 
@@ -17,16 +18,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import free_name
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pre-token pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 1000
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Code points that are letters or digits, and marks that are neither, in every version of Unicode; a few scripts.
+_WORD = r"[0-9A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF\u0391-\u03A1\u03B1-\u03C9\u0410-\u044F\u3041-\u3096\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]"
+_MARK = r"[!-/:-@\[-`{-~\u3001\u3002\u3008-\u3011\uFF01-\uFF0F\uFF1A-\uFF20]"
+_CUT = re.compile(rf"(?<=\S) (?=\S)|(?<={_WORD})(?={_MARK})")
 _TREE = "struct<chars: array<int>, tokens: array<int>>"
 _EDITS = "array<struct<start: int, stop: int, text: string>>"
 
@@ -165,6 +173,45 @@ def replace_edits(text: Column, pattern: str, new: str) -> Column:
     return F.pandas_udf(find, _EDITS)(text)
 
 
+def recount(docs: DataFrame, count: Counter, pattern: str, new: str, text_col: str = "text", edited_col: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """All columns of ``docs`` and the counts before and after every match of a pattern is replaced by ``new``.
+
+    Adds n_tokens, n_edits, n_tokens_edited and n_chars_encoded (again, for the edits), and the edited text only where a
+    name for it is given; columns with these names are replaced. One text and its tree are held at
+    a time. Null and empty texts have no tokens; an edited null text is empty.
+    """
+    compiled = re.compile(pattern)
+    names = ["n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded"]
+    added = [T.StructField(n, T.LongType()) for n in names] + ([T.StructField(edited_col, T.StringType())] if edited_col else [])
+    taken = {f.name.lower() for f in added}
+    kept = [c for c in docs.columns if c.lower() not in taken]
+    (own,) = free_name(docs, "text_to_count")
+    rows = docs.select(*kept, F.col(text_col).alias(own))
+    schema = T.StructType([rows.schema[c] for c in kept] + added)
+
+    def one(text: str) -> tuple:
+        cut = leaves(text, leaf)
+        chars, tokens = tree([len(x) for x in cut]), tree([count(x) for x in cut])
+        edits = [(m.start(), m.end(), new) for m in compiled.finditer(text)]
+        if not edits:
+            return tokens[1], 0, tokens[1], 0, text
+        after, _, changed, encoded = edit(text, chars, tokens, edits, count)
+        return tokens[1], len(edits), changed[1], encoded, after
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, out = batch.column(batch.schema.get_field_index(own)), []
+            for t in texts:
+                found = one(t.as_py() or "")
+                out.append(found if edited_col else found[:4])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            types = [pa.int64()] * 4 + [pa.string()]
+            columns += [pa.array(list(values), kind) for values, kind in zip(zip(*out), types)] if out else [pa.array([], kind) for kind in types[: len(added)]]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def total(tree_col: str) -> Column:
     """Tokens of the whole text: the sum at the root."""
     return F.get(F.col(f"{tree_col}.tokens"), F.lit(1)).cast("long")

@@ -1,6 +1,7 @@
 """Counts of edited texts equal counts from scratch."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ def counter(spark):
 
 
 def random_text(rng):
-    return "".join(rng.choice(["a", "bc", " ", "  ", "\n", "é", "12", "!", "'s", " the", " word", "漢", "\t"]) for _ in range(rng.randint(0, 400)))
+    return "".join(rng.choice(["a", "bc", " ", "  ", "\n", "é", "12", "!", "'s", " the", " word", "漢", "\t", "，", "。", "'", ".", "ж"]) for _ in range(rng.randint(0, 400)))
 
 
 def test_edits_equal_a_fresh_count(spark):
@@ -58,3 +59,29 @@ def test_tables(spark):
     none = t.apply(built.withColumn("edits", F.lit(None).cast("array<struct<start:int,stop:int,text:string>>")), count, "edits")
     assert none.select(F.max("encoded")).first()[0] == 0
     assert t.build(docs.limit(0), count).count() == 0
+
+
+def test_text_without_spaces(spark):
+    count = counter(spark)
+    text = "漢字かな，カナ。abc;12!" * 4000
+    cut = t.leaves(text)
+    assert len(cut) > 40 and max(map(len, cut)) < 1.2 * t.LEAF and sum(map(count, cut)) == count(text)
+    _, _, _, encoded = t.edit(text, t.tree([len(x) for x in cut]), t.tree([count(x) for x in cut]), [(30000, 30002, "x")], count)
+    assert 0 < encoded < 3 * t.LEAF
+
+
+def test_recount(spark):
+    count = counter(spark)
+    big = "call 1234567890 now, " * 250000  # 5 MB
+    rows = [(1, "call 1234567890 now"), (1, "call 1234567890 now"), (None, None), (2, ""), (3, "x" * 60000), (4, big), (5, "漢字，" * 20000 + "123456789")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(1).alias(c) for c in ("n_tokens", "text_to_count", "edited")])
+    out = t.recount(docs, count, r"\d{9,}", "#", edited_col="edited")
+    assert out.columns == ["doc_id", "text", "text_to_count", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded", "edited"]
+    found = out.collect()
+    assert len(found) == len(rows)
+    for r in found:
+        edited = re.sub(r"\d{9,}", "#", r.text or "")
+        assert (r.n_tokens, r.n_tokens_edited) == (count(r.text) if r.text else 0, count(edited) if edited else 0)
+        assert r.edited == edited and r.n_edits == len(re.findall(r"\d{9,}", r.text or ""))
+    assert {r.n_chars_encoded for r in found if r.doc_id == 5} < set(range(1, 3 * t.LEAF))
+    assert t.recount(docs.limit(0), count, "x", "y").count() == 0
