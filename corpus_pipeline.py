@@ -16,8 +16,11 @@ from riskframe.session import prepare
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the labelled ones teach; text without letters goes."""
-    return language_id.keep_known(docs, language_id.fit(docs))
+    """Keep documents in a language that at least five labelled ones teach.
+
+    Text without letters goes, null text too, and so does text of no clear language (a score below 0.35).
+    """
+    return language_id.keep_known(docs, language_id.fit(docs, least=5))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each class of near copies."""
+    """Keep the document with the smallest id of each class of near copies; documents with null text stay, rows with null id come last."""
     return near_dedup.keep_one(docs)
 
 
@@ -39,7 +42,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat or leave out documents until every source has its share of words."""
+    """Repeat or leave out documents until every source has its share of words; a null source is a source, a null text has no words."""
     return mixing.mix(docs)
 
 
