@@ -84,9 +84,9 @@ def _read(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     return d.select(*names, "words", kinds.alias("kinds"), F.transform("words", lambda w: F.xxhash64(w)).alias("_h0"))
 
 
-def _canonical(hashes: str, kinds: str, slots: Column) -> Column:
-    """Hashes of the words with one value for all words of each of the kinds in ``slots``; both kinds of names are one."""
-    return F.zip_with(hashes, kinds, lambda h, k: F.when(F.array_contains(slots, k), F.least(k, F.lit(WITHIN)).cast("long")).otherwise(h))
+def _canonical(is_slot) -> Column:
+    """Hashes of the words with one value for all words of each of the kinds that are slots; both kinds of names are one."""
+    return F.zip_with("_h0", "kinds", lambda h, k: F.when(is_slot(k), F.least(k, F.lit(WITHIN)).cast("long")).otherwise(h))
 
 
 def _paired(left: str, right: str, shift: int) -> Column:
@@ -117,18 +117,14 @@ def _windows(d: DataFrame, hashes: dict[str, Column], widths: list[int]) -> Data
 
 
 def document_windows(docs: DataFrame, text_col: str, keep: list[Column], widths: list[int]) -> DataFrame:
-    """One row per window and way to read it, equal ones once: the kept columns, ``i``, ``h`` and ``here``, the words from place ``i``.
-
-    ``here`` is worked out after a broadcast join, for windows that match only.
-    """
+    """One row per window and way to read it, equal ones once: the kept columns, ``i`` and ``h``."""
     d = _read(docs, text_col, keep)
     names = [c for c in d.columns if c not in ("words", "kinds", "_h0")]
-    read = {f"r{r}": _canonical("_h0", "kinds", F.array(*map(F.lit, slots))) if slots else F.col("_h0") for r, slots in enumerate(DOCUMENT_READINGS)}
-    d = _windows(d.select(*names, "words", "kinds", "_h0"), read, widths)
+    read = {f"r{r}": _canonical(lambda k, slots=slots: k.isin(*slots)) if slots else F.col("_h0") for r, slots in enumerate(DOCUMENT_READINGS)}
+    d = _windows(d.select(*names, "kinds", "_h0"), read, widths)
     every = [f"{r}_{w}" for w in widths for r in read]
-    d = d.select(*names, "words", F.posexplode(F.arrays_zip(*every)).alias("i", "_z"))
-    d = d.select(*names, "words", "i", F.explode(F.array_distinct(F.array(*[F.col(f"_z.{c}") for c in every]))).alias("h")).where("h is not null")
-    return d.select(*names, "i", "h", F.slice("words", F.col("i") + 1, max(widths)).alias("here"))
+    d = d.select(*names, F.posexplode(F.arrays_zip(*every)).alias("i", "_z"))
+    return d.select(*names, "i", F.explode(F.array_distinct(F.array(*[F.col(f"_z.{c}") for c in every]))).alias("h"))
 
 
 def item_windows(items: DataFrame, widths: list[int], run: int = RUN) -> DataFrame:
@@ -149,7 +145,7 @@ def item_windows(items: DataFrame, widths: list[int], run: int = RUN) -> DataFra
     d = d.withColumn("way", F.explode(F.array(*ways))).select("*", "way.*").drop("way")
     # a verbatim window has no slots
     d = d.withColumn("slots", F.when(F.col("verbatim"), F.array().cast("array<int>")).otherwise(F.col("slots")))
-    d = _windows(d, {"w": _canonical("_h0", "kinds", F.col("slots"))}, widths)
+    d = _windows(d, {"w": _canonical(lambda k: F.array_contains("slots", k))}, widths)
     mine = F.coalesce(*[F.when(F.col("width") == w, F.col(f"w_{w}")) for w in widths])
     d = d.select("item_id", "item", "reading", "verbatim", "cut", "width", "words", "kinds", "slots", F.posexplode(mine).alias("i", "h")).where(F.col("i") >= F.col("cut"))
     at = F.filter(F.sequence(F.lit(0), F.col("width") - 1), lambda o: F.array_contains("slots", F.get("kinds", F.col("i") + o)))
@@ -191,27 +187,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     side = materialise(item_windows(items, widths, run), "benchmark")
     few = side.count() <= broadcast_rows
     mine = document_windows(docs, text_col, [F.col(id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2")], widths)
-    run_key = ["doc_id", "k1", "k2", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", "diagonal"]
-    here = F.transform("at", lambda o: F.get("here", o))
-    # a run holds places (``what`` is the place) and values of slots (``what`` is the value)
-    place = F.array(F.struct(F.lit(True).alias("is_place"), F.col("ipos").cast("string").alias("what"), F.lit(None).cast("string").alias("value")))
-    values = F.zip_with("there", here, lambda t, v: F.struct(F.lit(False).alias("is_place"), t.alias("what"), v.alias("value")))
     hits = mine.join(F.broadcast(side) if few else side, "h").select(
-        "doc_id", "k1", "k2", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", (F.col("i") - F.col("ipos")).alias("diagonal"), "verbatim", "light",
-        F.explode(F.concat(place, values)).alias("z"))
-    facts = hits.groupBy(*run_key, F.col("z.is_place").alias("is_place"), F.col("z.what").alias("what")).agg(
-        F.max("verbatim").alias("verbatim"), F.max("light").alias("light"), F.min("z.value").alias("low"), F.max("z.value").alias("high"))
-    facts = materialise(facts, "leaks")
-    spot, value = F.col("is_place"), ~F.col("is_place")
-    count = lambda c: F.count_if(spot & c)
-    runs = facts.groupBy(*run_key).agg(
-        F.count_if(spot).alias("n_matched"), count(F.col("verbatim")).alias("n_same"), count(F.col("light")).alias("n_lit"), count(F.col("verbatim") | F.col("light")).alias("n_good"),
-        F.min(F.when(value, F.col("low") == F.col("high"))).alias("consistent"),
-        F.max(F.when(value, (F.col("low") != F.col("what")) | (F.col("high") != F.col("what")))).alias("changed"))
+        "doc_id", "k1", "k2", "i", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", (F.col("i") - F.col("ipos")).alias("diagonal"), "ipos", "verbatim", "light", "at", "there")
+    hits = materialise(hits, "benchmark-hits")
+    run_key = ["doc_id", "k1", "k2", "item_id", "item", "reading", "n_windows", "n_light", "n_spoken", "diagonal"]
+    spots = hits.groupBy(*run_key, "ipos").agg(F.max("verbatim").alias("verbatim"), F.max("light").alias("light"))
+    runs = spots.groupBy(*run_key).agg(F.count("*").alias("n_matched"), F.count_if("verbatim").alias("n_same"), F.count_if("light").alias("n_lit"),
+                                       F.count_if(F.col("verbatim") | F.col("light")).alias("n_good"))
     need = F.least(F.lit(run), F.col("n_windows"))
     # an item with too few light windows needs all of them, and windows with fewer words beside
     dense = F.col("n_light").between(1, run - 1) & (F.col("n_lit") >= F.col("n_light")) & (F.col("n_matched") >= F.least(F.lit(run), F.col("n_spoken")))
-    leak = runs.where((F.col("n_same") >= need) | (F.coalesce("consistent", F.lit(True)) & ((F.col("n_good") >= need) | dense)))
+    runs = runs.where((F.col("n_same") >= need) | (F.col("n_good") >= need) | dense)
+    # only where a run is long enough are its slots looked at, and the words of the document read again
+    runs = materialise(runs.select("*", (F.col("n_same") >= need).alias("plain"), F.xxhash64(*run_key).alias("_run")), "benchmark-runs")
+    keys = runs.select("k1", "k2").distinct()
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).join(keys, ["k1", "k2"], "left_semi")
+    texts = _read(texts.dropDuplicates(["k1", "k2"]), "text", [F.col("k1"), F.col("k2")]).select("k1", "k2", "words")
+    open_ = hits.where(F.size("at") > 0).withColumn("_run", F.xxhash64(*run_key)).join(runs.select("_run"), "_run", "left_semi")
+    here = F.transform("at", lambda o: F.get("words", F.col("i") + o))
+    pairs = open_.join(texts, ["k1", "k2"]).select("_run", F.explode(F.arrays_zip(F.col("there"), here.alias("here"))).alias("z"))
+    pairs = pairs.groupBy("_run", F.col("z.there").alias("there")).agg(F.min("z.here").alias("low"), F.max("z.here").alias("high"))
+    slots = pairs.groupBy("_run").agg(
+        F.min(F.col("low") == F.col("high")).alias("consistent"), F.max((F.col("low") != F.col("there")) | (F.col("high") != F.col("there"))).alias("changed"))
+    leak = runs.join(slots, "_run", "left").where(F.col("plain") | F.coalesce("consistent", F.lit(True)))
     return leak.groupBy("doc_id", "k1", "k2", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max("n_matched").alias("n_matched"), F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
 
