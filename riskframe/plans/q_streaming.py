@@ -72,10 +72,9 @@ NEW_PAYEES = {"new_payee_count_30mins": ("30 MINUTES", 1800), "new_payee_count_2
 @query("rs3_new_payee_counts", f"""WITH {v.PAYMENTS}, m AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY account_id, counterparty ORDER BY ts, event_id) = 1 THEN 1 END AS is_new FROM payments)
 SELECT event_id, account_id, """ + ", ".join(f"{_w('count(is_new)', win)} AS {n}" for n, (win, _) in NEW_PAYEES.items()) + " FROM m")
 def rs3_counts(t: Tables):
-    out, _ = run_to_table(rs.first_payments(_payments(t)), "rs3c", "update", lambda batch: batch)
-    firsts = out.groupBy("account_id", "counterparty").agg(F.min(F.struct("first_at", "first_id")).alias("f")).select("f.first_id")
-    counts = rs.new_payee_counts(v.payments(t), firsts, {n: s for n, (_, s) in NEW_PAYEES.items()})
-    return counts.select("event_id", "account_id", *NEW_PAYEES)
+    stream = rs.new_payee_state(_payments(t), {n: s for n, (_, s) in NEW_PAYEES.items()}, shards=2)
+    out, _ = run_to_table(stream, "rs3c", "append", rs.merge_counts)
+    return out.select("event_id", "account_id", *NEW_PAYEES)
 
 
 RULE_INPUTS = [n for n in INPUT if n.startswith("rule_feature") and n != "rule_feature_request_timestamp"]

@@ -13,6 +13,8 @@ REQUIRED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # keyed state of streams is kept outside of the heap and saved as changes
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # batches for Python are cut by their size too: 10,000 long texts would not fit
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }

@@ -5,18 +5,16 @@ Inputs are streaming DataFrames with an event-time column of type timestamp.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import rules
 from ..operators.rolling import Rolling, add_rolling
 from ..operators.timekeys import DAY, MICROS, micros
+from .state import NewPayees, RollingState
 
 HOUR = 3600
 
@@ -40,73 +38,39 @@ def windowed_sums(events: DataFrame, account: str = "account_id", ts: str = "ts"
 
 # ---- RS2: exact rolling state --------------------------------------------------------------
 
-def _window_stats(times: np.ndarray, values: np.ndarray, at: np.ndarray, span: int) -> tuple:
-    """Sum, count and max of ``values`` stamped in [t - span, t) for each t (times sorted)."""
-    lo, hi = np.searchsorted(times, at - span, "left"), np.searchsorted(times, at, "left")
-    known = ~np.isnan(values)
-    # extended precision keeps differences of running sums clean
-    cum = np.concatenate([[0], np.cumsum(np.where(known, values, 0).astype(np.longdouble))])
-    cnt = np.concatenate([[0], np.cumsum(known)])
-    padded = np.append(np.where(known, values, -np.inf), -np.inf)
-    if len(at):
-        edges = np.column_stack([lo, hi]).ravel()
-        top = np.maximum.reduceat(padded, edges)[::2]
-        top = np.where(hi > lo, top, -np.inf)
-    else:
-        top = np.array([])
-    return (cum[hi] - cum[lo]).astype(float), cnt[hi] - cnt[lo], top
-
-
 def rolling_state(events: DataFrame, hours: tuple[int, ...] = (2, 4, 8, 12, 24, 48), days: int = 60,
                   account: str = "account_id", row_id: str = "event_id", ts: str = "ts", watermark: str = "1 hour",
-                  shards: int = 8) -> DataFrame:
+                  shards: int = 8, bucket_hours: int = 2) -> DataFrame:
     """Per event, partial rolling sums, counts and maxima from keyed state (append mode).
 
-    State keeps each account's payments of the last ``days`` and the watermark's delay (time,
-    deposit, withdrawal), so that a row which is late but counted finds its whole window; an
-    account without payments for that long is forgotten. With
+    State (``state.RollingState``, needs the RocksDB state store) keeps each account's payments of the last
+    ``days`` and the watermark's delay in buckets, with partial sums, so that a row which is late but counted
+    finds its whole window; a batch reads the edge buckets of its windows only, and a timer forgets
+    accounts that stay silent. With
     ``shards`` > 1 an account's history is spread over that many keys: an event is stored in
     one shard and answered by all, so no task keeps a whole busy account. The partial rows
     carry (row_id, shard); ``merge_shards`` adds them up per micro-batch.
     """
     spans = {f"{h}h": h * HOUR * MICROS for h in hours} | {f"{days}d": days * DAY * MICROS}
     keep = days * DAY * MICROS + int(pd.Timedelta(watermark) / pd.Timedelta(microseconds=1))
-    home = F.pmod(F.xxhash64(row_id), F.lit(shards)).cast("int")
-    rows = events.withWatermark(ts, watermark).select(
-        account, row_id, ts, micros(ts).alias("us"), F.col("deposit").cast("double").alias("deposit"),
-        F.col("withdrawal").cast("double").alias("withdrawal"), home.alias("home"),
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    rows = _sharded(events, account, row_id, ts, watermark, shards, row_id, F.col("deposit").cast("double").alias("deposit"), F.col("withdrawal").cast("double").alias("withdrawal"))
     names = [f"{m}_{k}" for k in spans for m in ("dep_sum", "dep_n", "dep_max", "wd_sum", "wd_n", "wd_max")]
     kinds = {"sum": "double", "n": "long", "max": "double"}
-    schema = f"{account} {dict(events.dtypes)[account]}, {row_id} {dict(events.dtypes)[row_id]}, shard int, " + ", ".join(
-        f"{n} {kinds[n.split('_')[1]]}" for n in names)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        new = pd.concat(list(batches)).sort_values(["us", row_id])
-        old = state.get if state.exists else ([], [], [])
-        mine = new[new["home"] == key[1]]
-        t = np.concatenate([np.array(old[0], dtype=np.int64), mine["us"].to_numpy(dtype=np.int64)])
-        d = np.concatenate([np.array(old[1], dtype=float), mine["deposit"].to_numpy(dtype=float)])
-        w = np.concatenate([np.array(old[2], dtype=float), mine["withdrawal"].to_numpy(dtype=float)])
-        order = np.argsort(t, kind="stable")
-        t, d, w = t[order], d[order], w[order]
-        at = new["us"].to_numpy(dtype=np.int64)
-        out = {account: key[0], row_id: new[row_id].to_numpy(), "shard": key[1]}
-        for k, span in spans.items():
-            for short, v in (("dep", d), ("wd", w)):
-                total, count, top = _window_stats(t, v, at, span)
-                out[f"{short}_sum_{k}"], out[f"{short}_n_{k}"] = total, count
-                out[f"{short}_max_{k}"] = np.where(np.isfinite(top), top, np.nan)
-        alive = t >= (t.max() if len(t) else 0) - keep
-        state.update((t[alive].tolist(), d[alive].tolist(), w[alive].tolist()))
-        state.setTimeoutTimestamp(max(int(at.max() // 1000), state.getCurrentWatermarkMs()) + keep // 1000)
-        yield pd.DataFrame(out)
-
-    return rows.groupBy(account, "shard").applyInPandasWithState(
-        step, schema, "t array<long>, d array<double>, w array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    schema = _keys_schema(events, account, row_id) + ", ".join(f"{n} {kinds[n.split('_')[1]]}" for n in names)
+    processor = RollingState(spans, keep, bucket_hours * HOUR * MICROS, row_id, account)
+    return rows.groupBy(account, "shard").transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def _sharded(events: DataFrame, account: str, row_id: str, ts: str, watermark: str, shards: int, spread: str, *columns) -> DataFrame:
+    """One copy of each event for each shard, with its ``home``, the shard that ``spread`` is hashed to."""
+    home = F.pmod(F.xxhash64(spread), F.lit(shards)).cast("int")
+    return events.withWatermark(ts, watermark).select(account, row_id, ts, micros(ts).alias("us"), *columns, home.alias("home"),
+                                                      F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+
+
+def _keys_schema(events: DataFrame, account: str, row_id: str) -> str:
+    kinds = dict(events.dtypes)
+    return f"{account} {kinds[account]}, {row_id} {kinds[row_id]}, shard int, "
 
 
 def merge_shards(partials: DataFrame, account: str = "account_id", row_id: str = "event_id") -> DataFrame:
@@ -148,6 +112,35 @@ def new_payee_counts(events: DataFrame, firsts: DataFrame, spans: dict[str, int]
     return add_rolling(marked, [account], ts, measures, bucket).drop("is_new")
 
 
+def new_payee_state(events: DataFrame, spans: dict[str, int], known: DataFrame | None = None, keep_days: int = 60, account: str = "account_id",
+                    payee: str = "counterparty", row_id: str = "event_id", ts: str = "ts", watermark: str = "1 hour", shards: int = 8) -> DataFrame:
+    """Per event, partial counts of new payees in the spans before it, from the stream itself (append mode).
+
+    ``spans`` maps an output column to seconds. State (``state.NewPayees``) keeps the first payment of a pair
+    for ``keep_days``; a pair whose first payment is older is exact where ``known``, the table (account,
+    payee) that ``first_payments`` has kept up to then, holds it: start the query anew with the
+    current table within ``keep_days``. A payee's first payments live in one of ``shards`` keys of the
+    account; every shard answers each event, and ``merge_counts`` adds the answers up. ``row_id`` is a whole number.
+    A late row that turns out to be the first of its pair counts from then on; counts already given stay.
+    """
+    if known is not None:
+        old = known.select(account, payee).distinct().withColumn("known", F.lit(True))
+        events = events.join(old, [account, payee], "left")
+        flag = F.coalesce("known", F.lit(False))
+    else:
+        flag = F.lit(False)
+    keep = keep_days * DAY * MICROS + int(pd.Timedelta(watermark) / pd.Timedelta(microseconds=1))
+    rows = _sharded(events, account, row_id, ts, watermark, shards, payee, F.col(payee).cast("string").alias("payee"), flag.alias("known"))
+    schema = _keys_schema(events, account, row_id) + ", ".join(f"{n} long" for n in spans)
+    processor = NewPayees({n: s * MICROS for n, s in spans.items()}, keep, row_id, account)
+    return rows.groupBy(account, "shard").transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def merge_counts(partials: DataFrame, account: str = "account_id", row_id: str = "event_id") -> DataFrame:
+    """One row per event from its shard rows (a batch operation, for use in ``foreachBatch``)."""
+    return partials.groupBy(account, row_id).agg(*[F.sum(c).alias(c) for c in partials.columns if c not in (account, row_id, "shard")])
+
+
 # ---- RS4: rules and scoring ----------------------------------------------------------------
 
 def score_requests(requests: DataFrame, allow_lists: DataFrame, key: str, probability, low: float = 0.005, high: float = 0.01) -> DataFrame:
