@@ -12,7 +12,8 @@ as well. Where values differ, windows with fewer than ``LITERALS`` other words c
 all windows that have more.
 
 The benchmark's windows are broadcast while they are counted to be few; beyond that both sides
-are shuffled by hash.
+are shuffled by hash. Slots are compared only in documents with runs that are long enough, whose
+texts are read a second time.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ WIDTH = 8
 RUN = 6  # windows in a run: 13 words
 LITERALS = 4  # words of a window that are not placeholders, at least
 SHORTEST = 5  # words of the shortest item that can be told from prose
-BROADCAST_ROWS = 1_000_000  # about 60 bytes each
+BROADCAST_ROWS = 1_000_000  # windows of items, about 60 bytes each, and documents with long runs, 16 bytes each
 
 # Units, recognised after a number only.
 UNITS = (
@@ -43,7 +44,7 @@ BETWEEN = r"[\x00\x02-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-
 NUMBER, UNIT, WITHIN, CAPITAL = 1, 2, 3, 4
 # kinds of words that are slots; every word as it is comes with each reading of an item
 ITEM_READINGS = ((NUMBER, UNIT, WITHIN), (NUMBER, UNIT, WITHIN, CAPITAL), (NUMBER, UNIT))
-DOCUMENT_READINGS = ((), *ITEM_READINGS)
+# documents are read in these ways and as they are
 
 
 def _words(text: Column) -> Column:
@@ -63,7 +64,7 @@ def _is_number(w: Column) -> Column:
 
 
 def _read(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    """The kept columns, ``words`` without marks, ``kinds`` of words and ``_h0``, hashes of the words.
+    """The kept columns, ``_n`` (there is a digit), ``words`` without marks, ``kinds`` of words and ``_h0``, hashes of the words.
 
     Kinds: NUMBER, UNIT (after a number), WITHIN (a name within a sentence), CAPITAL (another
     capitalised word), 0.
@@ -81,12 +82,12 @@ def _read(df: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     before = F.slice(F.concat(F.array(F.lit("")), "words"), 1, F.size("words"))
     value = F.zip_with("words", before, lambda w, b: F.when(_is_number(w), NUMBER).when(_is_number(b) & F.array_contains(units, w), UNIT).otherwise(0))
     kinds = F.when(F.col("_n"), F.zip_with("_m", value, lambda w, v: F.when(v > 0, v).otherwise(name(w)))).otherwise(F.transform("_m", name))
-    return d.select(*names, "words", kinds.alias("kinds"), F.transform("words", lambda w: F.xxhash64(w)).alias("_h0"))
+    return d.select(*names, "_n", "words", kinds.alias("kinds"), F.transform("words", lambda w: F.xxhash64(w)).alias("_h0"))
 
 
-def _canonical(is_slot) -> Column:
+def _canonical(is_slot, hashes: str = "_h0") -> Column:
     """Hashes of the words with one value for all words of each of the kinds that are slots; both kinds of names are one."""
-    return F.zip_with("_h0", "kinds", lambda h, k: F.when(is_slot(k), F.least(k, F.lit(WITHIN)).cast("long")).otherwise(h))
+    return F.zip_with(hashes, "kinds", lambda h, k: F.when(is_slot(k), F.least(k, F.lit(WITHIN)).cast("long")).otherwise(h))
 
 
 def _paired(left: str, right: str, shift: int) -> Column:
@@ -95,7 +96,7 @@ def _paired(left: str, right: str, shift: int) -> Column:
 
 
 def _windows(d: DataFrame, hashes: dict[str, Column], widths: list[int]) -> DataFrame:
-    """Add ``{name}_{width}``: the hash of every window of ``width`` words, in order, for each name and width."""
+    """Add ``{name}_{width}``: the hash of every window of ``width`` words, in order, for each name and width; none for null."""
     names = d.columns
     d = d.select("*", *[c.alias(f"{n}_1h") for n, c in hashes.items()])
     # hashes of 2, 4, 8... words by doubling, shared by the widths
@@ -112,19 +113,24 @@ def _windows(d: DataFrame, hashes: dict[str, Column], widths: list[int]) -> Data
             for p in parts[1:]:
                 whole, size = _paired(whole, f"{n}_{p}h", size), size + p
             fits = F.greatest(F.size(f"{n}_1h") - (w - 1), F.lit(0))  # those that do not run over the end
-            out.append(F.slice(whole, 1, fits).alias(f"{n}_{w}"))
+            out.append(F.coalesce(F.slice(whole, 1, fits), F.array().cast("array<bigint>")).alias(f"{n}_{w}"))
     return d.select(*names, *out)
 
 
 def document_windows(docs: DataFrame, text_col: str, keep: list[Column], widths: list[int]) -> DataFrame:
     """One row per window and way to read it, equal ones once: the kept columns, ``i`` and ``h``."""
     d = _read(docs, text_col, keep)
-    names = [c for c in d.columns if c not in ("words", "kinds", "_h0")]
-    read = {f"r{r}": _canonical(lambda k, slots=slots: k.isin(*slots)) if slots else F.col("_h0") for r, slots in enumerate(DOCUMENT_READINGS)}
-    d = _windows(d.select(*names, "kinds", "_h0"), read, widths)
+    names = [c for c in d.columns if c not in ("words", "kinds", "_h0", "_n")]
+    # the readings one from the other; without a digit in the text there are no numbers and units to be read apart
+    d = d.select(*names, "_n", "kinds", "_h0", F.when(F.col("_n"), _canonical(lambda k: (k == NUMBER) | (k == UNIT))).alias("_h3"))
+    d = d.select("*", F.coalesce("_h3", "_h0").alias("_hv"))
+    d = d.select("*", _canonical(lambda k: k == WITHIN, "_hv").alias("_hw"))
+    read = {"r0": F.col("_h0"), "r1": F.col("_hw"), "r2": _canonical(lambda k: k == CAPITAL, "_hw"), "r3": F.col("_h3")}
+    d = _windows(d.select(*names, "kinds", "_h0", "_hw", "_h3"), read, widths)
     every = [f"{r}_{w}" for w in widths for r in read]
     d = d.select(*names, F.posexplode(F.arrays_zip(*every)).alias("i", "_z"))
-    return d.select(*names, "i", F.explode(F.array_distinct(F.array(*[F.col(f"_z.{c}") for c in every]))).alias("h"))
+    found = [F.coalesce(F.col(f"_z.r3_{w}"), F.col(f"_z.r0_{w}")) if r == "r3" else F.col(f"_z.{r}_{w}") for w in widths for r in read]
+    return d.select(*names, "i", F.explode(F.array_distinct(F.array(*found))).alias("h"))
 
 
 def item_windows(items: DataFrame, widths: list[int], run: int = RUN) -> DataFrame:
@@ -200,7 +206,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     runs = runs.where((F.col("n_same") >= need) | (F.col("n_good") >= need) | dense)
     # only where a run is long enough are its slots looked at, and the words of the document read again
     runs = materialise(runs.select("*", (F.col("n_same") >= need).alias("plain"), F.xxhash64(*run_key).alias("_run")), "benchmark-runs")
-    keys = runs.select("k1", "k2").distinct()
+    keys = materialise(runs.select("k1", "k2").distinct(), "benchmark-documents")
+    keys = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
     texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text")).join(keys, ["k1", "k2"], "left_semi")
     texts = _read(texts.dropDuplicates(["k1", "k2"]), "text", [F.col("k1"), F.col("k2")]).select("k1", "k2", "words")
     open_ = hits.where(F.size("at") > 0).withColumn("_run", F.xxhash64(*run_key)).join(runs.select("_run"), "_run", "left_semi")
