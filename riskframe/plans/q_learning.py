@@ -360,12 +360,28 @@ def ft20_danger(t: Tables):
     return oversample.danger_points(p, oversample.nearest(p, 64, 10, 5), 10).select("pid", "majority", "danger")
 
 
-@query("ft20_borderline_oversampling")
+def _mix(number: str, seed: int) -> str:
+    """SQL of ``portable_mix`` for whole numbers."""
+    return f"((({number}) % 1000003) * 7919 + {seed}) % 1000003"
+
+
+@query("ft20_borderline_oversampling", f"""WITH d AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label = 3 AS INT) AS y FROM embeddings),
+n AS MATERIALIZED (SELECT a.vec_id, b.vec_id AS other, b.y, list_distance(a.v, b.v) AS d FROM d a JOIN d b ON a.y = 1 AND a.vec_id <> b.vec_id),
+near AS (SELECT vec_id, y, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS rn FROM n),
+danger AS (SELECT vec_id, {_mix('vec_id', 0)} AS mix FROM near WHERE rn <= 10 GROUP BY vec_id HAVING sum(1 - y) >= 5 AND sum(1 - y) < 10),
+need AS (SELECT greatest(CAST(floor(0.3 * count_if(y <> 1)) AS BIGINT) - count_if(y = 1), 0) AS need FROM d),
+ranked AS (SELECT vec_id, row_number() OVER (ORDER BY mix, vec_id) AS cum, count(*) OVER () AS total FROM danger),
+steps AS (SELECT vec_id, unnest(range(1, CAST(floor(need * cum / total) - floor(need * (cum - 1) / total) AS BIGINT) + 1)) AS step FROM ranked, need),
+lists AS (SELECT vec_id, list(other ORDER BY rn) AS others FROM (SELECT vec_id, other, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS rn FROM n WHERE y = 1) WHERE rn <= 5 GROUP BY vec_id),
+picked AS (SELECT s.vec_id AS base, s.step, others[({_mix(f"{_mix('s.vec_id', 0)} * 1009 + s.step", 1)}) % len(others) + 1] AS other,
+  ({_mix(f"{_mix('s.vec_id', 0)} * 1009 + s.step", 2)}) / 1000003.0 AS u FROM steps s JOIN lists USING (vec_id))
+SELECT base, other, CAST(step AS INT) AS step, {R('x.v[1] + u * (y.v[1] - x.v[1])', 6)} AS v0, CAST(len(x.v) AS INT) AS dim
+FROM picked JOIN d x ON x.vec_id = base JOIN d y ON y.vec_id = other""")
 def ft20(t: Tables):
     from ..operators import oversample
 
     out = oversample.borderline_oversample(_vectors(t), "vec_id", "embedding", "y", 64, ratio=0.3)
-    return out.select("base", "other", "step", F.round(F.get("vec", F.lit(0)), 6).alias("v0"), F.size("vec").alias("dim"))
+    return out.select("base", "other", "step", rnd(F.get("vec", F.lit(0)), 6).alias("v0"), F.size("vec").alias("dim"))
 
 
 @query("ml4_native_scoring", f"""{S}, r AS (SELECT row_key, y, CASE WHEN row_key % 5 <> 0 THEN CAST(l_quantity > 25 AS INT) END AS x FROM supervised),

@@ -431,6 +431,40 @@ def test_neighbours_do_not_depend_on_the_blocks(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("bucket", [3, 7, 4000])
+def test_ties_go_by_id_at_any_cell_count(spark, bucket):
+    grid = [(i, [float(i % 8), float(i // 8)], int(i % 3 == 0)) for i in range(64)]
+    p = oversample.distinct_points(spark.createDataFrame(grid, "id long, v array<double>, y int"), "id", "v", "y")
+    near = oversample.nearest(p, 2, 6, 4, bucket=bucket)
+    got = {(r["pid"], r["kind"], r["rank"]): r["other"] for r in near.collect()}
+    want = {}
+    for i, v, y in grid:
+        if y:
+            order = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j, c) for j, w, c in grid if j != i)
+            want |= {(i, "all", r + 1): j for r, (_, j, _) in enumerate(order[:6])} | {(i, "min", r + 1): j for r, (_, j, _) in enumerate([o for o in order if o[2]][:4])}
+    assert got == want
+    danger = {r["pid"]: r["majority"] for r in oversample.danger_points(p, near, 6).collect()}
+    assert danger == {i: sum(not grid[want[i, "all", r]][2] for r in range(1, 7)) for i, _, y in grid if y}
+
+
+def test_bounds_leave_few_cells():
+    """On clustered points most cells are never met, and none that holds a neighbour is left out."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.3, (100, 8)) for c in rng.uniform(-20, 20, (30, 8))])
+    cells = oversample.Cells(x[::100])
+    own, d = cells.own(x)
+    cells.count = np.bincount(own, minlength=30)
+    cells.radius = np.array([d[own == c, c].max() for c in range(30)])
+    exact = np.sort(oversample._lengths(x, x), 1)[:, 10]
+    reach = cells.reachable(d, exact)
+    for i in range(0, len(x), 37):
+        assert reach[i, own[np.argsort(oversample._lengths(x[i : i + 1], x)[0])[:11]]].all()
+    pairs = (reach * cells.count).sum()
+    assert pairs < 0.2 * len(x) ** 2
+
+
 # ---- sources -------------------------------------------------------------------------------
 
 def test_sources_round_trip(spark, tmp_path):
