@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_normal, portable_mix
-from .chunks import exact_quantiles
+from .chunks import exact_quantiles, row_numbers
 from .profile import weighted_std
 
 
@@ -225,3 +225,26 @@ def fit_one_hot(df: DataFrame, column: str, limit: int = 2000) -> OneHot:
         raise ValueError(f"{column} has more than {limit} values; group rare categories first")
     values = sorted(r["v"] for r in rows)
     return OneHot(column, values, [f"{column}_{v}" for v in values])
+
+
+def one_hot_dictionary(df: DataFrame, column: str, n_chunks: int | None = None) -> DataFrame:
+    """Levels of ``column`` in order with their places: (value, place from 0). A table, so any number of levels will do."""
+    levels = df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).distinct()
+    # the first six bytes as a number lead the order of texts, by which the scan is cut into chunks
+    head = F.conv(F.substring(F.rpad(F.hex(F.encode("value", "UTF-8")), 12, "0"), 1, 12), 16, 10).cast("double")
+    ranked = row_numbers(levels.withColumn("__head", head), [], ["__head", "value"], "__rn", n_chunks=n_chunks)
+    return ranked.select("value", (F.col("__rn") - 1).cast("long").alias("place"))
+
+
+def one_hot_vectors(df: DataFrame, column: str, dictionary: DataFrame, out: str | None = None) -> DataFrame:
+    """Add ``{column}_vec`` (or ``out``), the sparse 0/1 vector of each row: a struct of indices and values.
+
+    Null and unknown values give empty vectors. The width is the number of rows of ``dictionary``,
+    which is joined, never collected.
+    """
+    found = dictionary.select(F.col("value").alias("__value"), F.col("place").alias("__place"))
+    rows = df.join(found, F.col(column).cast("string") == F.col("__value"), "left")
+    some = F.col("__place").isNotNull()
+    vector = F.struct(F.when(some, F.array("__place")).otherwise(F.array().cast("array<bigint>")).alias("indices"),
+                      F.when(some, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("values"))
+    return rows.withColumn(out or f"{column}_vec", vector).drop("__value", "__place")

@@ -86,13 +86,15 @@ def fraud_list(frauds: DataFrame, start, stop, horizon_days: int = 90) -> DataFr
             .dropDuplicates(["company_id", "transaction_at", "app_fraud_type", "amount"]))
 
 
-def spine_frauds(spine: DataFrame, frauds: DataFrame, max_days: int) -> DataFrame:
+def spine_frauds(spine: DataFrame, frauds: DataFrame, max_days: int | None = None) -> DataFrame:
     """Qualifying frauds per spine row: after the date and within the days remaining.
 
     The reference joins all frauds and blanks the others; here the time test is part of the
-    interval join. Two frauds at one instant are one, the larger amount first. ``max_days``
-    bounds ``days_remaining``.
+    interval join. Two frauds at one instant are one, the larger amount first. The join
+    reaches as far as the largest ``days_remaining``, which is looked up; ``max_days`` may widen it but loses nothing.
     """
+    most = spine.agg(F.max("days_remaining")).first()[0]
+    max_days = max(int(most or 0), max_days or 0)
     one = first_per_key(frauds, ["company_id", "transaction_at"],
                         [F.col("amount").desc(), F.col("app_fraud_type")])
     hits = interval_join(spine.select("company_id", "timestamp", "days_remaining"), one, "company_id",

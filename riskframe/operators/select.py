@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,44 @@ def varying_columns(df: DataFrame, columns: list[str], threshold: float = MIN_VA
     return [c for c in columns if c in kept]
 
 
+def _gram(columns: list[str], shift: np.ndarray):
+    """Per task and column: over the rows in which both columns are known, for every other column, their number and the sums of values, squares and products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = len(columns)
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - shift
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0), known.astype(float)
+            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+        yield pa.RecordBatch.from_pydict({"i": np.arange(p, dtype=np.int32), **{n: list(t) for n, t in zip("nsqp", total)}})
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Pearson matrix by a distributed Gram computation; only p x p numbers reach the driver."""
-    rows = VectorAssembler(inputCols=columns, outputCol="__v", handleInvalid="skip").transform(df.select(*columns))
-    return Correlation.corr(rows, "__v").first()[0].toArray()
+    """Pearson matrix over the rows in which both columns of a pair are known, in one pass.
+
+    Nulls and NaN count as missing. Tasks send p x p partial sums, added up before p x p numbers reach the driver.
+    A pair without two known rows or without spread has correlation 0.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    # any values near the data keep the sums of squares small
+    near = rows.limit(1000).agg(*[F.avg(F.nanvl(c, F.lit(None))).alias(c) for c in rows.columns]).first()
+    shift = np.array([v if v is not None else 0.0 for v in near])
+    parts = rows.mapInArrow(_gram(columns, shift), "i int, n array<double>, s array<double>, q array<double>, p array<double>")
+    cells = parts.select("i", F.posexplode(F.arrays_zip("n", "s", "q", "p")).alias("j", "z")).groupBy("i", "j").agg(*[F.sum(f"z.{c}").alias(c) for c in "nsqp"])
+    size = len(columns)
+    n, s, q, p = (np.zeros((size, size)) for _ in range(4))
+    for r in cells.collect():
+        n[r["i"], r["j"]], s[r["i"], r["j"]], q[r["i"], r["j"]], p[r["i"], r["j"]] = r["n"], r["s"], r["q"], r["p"]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q - s * s / n
+        out = (p - s * s.T / n) / np.sqrt(spread * spread.T)
+    out[~np.isfinite(out)] = 0
+    np.fill_diagonal(out, 1)
+    return out
 
 
 def inflation(matrix: np.ndarray) -> np.ndarray:
@@ -56,6 +91,12 @@ def uncorrelated_columns(df: DataFrame, columns: list[str], threshold: float = M
     return [columns[i] for i in kept]
 
 
+def selection(df: DataFrame, columns: list[str], min_variance: float = MIN_VARIANCE, max_vif: float = MAX_VIF) -> DataFrame:
+    """Both filters as rows (column, kept)."""
+    kept = set(select_features(df, columns, min_variance, max_vif))
+    return df.sparkSession.createDataFrame([(c, c in kept) for c in columns], "column string, kept boolean")
+
+
 def select_features(df: DataFrame, columns: list[str], min_variance: float = MIN_VARIANCE, max_vif: float = MAX_VIF) -> list[str]:
     """Variance filter, then the collinearity filter."""
     return uncorrelated_columns(df, varying_columns(df, columns, min_variance), max_vif)

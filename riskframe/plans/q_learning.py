@@ -52,6 +52,14 @@ def ft6(t: Tables):
     return hot.transform(d).select("row_key", *hot.names)
 
 
+@query("ft6_one_hot_sparse", """WITH l AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS place FROM (SELECT DISTINCT c_name AS value FROM customer WHERE c_custkey % 3 <> 0))
+SELECT c_custkey, place, CAST(place IS NOT NULL AS INT) AS n FROM customer LEFT JOIN l ON c_name = value""")
+def ft6_sparse(t: Tables):
+    d = t.customer
+    hot = encode.one_hot_vectors(d, "c_name", encode.one_hot_dictionary(d.where("c_custkey % 3 <> 0"), "c_name"))
+    return hot.select("c_custkey", F.get("c_name_vec.indices", F.lit(0)).alias("place"), F.size("c_name_vec.values").alias("n"))
+
+
 CAT = "CASE WHEN row_key % 7 <> 0 THEN p_brand END"
 
 
@@ -153,11 +161,31 @@ def ft16(t: Tables):
     return select.vif_table(_sup(t), ["l_quantity", "l_extendedprice", "l_discount"]).withColumn("vif", rnd("vif", 5))
 
 
-@query("ft15_ft16_selection")
+HOLES = "CASE WHEN row_key % 5 <> 0 THEN l_quantity END AS q, CASE WHEN row_key % 7 <> 0 THEN 2 * l_quantity + p_size END AS twice, CASE WHEN row_key % 3 <> 0 THEN p_size END AS p_size"
+INFLATED = f"""{S}, x AS (SELECT {HOLES} FROM supervised), r AS (SELECT corr(q, twice) AS a, corr(q, p_size) AS b, corr(twice, p_size) AS c FROM x),
+d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM r), f AS (SELECT (1 - c * c) / det AS q, (1 - b * b) / det AS twice, (1 - a * a) / det AS p_size, a, b, c FROM d)"""
+
+
+def _holes(t: Tables):
+    d, key = _sup(t), F.col("row_key")
+    return d.select(F.when(key % 5 != 0, F.col("l_quantity")).alias("q"), F.when(key % 7 != 0, 2 * F.col("l_quantity") + F.col("p_size")).alias("twice"),
+                    F.when(key % 3 != 0, F.col("p_size")).alias("p_size"), F.lit(1.0).alias("flat"))
+
+
+@query("ft16_vif_pairwise", f"""{INFLATED} SELECT unnest(['q', 'twice', 'p_size']) AS "column", unnest([{R('q', 4)}, {R('twice', 4)}, {R('p_size', 4)}]) AS vif FROM f""")
+def ft16_pairwise(t: Tables):
+    """Missing values leave out pairs, not rows."""
+    return select.vif_table(_holes(t), ["q", "twice", "p_size"]).withColumn("vif", rnd("vif", 4))
+
+
+# of three columns the most inflated one goes, and one of the other two if they are still too close
+@query("ft15_ft16_selection", f"""{INFLATED}, w AS (SELECT *, greatest(q, twice, p_size) AS top FROM f),
+g AS (SELECT *, CASE WHEN top < 10 THEN '' WHEN q = top THEN 'q' WHEN twice = top THEN 'twice' ELSE 'p_size' END AS gone FROM w),
+h AS (SELECT *, CASE gone WHEN 'q' THEN c WHEN 'twice' THEN b WHEN 'p_size' THEN a ELSE 0 END AS rest FROM g)
+SELECT col AS "column", col <> 'flat' AND col <> gone AND NOT (1 / (1 - rest * rest) >= 10 AND col = CASE WHEN gone = 'q' THEN 'twice' ELSE 'q' END) AS kept
+FROM h, (SELECT unnest(['q', 'twice', 'p_size', 'flat']) AS col)""")
 def ft15(t: Tables):
-    d = _sup(t).withColumn("twice", 2 * F.col("l_quantity") + F.col("l_tax")).withColumn("flat", F.lit(1.0))
-    kept = select.select_features(d, ["l_quantity", "twice", "p_size", "flat", "l_extendedprice"])
-    return d.agg(*[F.avg(c).alias(c) for c in kept])
+    return select.selection(_holes(t), ["q", "twice", "p_size", "flat"])
 
 
 @query("ft17_feature_pipeline", f"""{S}, d AS (SELECT row_key, y, coalesce(CASE WHEN row_key % 5 <> 0 THEN l_quantity END, 0) AS q, l_tax, coalesce(CASE WHEN row_key % 6 <> 0 THEN p_brand END, 'missing') AS b FROM supervised),

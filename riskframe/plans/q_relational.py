@@ -383,8 +383,8 @@ def jn12(t: Tables):
     return t.supplier.join(F.broadcast(even), F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "n_name", rnd("s_acctbal", 2).alias("balance"))
 
 
-@query("jn13_prediction_back_join", f"""{TARGETS}, p AS (SELECT company_id, timestamp, (CAST(company_id AS BIGINT) * 31 + month(timestamp)) % 100 / 100.0 AS probability FROM tgt)
-SELECT t.company_id, t.timestamp, event, CAST(probability AS DOUBLE) AS probability FROM tgt t JOIN p USING (company_id, timestamp)""")
+# the pair of columns is the key of the targets, so the join back is one row to one
+@query("jn13_prediction_back_join", f"""{TARGETS} SELECT company_id, timestamp, event, CAST((CAST(company_id AS BIGINT) * 31 + month(timestamp)) % 100 / 100.0 AS DOUBLE) AS probability FROM tgt""")
 def jn13(t: Tables):
     tgt = _targets(t)
     p = tgt.select("company_id", "timestamp", ((F.col("company_id").cast("long") * 31 + F.month("timestamp")) % 100 / 100.0).alias("probability"))

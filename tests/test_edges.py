@@ -465,6 +465,39 @@ def test_bounds_leave_few_cells():
     assert pairs < 0.2 * len(x) ** 2
 
 
+def test_one_hot_of_any_width(spark):
+    d = spark.range(100_000).select(F.concat(F.lit("v"), F.col("id")).alias("c")).union(spark.createDataFrame([(None,), ("",), ("é",)], "c string"))
+    words = encode.one_hot_dictionary(d, "c")
+    n, low, high, distinct = words.agg(F.count("*"), F.min("place"), F.max("place"), F.countDistinct("place")).first()
+    assert (n, low, high, distinct) == (100_002, 0, 100_001, 100_002)
+    assert words.where("value in ('', 'v0', 'v1', 'v10', 'é')").orderBy("place").select("value").rdd.flatMap(list).collect() == ["", "v0", "v1", "v10", "é"]
+    more = spark.createDataFrame([("v7",), (None,), ("new",)], "c string")
+    got = {r["c"]: (len(r["c_vec"]["indices"]), r["c_vec"]["values"]) for r in encode.one_hot_vectors(more, "c", words).collect()}
+    assert got == {"v7": (1, [1.0]), None: (0, []), "new": (0, [])}
+
+
+def test_correlations_leave_out_pairs_not_rows(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(1e6, 1, (300, 4))
+    x[:, 1] += x[:, 0]
+    x[rng.random(x.shape) < 0.2] = np.nan
+    d = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in r] for r in x], "a double, b double, c double, d double").withColumn("e", F.lit(None).cast("double"))
+    got = select.correlation_matrix(d, ["a", "b", "c", "d", "e"])
+    want = pd.DataFrame(x).corr().to_numpy()
+    assert np.allclose(got[:4, :4], want, atol=1e-6) and (got[4, :4] == 0).all() and got[4, 4] == 1
+
+
+def test_no_fraud_is_lost_beyond_a_bound(spark):
+    from datetime import datetime
+
+    s = spark.createDataFrame([(1, datetime(2024, 1, 1), 400)], "company_id long, timestamp timestamp, days_remaining int")
+    f = spark.createDataFrame([(1, datetime(2024, 12, 1), "x", 5.0)], "company_id long, transaction_at timestamp, app_fraud_type string, amount double")
+    assert labels.spine_frauds(s, f, 60).count() == labels.spine_frauds(s, f).count() == 1
+
+
 # ---- sources -------------------------------------------------------------------------------
 
 def test_sources_round_trip(spark, tmp_path):
