@@ -11,18 +11,27 @@ For a row at time t and a window h, rows in [t-h, t) are split on a fixed bucket
 Tail and head are growing frames inside (entity, bucket), linear in the rows (sliding
 frames re-read the window for each row), and a hot entity spreads over its buckets. All
 windows of one call share one shuffle on (entity, bucket).
+
+Buckets are counted first. One with more than ``BLOCK`` rows and copies is cut at quantiles of their positions into
+blocks; frames grow inside a block, and the totals of the blocks before or after it are carried
+in. So no bucket is one task, however busy its entity is; results are the same.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import cut_lineage
 from .timekeys import MICROS, floor_bucket, micros
 
+BLOCK = 1_000_000  # rows and copies of a bucket that one task scans
+PIECES = 1000  # blocks of a bucket at most, and busy buckets whose cuts are broadcast
+
 # Partial aggregates each measure is assembled from.
 PARTS = {
     "sum": ("sum",), "count": ("cnt",), "min": ("min",), "max": ("max",),
@@ -53,9 +62,31 @@ def _merge(part: str, pieces: list[Column]) -> Column:
     return total if part == "cnt" else F.when(F.coalesce(*pieces).isNull(), F.lit(None)).otherwise(total)
 
 
+def _busy_cuts(base: DataFrame, spread: DataFrame, keys: list[str], windows: list[int], width: int, block: int) -> DataFrame | None:
+    """Positions that cut each busy bucket into blocks: (keys, __bkt, __cuts); None if no bucket is busy.
+
+    A bucket gets its own rows and one copy of those of the bucket a window before it, for each
+    window, so a bucket's own rows are counted and its copies' buckets follow.
+    """
+    share = max(1, block // (len(windows) + 1))
+    counts = base.groupBy(*keys, floor_bucket(F.col("__ts"), width).alias("__b")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > share)
+    counts = cut_lineage(counts)
+    most = counts.agg(F.max("__n")).first()[0]
+    if most is None:
+        return None
+    moves = F.array(*[F.lit(h * MICROS // width) for h in (0, *windows)])
+    busy = counts.select(*keys, F.explode(F.transform(moves, lambda m: F.col("__b") + m)).alias("__bkt")).distinct()
+    pieces = min(PIECES, -(-most * (len(windows) + 1) // block) * 2)
+    probs = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    cuts = spread.select(*keys, "__bkt", "__pos").join(busy, [*keys, "__bkt"], "left_semi").groupBy(*keys, "__bkt").agg(
+        F.array_distinct(F.percentile_approx("__pos", probs, 10 * pieces)).alias("__cuts"))
+    cuts = cut_lineage(cuts)
+    return F.broadcast(cuts) if cuts.count() <= PIECES else cuts
+
+
 def add_rolling(df: DataFrame, keys: list[str], ts: str, measures: list[Rolling], bucket: int,
-                values: dict[str, Column] | None = None) -> DataFrame:
-    """Append the rolling ``measures`` to every row of ``df``.
+                values: dict[str, Column] | None = None, block: int = BLOCK) -> DataFrame:
+    """Append the rolling ``measures`` to every row of ``df``; counts the buckets at once.
 
     ``bucket`` is in seconds; every window must be a multiple of it. ``values`` gives the
     expressions behind the measures' value names (plain column names need no entry).
@@ -89,7 +120,12 @@ def add_rolling(df: DataFrame, keys: list[str], ts: str, measures: list[Rolling]
     def masked(role: int, v: str) -> Column:
         return F.when(F.col("__role") == role, val[v])
 
-    grid = W.partitionBy(*own_keys, "__bkt")
+    busy = _busy_cuts(base, spread, own_keys, windows, width, block)
+    if busy is not None:
+        spread = spread.join(busy, [*own_keys, "__bkt"], "left").withColumn(
+            "__sub", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col("__pos"))), F.lit(0))).withColumn("__cut", F.col("__cuts").isNotNull()).drop("__cuts")
+
+    grid = W.partitionBy(*own_keys, "__bkt", *(["__sub"] if busy is not None else []))
     tail = grid.orderBy("__pos").rangeBetween(W.unboundedPreceding, -1)
     head = grid.orderBy(F.col("__neg")).rangeBetween(W.unboundedPreceding, 0)
     tails = spread.withColumn("__neg", -F.col("__pos")).select(
@@ -99,6 +135,19 @@ def add_rolling(df: DataFrame, keys: list[str], ts: str, measures: list[Rolling]
                for i, h in enumerate(windows, 1) for p, v in need_by_window[h]]
     ).where("__role = 0")
 
+    if busy is not None:
+        totals = spread.where("__cut").groupBy(*own_keys, "__bkt", "__sub").agg(
+            *[_part(p, masked(0, v)).alias(f"__t_{p}_{v}") for p, v in need],
+            *[_part(p, masked(i, v)).alias(f"__h{h}_{p}_{v}") for i, h in enumerate(windows, 1) for p, v in need_by_window[h]])
+        blocks = W.partitionBy(*own_keys, "__bkt").orderBy("__sub")  # at most ``PIECES`` rows
+        before, after = blocks.rowsBetween(W.unboundedPreceding, -1), blocks.rowsBetween(1, W.unboundedFollowing)
+        over = lambda c, p, w: {"min": F.min, "max": F.max}.get(p, F.sum)(c).over(w).alias(f"__c{c}")
+        carry = totals.select(*[F.col(k).alias(f"__j_{k}") for k in (*own_keys, "__bkt", "__sub")],
+                              *[over(f"__t_{p}_{v}", p, before) for p, v in need],
+                              *[over(f"__h{h}_{p}_{v}", p, after) for h in windows for p, v in need_by_window[h]])
+        same = [F.col(k) == F.col(f"__j_{k}") for k in (*own_keys, "__bkt", "__sub")]
+        heads = heads.join(carry, reduce(lambda a, b: a & b, same), "left")
+
     multi = [h for h in windows if h > bucket]
     partial_cols = {(p, v): F.col(f"__p_{p}_{v}") for p, v in need}
     if multi:
@@ -119,7 +168,8 @@ def add_rolling(df: DataFrame, keys: list[str], ts: str, measures: list[Rolling]
         heads = heads.join(mids, cond, "left")
 
     def piece(p: str, m: Rolling) -> Column:
-        parts = [F.col(f"__t_{p}_{m.value}"), F.col(f"__h{m.seconds}_{p}_{m.value}")]
+        names = [f"__t_{p}_{m.value}", f"__h{m.seconds}_{p}_{m.value}"]
+        parts = [F.col(n) for n in names] + ([F.col(f"__c{n}") for n in names] if busy is not None else [])
         if m.seconds > bucket:
             parts.append(F.col(f"__m{m.seconds}_{p}_{m.value}"))
         return _merge(p, parts)

@@ -50,6 +50,40 @@ def test_rolling_equals_brute_force(events, bucket):
             assert total is None or abs(r[f"sum_{n}"] - total) < 1e-6
 
 
+@pytest.mark.parametrize("block", [3, 60, 10**6])
+def test_busy_buckets_are_cut(spark, block):
+    """One account holds half the rows, a third of them at one instant and all within a few buckets."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    t = [*rng.integers(0, 3 * 3600 * MICRO, 150).tolist(), *[3600 * MICRO] * 80, *rng.integers(0, 90 * 3600 * MICRO, 230).tolist()]
+    rows = [(i, "busy" if i < 230 else rng.choice(["a", "b", None]), int(us), None if i % 5 == 0 else float(i % 13)) for i, us in enumerate(t)]
+    df = spark.createDataFrame([(i, None if k is None else str(k), us, v) for i, k, us, v in rows], "id long, key string, us long, v double").withColumn("ts", F.timestamp_micros("us"))
+    ms = [Rolling(f"{a}_{n}", a, "v", s) for n, s in (("2h", 7200), ("48h", 172800)) for a in ("count", "sum", "max", "min", "mean", "std")]
+    got = {r["id"]: r for r in add_rolling(df, ["key"], "ts", ms, 7200, block=block).collect()}
+    for n, span in (("2h", 7200), ("48h", 172800)):
+        for i, (c, total, hi, lo) in brute(rows, span * MICRO).items():
+            r = got[i]
+            assert (r[f"count_{n}"], r[f"max_{n}"], r[f"min_{n}"]) == (c, hi, lo)
+            assert (r[f"sum_{n}"] is None) == (total is None) and (total is None or abs(r[f"sum_{n}"] - total) < 1e-6)
+            assert total is None or abs(r[f"mean_{n}"] - total / c) < 1e-6
+
+
+def test_no_block_is_much_larger_than_asked(spark):
+    from riskframe.operators import rolling
+
+    one = spark.range(40_000).select(F.lit("busy").alias("key"), (F.col("id") * 100_000).alias("__pos"))
+    few = spark.range(400).select(F.concat(F.lit("k"), F.col("id") % 20).alias("key"), (F.col("id") * 9_000_000).alias("__pos"))
+    base = one.union(few).withColumn("__ts", F.col("__pos"))
+    width = 7200 * MICRO
+    spread = base.withColumn("__bkt", F.floor(F.col("__pos") / width))
+    cuts = rolling._busy_cuts(base, spread, ["key"], [7200], width, 2000)
+    marked = spread.join(cuts, ["key", "__bkt"], "left").withColumn("sub", F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col("__pos"))), F.lit(0)))
+    sizes = marked.groupBy("key", "__bkt", "sub").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 2000
+    assert cuts.select("key").distinct().count() == 1
+
+
 def test_rolling_rejects_uneven_bucket(events):
     with pytest.raises(ValueError):
         add_rolling(events[1], ["key"], "ts", [Rolling("x", "sum", "v", 5000)], 1800)
