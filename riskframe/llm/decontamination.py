@@ -37,8 +37,8 @@ UNITS = (
     "cent", "cents", "percent", "degree", "degrees", "v", "w", "kw", "hz", "n", "j", "pa",
 )
 NAME = "\x01"  # marks a capitalised word; two of them mark a name within a sentence
-NAME_PATTERN = r"\p{Lu}(?<=\p{Ll}[,;]? .)\p{L}*"  # the upper-case letter is looked for first
-CAPITAL_PATTERN = r"\p{Lu}(?<![\p{L}0-9].)\p{L}*"
+NAME_PATTERN = r"\p{Lu}(?<=\p{Ll}[,;]? .)"  # the upper-case letter is looked for first
+CAPITAL_PATTERN = r"\p{Lu}(?<![\p{L}0-9].)"
 # Code points between words; control, ASCII, Latin-1 and general punctuation, ideographic space and stops.
 BETWEEN = r"[\x00\x02-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\u2000-\u206F\u3000-\u303F\uFF00-\uFF0F]+"
 NUMBER, UNIT, WITHIN, CAPITAL = 1, 2, 3, 4
@@ -52,7 +52,7 @@ def _words(text: Column) -> Column:
 
     ``NAME`` stands before capitalised words, twice within a sentence.
     """
-    t = F.regexp_replace(F.regexp_replace(F.translate(text, NAME, " "), NAME_PATTERN, NAME + "$0"), CAPITAL_PATTERN, NAME + "$0")
+    t = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(NAME), F.lit(" ")), NAME_PATTERN, NAME + "$0"), CAPITAL_PATTERN, NAME + "$0")
     t = F.lower(t)
     joined = F.regexp_replace(F.regexp_replace(t, r"([0-9])[.,:]([0-9])", "$1_$2"), r"([0-9])[.,:]([0-9])", "$1_$2")
     t = F.when(text.rlike("[0-9]"), F.regexp_replace(joined, r"([0-9])(\p{L})", "$1 $2")).otherwise(t)
