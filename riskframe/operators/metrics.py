@@ -89,9 +89,11 @@ def classification_scores(df: DataFrame, label: str, predicted: str, weight: Col
                         ((recall + tnr) / 2).alias("balanced_accuracy"))
 
 
-def concordance(df: DataFrame, duration: str, event: str, risk: str, n_chunks: int | None = CHUNKS) -> DataFrame:
+def concordance(df: DataFrame, duration: str, event: str, risk: str, n_chunks: int | None = CHUNKS, keys: tuple[str, ...] = ()) -> DataFrame:
     """Concordance index: share of comparable pairs in which the earlier event has the higher risk.
 
+    With ``keys``, such as a repeat and a fold, one row for each of their values, all in the same pass.
+
     A pair is an event at t against a row lasting longer than t, or censored at t; tied risks
     count half. Pairs are never formed: rows are first counted per (duration, event, risk), and
     the (duration, event) values are numbered in time, an event before what is censored with it.
@@ -100,23 +102,28 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str, n_chunks: i
     event or as control of the values that share its higher digits, and each such group is a
     rank sum. Any number of durations costs its logarithm.
     """
-    counts = cut_lineage(df.groupBy(F.col(duration).alias("d"), F.col(event).cast("int").alias("e"),
+    counts = cut_lineage(df.groupBy(*keys, F.col(duration).alias("d"), F.col(event).cast("int").alias("e"),
                                     F.col(risk).cast("double").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("n")))
     values = row_numbers(counts.select("d", "e").distinct(), [], [F.col("d").asc(), F.col("e").desc()], "place", "d", n_chunks)
     values = cut_lineage(values.withColumn("place", F.col("place") - 1))
     digits = max(1, values.count().bit_length())
     placed = counts.join(values, ["d", "e"]).withColumn("digit", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))))
     later = F.expr("shiftright(place, digit) & 1") == 1
-    roles = placed.select("r", F.concat_ws(":", "digit", F.expr("shiftright(place, digit + 1)")).alias("t"),
+    roles = placed.select(*keys, "r", F.concat_ws(":", "digit", F.expr("shiftright(place, digit + 1)")).alias("t"),
                           F.when(~later & (F.col("e") == 1), F.col("n")).otherwise(0.0).alias("cases"), F.when(later, F.col("n")).otherwise(0.0).alias("controls"))
-    roles = roles.groupBy("t", "r").agg(F.sum("cases").alias("cases"), F.sum("controls").alias("controls"))
-    ranked = running(roles, ["t"], ["r"], {"lower": ("sum", F.col("controls"))}, inclusive=False, n_chunks=n_chunks)
+    roles = roles.groupBy(*keys, "t", "r").agg(F.sum("cases").alias("cases"), F.sum("controls").alias("controls"))
+    ranked = running(roles, [*keys, "t"], ["r"], {"lower": ("sum", F.col("controls"))}, inclusive=False, n_chunks=n_chunks)
     won = F.col("cases") * (F.coalesce("lower", F.lit(0.0)) + F.col("controls") / 2)
-    per = ranked.groupBy("t").agg(F.sum(won).alias("won"), (F.sum("cases") * F.sum("controls")).alias("pairs"))
-    return per.agg(F.sum("won").alias("concordant"), F.sum("pairs").alias("comparable"),
+    per = ranked.groupBy(*keys, "t").agg(F.sum(won).alias("won"), (F.sum("cases") * F.sum("controls")).alias("pairs"))
+    return per.groupBy(*keys).agg(F.sum("won").alias("concordant"), F.sum("pairs").alias("comparable"),
                    F.try_divide(F.sum("won"), F.sum("pairs")).alias("concordance"))
 
 
+def cross_validated(scores: DataFrame, score: str = "concordance") -> DataFrame:
+    """Mean and sample deviation of the scores of all folds and repeats, and their number; folds without a score are left out."""
+    return scores.agg(F.avg(score).alias("mean"), F.stddev_samp(score).alias("std"), F.count(score).alias("n"))
+
+
 def calibration_curve(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Mean score and event rate in uniform bins of the min-max normalised score."""
     bounds = F.broadcast(df.agg(F.min(score).alias("__lo"), F.max(score).alias("__hi")))

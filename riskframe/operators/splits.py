@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.hashing import portable_fraction, portable_mix
 from .chunks import CHUNKS, attach_totals, group_sizes, row_numbers
@@ -30,6 +31,26 @@ def stratified_folds(df: DataFrame, strata: list[str], id_col: str, k: int, seed
     return ranked.withColumn(out, ((F.col("__rn") - 1) % k).cast("int")).drop("__mix", "__rn", "__n")
 
 
+def repeated_folds(df: DataFrame, strata: list[str], id_col: str, k: int, repeats: int, out: str = "fold", repeat: str = "repeat",
+                   n_chunks: int | None = CHUNKS) -> DataFrame:
+    """Every row ``repeats`` times, with a fold number of its own each time; all repeats are dealt in one scan."""
+    many = df.withColumn(repeat, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    ranked = row_numbers(many.withColumn("__mix", portable_mix(id_col, F.col(repeat))), [repeat, *strata], ["__mix", id_col], "__rn", n_chunks=n_chunks)
+    return ranked.withColumn(out, ((F.col("__rn") - 1) % k).cast("int")).drop("__mix", "__rn")
+
+
+def out_of_fold_rate(df: DataFrame, group: str, label: str, repeat: str = "repeat", fold: str = "fold", out: str = "risk") -> DataFrame:
+    """Add the label's rate among the group's rows of the other folds: a baseline model of every fold, fitted in one aggregation.
+
+    Null where the other folds have no row of the group.
+    """
+    per = df.groupBy(repeat, group, fold).agg(F.sum(label).alias("__y"), F.count(F.lit(1)).alias("__n"))
+    every = W.partitionBy(repeat, group)  # one row for each fold
+    rest = lambda c: F.sum(c).over(every) - F.col(c)
+    rates = per.select(repeat, group, fold, F.try_divide(rest("__y"), rest("__n")).alias(out))
+    return df.join(rates, [repeat, group, fold], "left")
+
+
 def company_split(df: DataFrame, company: str, label: str, test_share: float = 0.25, seed: int = 0,
                   n_chunks: int | None = CHUNKS) -> DataFrame:
     """Split by company, stratified on its largest label; all rows of a company go together."""

@@ -329,6 +329,25 @@ def mt3(t: Tables):
     return metrics.concordance(d, "weeks", "event", "risk").withColumn("concordance", rnd("concordance", 6))
 
 
+@query("mt3_repeated_folds", f"""{TARGETS}, g AS (SELECT CAST(company_id AS BIGINT) * 100000 + date_diff('day', DATE '1990-01-01', CAST(timestamp AS DATE)) AS id, CAST(round_even(duration / 7.0, 0) AS INT) AS d,
+  event AS e, CAST(company_id AS BIGINT) % 10 AS grp FROM tgt WHERE duration > 0),
+m AS (SELECT *, (row_number() OVER (PARTITION BY rep, e ORDER BY ((id % 1000003) * 7919 + rep) % 1000003, id) - 1) % 3 AS fold FROM g, (SELECT unnest(range(2)) AS rep)),
+s AS (SELECT rep, fold, grp, sum(e) AS y, count(*) AS n FROM m GROUP BY ALL),
+r AS (SELECT rep, fold, grp, (sum(y) OVER (PARTITION BY rep, grp) - y) / (sum(n) OVER (PARTITION BY rep, grp) - n) AS risk FROM s),
+c AS (SELECT rep, fold, d, e, risk, count(*) AS n FROM m JOIN r USING (rep, fold, grp) GROUP BY ALL),
+x AS (SELECT rep, fold, sum(a.n * b.n * CASE WHEN a.risk > b.risk THEN 1.0 WHEN a.risk = b.risk THEN 0.5 ELSE 0 END) / sum(a.n * b.n) AS score
+  FROM c a JOIN c b USING (rep, fold) WHERE a.e = 1 AND (b.d > a.d OR (b.d = a.d AND b.e = 0)) GROUP BY 1, 2)
+SELECT {R('avg(score)', 6)} AS mean, {R('stddev_samp(score)', 6)} AS std, count(*) AS n FROM x""")
+def mt3_folds(t: Tables):
+    """Concordance of a baseline model over two repeats of three stratified folds."""
+    d = _targets(t).where("duration > 0").select(
+        (F.col("company_id").cast("long") * 100000 + F.date_diff(F.col("timestamp").cast("date"), F.lit("1990-01-01").cast("date"))).alias("id"),
+        F.bround(F.col("duration") / 7, 0).cast("int").alias("weeks"), "event", (F.col("company_id").cast("long") % 10).alias("grp"))
+    scored = splits.out_of_fold_rate(splits.repeated_folds(d, ["event"], "id", 3, 2), "grp", "event")
+    per = metrics.concordance(scored, "weeks", "event", "risk", keys=("repeat", "fold"))
+    return metrics.cross_validated(per).select(rnd("mean", 6).alias("mean"), rnd("std", 6).alias("std"), "n")
+
+
 @query("mt4_calibration_curve", f"""{S}, n AS (SELECT y, (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) AS p FROM supervised)
 SELECT CAST(least(greatest(ceil(p * 10) - 1, 0), 9) AS INT) AS bin, count(*) AS n, {R('avg(p)', 6)} AS mean_score, {R('avg(y)', 6)} AS event_rate FROM n GROUP BY 1""")
 def mt4(t: Tables):
