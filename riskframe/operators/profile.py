@@ -70,6 +70,36 @@ def column_profile(df: DataFrame, numeric: list[str], text: list[str], top_k: in
     return tidy.select("r.column", "r.s.*").join(F.broadcast(per), "column", "left")
 
 
+SKETCH_K = 400
+RANK_ERROR = 0.02  # of a quantile's rank, with room to spare for ``SKETCH_K``
+
+
+def column_sketches(df: DataFrame, columns: list[str], keys: tuple[str, ...] = (), k: int = SKETCH_K) -> DataFrame:
+    """Quantile sketches of all columns in one aggregation: (keys, column, n, sketch).
+
+    Sketches have a fixed size whatever the rows, and can be stored by partition and merged later. Nulls are left out.
+    """
+    stat = lambda c: F.struct(F.count(c).alias("n"), F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(k)).alias("sketch"))
+    one = df.groupBy(*keys).agg(*[stat(c).alias(f"__{i}") for i, c in enumerate(columns)])
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__{i}").alias("s")) for i, c in enumerate(columns)])).alias("r")
+    return one.select(*keys, rows).select(*keys, "r.column", "r.s.n", "r.s.sketch")
+
+
+def merge_sketches(sketches: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Sketches of whole columns, or of coarser ``keys``, from those of partitions: (keys, column, n, sketch)."""
+    return sketches.groupBy(*keys, "column").agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, probs: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """One row for each sketch and probability: its columns but the sketch, ``p`` and ``value``; null for a column without values.
+
+    The rank of ``value`` is within ``RANK_ERROR`` of ``p``.
+    """
+    value = lambda p: F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p)))
+    found = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), value(p).alias("value")) for p in probs])).alias("q")
+    return sketches.select("*", found).select("*", "q.*").drop("q", "sketch")
+
+
 def top_values(df: DataFrame, columns: list[str], k: int = 3) -> DataFrame:
     """Most frequent values of each column, ties by value."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "column", "value")

@@ -582,6 +582,25 @@ def ag22(t: Tables):
     return p.select("column", "count", rnd("null_rate", 6).alias("null_rate"), *[rnd(c, 4).alias(c) for c in ("mean", "std", "min", "max")], "top_values")
 
 
+PROFILED = ["l_extendedprice", "l_quantity", "l_discount"]
+
+
+@query("ag22_quantiles", "SELECT c AS \"column\", p, (SELECT count(*) FROM lineitem) AS n, TRUE AS within, TRUE AS distinct_within FROM (SELECT unnest(['l_extendedprice', 'l_quantity', 'l_discount']) AS c), (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95]) AS p)")
+def ag22_quantiles(t: Tables):
+    """Quantiles of sketches merged from partitions have ranks, and approximate distinct counts values, within their stated errors."""
+    d = t.lineitem.select("l_returnflag", *PROFILED)
+    q = profile.sketch_quantiles(profile.merge_sketches(profile.column_sketches(d, PROFILED, ("l_returnflag",))))
+    long = d.select(*[F.col(c).cast("double").alias(c) for c in PROFILED]).unpivot([], PROFILED, "column", "x")
+    pairs = long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(q), "column")  # 15 rows
+    ranks = pairs.groupBy("column", "p", "n").agg(F.sum(F.when(F.col("x") < F.col("value"), F.col("m")).otherwise(0)).alias("below"),
+                                                  F.sum(F.when(F.col("x") <= F.col("value"), F.col("m")).otherwise(0)).alias("upto"), F.count(F.lit(1)).alias("exact"))
+    near = profile.column_profile(d, PROFILED, []).select("column", "distinct_approx")
+    error = profile.RANK_ERROR
+    within = (F.col("below") / F.col("n") - error <= F.col("p")) & (F.col("p") <= F.col("upto") / F.col("n") + error)
+    return ranks.join(F.broadcast(near), "column").select(
+        "column", "p", "n", within.alias("within"), (F.abs(F.col("distinct_approx") - F.col("exact")) <= 0.15 * F.col("exact")).alias("distinct_within"))
+
+
 # ---- windows, sorts, sets ----------------------------------------------------------------
 
 CURVE = "curve AS (SELECT d, amount, sum(amount) OVER (ORDER BY d) AS cumulative, sum(amount) OVER (ORDER BY d) / sum(amount) OVER () AS share FROM (SELECT CAST(floor(o_totalprice / 1000) AS BIGINT) AS d, count(*) AS amount FROM orders GROUP BY 1))"
