@@ -171,6 +171,11 @@ def noise_scale(prior: float) -> float:
     return round((prior * (1 - prior)) ** 0.5, 2)
 
 
+def randomised(df: DataFrame, column: str, row_id: str, sigma: float, seed: int = 0) -> DataFrame:
+    """The encoded column times a normal draw of mean 1 and deviation ``sigma``, fixed by the row id; for training rows only."""
+    return df.withColumn(column, F.col(column) * (1 + hash_normal(row_id, seed=seed) * F.lit(sigma)))
+
+
 # ---- rare categories and one-hot -----------------------------------------------------------
 
 @dataclass

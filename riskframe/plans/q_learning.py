@@ -91,6 +91,18 @@ def ft8_oof(t: Tables):
     return out.select("row_key", rnd("cat_encoded", 6).alias("cat_encoded"))
 
 
+@query("ft8_m_estimate_randomised", f"""{S}, d AS (SELECT *, {CAT} AS cat FROM supervised) SELECT count(*) AS n, count(cat) AS encoded, {R('round_even(sqrt(avg(y) * (1 - avg(y))), 2)', 2)} AS sigma, TRUE AS centred, TRUE AS spread FROM d""")
+def ft8_randomised(t: Tables):
+    """The noise keeps the encoder's mean within five standard errors, and its deviation within a tenth."""
+    d = _with_missing(t)
+    sigma = encode.noise_scale(d.agg(F.avg("y")).first()[0])
+    plain = encode.fit_m_estimate(d, "cat", "y").transform(d).withColumn("plain", F.col("cat_encoded"))
+    ratio = F.try_divide("cat_encoded", "plain") - 1
+    out = encode.randomised(plain, "cat_encoded", "row_key", sigma, seed=3).agg(
+        F.count(F.lit(1)).alias("n"), F.count("cat_encoded").alias("encoded"), F.avg(ratio).alias("m"), F.stddev(ratio).alias("s"))
+    return out.select("n", "encoded", F.lit(sigma).alias("sigma"), (F.abs("m") < 5 * sigma / F.sqrt("encoded")).alias("centred"), (F.abs(F.col("s") / sigma - 1) < 0.1).alias("spread"))
+
+
 VOCAB = """d AS (SELECT o_orderkey, o_orderpriority AS a, CASE WHEN o_orderkey % 3 > 0 THEN (['1-URGENT', '2-HIGH', '3-MEDIUM', 'unseen'])[1 + o_custkey % 4] END AS b, o_orderstatus AS s,
   CAST(o_totalprice > 300000 AS INT) AS y FROM orders), pr AS (SELECT avg(y) AS prior FROM d)"""
 
@@ -224,6 +236,25 @@ def ml1(t: Tables):
     return model.importance(m, NUM, d)
 
 
+BINARY = f"""{S}, r AS (SELECT y, 0.5 + l_tax AS w, CAST(l_quantity > 25 AS INT) AS x FROM supervised), p AS (SELECT x, sum(w * y) / sum(w) AS p, avg(y) AS q FROM r GROUP BY 1)"""
+
+
+@query("ml1_logistic_binary", f"""{BINARY} SELECT 'x' AS feature, {R("max(CASE WHEN x = 1 THEN ln(p / (1 - p)) END) - max(CASE WHEN x = 0 THEN ln(p / (1 - p)) END)", 2)} AS coefficient FROM p""")
+def ml1_binary(t: Tables):
+    """With one binary feature the weighted fit is the logarithm of the odds ratio."""
+    d = _sup(t).select("y", (0.5 + F.col("l_tax")).alias("w"), (F.col("l_quantity") > 25).cast("int").alias("x"))
+    m = model.fit_logistic(d, ["x"], "y", "w", c=1e9, l1_ratio=0.0, balanced=False, max_iter=200)
+    return model.importance(m, ["x"], d).withColumn("coefficient", rnd("coefficient", 2))
+
+
+@query("ml2_platt_binary", f"""{BINARY} SELECT x, {R('q', 3)} AS calibrated FROM p""")
+def ml2_binary(t: Tables):
+    """A score of two values is calibrated to the share of each."""
+    d = _sup(t).select("y", (F.col("l_quantity") > 25).cast("int").alias("x"))
+    slope, intercept = model.fit_platt(d, "x", "y")
+    return d.select("x").distinct().select("x", rnd(model.apply_platt("x", slope, intercept), 3).alias("calibrated"))
+
+
 @query("ml2_platt_calibration")
 def ml2(t: Tables):
     d = _sup(t)
