@@ -465,6 +465,22 @@ def test_bounds_leave_few_cells():
     assert pairs < 0.2 * len(x) ** 2
 
 
+def test_longest_prefix_by_binary_search(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    table = {word(n) for n in range(1, 31) for _ in range(6)} | {"é漢", None, ""}
+    codes = [word(rng.randint(0, 40)) for _ in range(400)] + [p + word(3) for p in table if p] + [None, "", "é漢x", "é", "\x00"]
+    d = spark.createDataFrame(list(enumerate(codes)), "i int, code string")
+    t = spark.createDataFrame([(p,) for p in table], "p string")
+    got = prefix.longest_prefix_join(d, "code", t, "p")
+    assert got.columns == ["i", "code", "matched"]
+    want = {i: max((p for p in table if p and c and c.startswith(p)), key=len, default=None) for i, c in enumerate(codes)}
+    assert {r["i"]: r["matched"] for r in got.collect()} == want
+    assert got._jdf.queryExecution().analyzed().toString().count("Join LeftOuter") == 5
+
+
 def test_one_hot_of_any_width(spark):
     d = spark.range(100_000).select(F.concat(F.lit("v"), F.col("id")).alias("c")).union(spark.createDataFrame([(None,), ("",), ("é",)], "c string"))
     words = encode.one_hot_dictionary(d, "c")
