@@ -36,6 +36,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 TILE = 512
+PIECE = 512 << 10  # characters of text that a Python worker hashes at once
+SEGMENT = 32 << 10  # words hashed at once; sums and powers take 30 bytes for each of a text
 
 U = np.uint64
 _FACTORS = [U(f | 1) for f in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -50,7 +52,10 @@ def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     start, end = edges[0::2], edges[1::2]
     if not len(start):
         return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    word = rh.substrings(rh.prefix(data), start, end)
+    word = np.empty(len(start), np.uint64)
+    for at in range(0, len(start), SEGMENT):
+        first, some = start[at], slice(at, at + SEGMENT)
+        word[some] = rh.substrings(rh.prefix(data[first : end[some][-1]]), start[some] - first, end[some] - first)
     limits = np.cumsum([len(r) + 1 for r in raw])
     doc = np.searchsorted(limits, start, side="right")
     n = np.bincount(doc, minlength=len(texts))
@@ -72,8 +77,7 @@ def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
     """The element that arrives first in each register: an array of n_docs x registers."""
-    first = np.full(n_docs * registers, np.inf)
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    first, out = np.full(n_docs * registers, np.inf), np.zeros(n_docs * registers, np.uint64)
     d, e, w, time = doc, element, weight.astype(float), np.zeros(len(doc))
     single = np.bincount(doc, minlength=n_docs) == 1  # its element fills all registers
     live = ~single[d]
@@ -85,14 +89,11 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
         time = time - np.log((draw >> U(11)).astype(float) / 2.0**53 + 2.0**-54) / w
         slot = d * registers + (rh.mix(draw ^ U(0xD1B54A32D192ED03)) % U(registers)).astype(np.int64)
         np.minimum.at(first, slot, time)
-        kept.append((slot, time, e))
+        won = time == first[slot]  # a later, earlier arrival writes over it
+        out[slot[won]] = e[won]
         latest = first.reshape(n_docs, registers).max(1)
         go = time < latest[d]
         d, e, w, time = d[go], e[go], w[go], time[go]
-    out = np.zeros(n_docs * registers, np.uint64)
-    for slot, time, e in kept:
-        won = time == first[slot]
-        out[slot[won]] = e[won]
     out = out.reshape(n_docs, registers)
     alone = single[doc]
     out[doc[alone]] = element[alone][:, None]
@@ -110,10 +111,21 @@ def _node(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _pieces(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of up to ``PIECE`` characters of text, one row at least."""
+    begin = size = 0
+    for i, n in enumerate(map(len, part["text"])):
+        if size and size + n > PIECE:
+            yield part.iloc[begin:i]
+            begin, size = i, 0
+        size += n + 1
+    if size:
+        yield part.iloc[begin:]
+
+
 def _bands(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        for i in range(0, len(part), 1000):
-            piece = part.iloc[i : i + 1000]
+        for piece in _pieces(part):
             doc, h, _ = shingles(list(piece["text"]))
             some, number = np.unique(doc, return_inverse=True)
             sig = signatures(number, h, np.ones(len(h)), len(some), BANDS * ROWS).reshape(len(some), BANDS, ROWS)

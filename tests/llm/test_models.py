@@ -46,6 +46,21 @@ def test_language_filter_keeps_columns(spark):
     assert kept.columns == rows.columns and kept.count() == 40 and lid.keep_known(rows.limit(0), lid.fit(rows)).count() == 0
 
 
+def test_sample_is_read_once(spark, monkeypatch):
+    """One Python node in the plan of the sample: two would keep two workers busy for each core."""
+    plans, write = [], lid.materialise
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(lid, "materialise", noted)
+    rows = [*texts(), (1, None, "en"), (2, "12", "de")]
+    model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [p.count("ArrowEvalPython") for p in plans] == [1]
+    assert sorted(x for names in model.languages.values() for x in names) == ["de", "en", "es", "fr"]
+
+
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(3)
     size = qm.WORDS + len(qm.STATS)

@@ -1,12 +1,15 @@
 """Near-duplicate classes against brute force, hot buckets, odd inputs."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from riskframe.llm import near_dedup as nd
+from riskframe.llm import rolling_hash as rh
 
 U = np.uint64
 
@@ -130,3 +133,25 @@ def test_keep_one_and_odd_inputs(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1, (r.text or "")[-4:]) for r in kept.collect()) == [(-1, "ther"), (1, " end"), (1, "e id"), (7, ""), (8, ""), (9, "ong ")]
     assert nd.keep_one(docs.limit(0)).count() == 0 and nd.classes(docs.limit(0)).count() == 0
+
+
+def test_buckets_of_a_batch_take_little_memory(monkeypatch):
+    """A batch of 8 MB of text: pieces bound what is held beside it, and buckets do not depend on them."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "epsilon", "zeta"], k=n)) for n in (1, 2, 7, *[400] * 3000, 40000, 400)]
+    batch = pd.DataFrame({"node": [bytes([i % 256, i // 256]) for i in range(len(texts))], "text": texts})
+    rh._powers.cache_clear()
+    tracemalloc.start()
+    most = 0
+    for piece in nd._bands(iter([batch])):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert most < 48 << 20
+
+    some = batch.iloc[[*range(200), len(batch) - 2, len(batch) - 1]]
+    whole = pd.concat(nd._bands(iter([some])))
+    monkeypatch.setattr(nd, "PIECE", 3000)
+    monkeypatch.setattr(nd, "SEGMENT", 7)
+    cut = pd.concat(nd._bands(iter([some])))
+    assert list(whole["node"]) == list(some["node"]) == list(cut["node"])
+    assert np.array_equal(np.stack(whole["bands"]), np.stack(cut["bands"]))
