@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .interval import interval_aggregate, interval_join
+from .spine import MEMBERSHIP, is_member_at
 from .timekeys import DAY, MICROS, micros
 
 # The report horizon and the fraud horizons, in days.
@@ -48,6 +49,23 @@ def first_report_after(spine: DataFrame, reports: DataFrame, days: int = REPORT_
                               [F.min(report_ts).alias("first_report_at")], high=days * DAY)
 
 
+def member_first_reports(calendar: DataFrame, members: DataFrame, reports: DataFrame, days: int = REPORT_DAYS,
+                         report_ts: str = "reported_at", by: list[str] | None = None) -> DataFrame:
+    """``first_report_after`` of ``member_spine``, without ever shuffling the spine.
+
+    Memberships and report days are gathered to one row per company, and those rows are all that is shuffled; the dates
+    of the calendar (broadcast) multiply them afterwards. Reports are dates, so a company has no more of them than there
+    are days. ``by`` names calendar columns to keep, such as a mode: the spine is then one for each of their values.
+    """
+    by, day = by or [], F.col("feature_date")
+    held = members.groupBy("company_id").agg(F.collect_set(F.struct(*MEMBERSHIP)).alias("__held"))
+    told = reports.groupBy("company_id").agg(F.collect_set(F.col(report_ts).cast("date")).alias("__told"))
+    dates = F.broadcast(calendar.select(*by, day).distinct())
+    rows = held.join(told, "company_id", "left").join(dates, F.exists("__held", lambda m: is_member_at(day, m.getField)))
+    inside = F.filter("__told", lambda r: r.between(day, F.date_add(day, days)))
+    return rows.select("company_id", *by, day.alias("timestamp"), F.array_min(inside).alias("first_report_at"))
+
+
 def report_durations(spine: DataFrame, reports: DataFrame, days: int = REPORT_DAYS,
                      report_ts: str = "reported_at") -> DataFrame:
     """Days to each report inside the window, one row per (company, date, duration)."""

@@ -89,10 +89,12 @@ def classification_scores(df: DataFrame, label: str, predicted: str, weight: Col
                         ((recall + tnr) / 2).alias("balanced_accuracy"))
 
 
-def concordance(df: DataFrame, duration: str, event: str, risk: str, n_chunks: int | None = CHUNKS, keys: tuple[str, ...] = ()) -> DataFrame:
+def concordance(df: DataFrame, duration: str, event: str, risk: str, n_chunks: int | None = CHUNKS, keys: tuple[str, ...] = (),
+                weight: str | None = None) -> DataFrame:
     """Concordance index: share of comparable pairs in which the earlier event has the higher risk.
 
-    With ``keys``, such as a repeat and a fold, one row for each of their values, all in the same pass.
+    With ``keys``, such as a repeat and a fold, one row for each of their values, all in the same pass. ``weight`` is the
+    number of equal rows that a row stands for.
 
     A pair is an event at t against a row lasting longer than t, or censored at t; tied risks
     count half. Pairs are never formed: rows are first counted per (duration, event, risk), and
@@ -103,7 +105,7 @@ def concordance(df: DataFrame, duration: str, event: str, risk: str, n_chunks: i
     rank sum. Any number of durations costs its logarithm.
     """
     counts = cut_lineage(df.groupBy(*keys, F.col(duration).alias("d"), F.col(event).cast("int").alias("e"),
-                                    F.col(risk).cast("double").alias("r")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+                                    F.col(risk).cast("double").alias("r")).agg(F.sum(F.col(weight) if weight else F.lit(1)).cast("double").alias("n")))
     values = row_numbers(counts.select("d", "e").distinct(), [], [F.col("d").asc(), F.col("e").desc()], "place", "d", n_chunks)
     values = cut_lineage(values.withColumn("place", F.col("place") - 1))
     digits = max(1, values.count().bit_length())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from pyspark.sql import functions as F
 INACTIVE_TYPES = ("Fee", "Unknown")
 
 
-def is_member_at(day: Column) -> Column:
-    """Approved before ``day`` and not rejected, or rejected only after it."""
+MEMBERSHIP = ("is_approved", "approved_at", "is_rejected", "rejected_at")
+
+
+def is_member_at(day: Column, of: Callable[[str], Column] = F.col) -> Column:
+    """Approved before ``day`` and not rejected, or rejected only after it; ``of`` finds the columns of ``MEMBERSHIP``."""
     return (
-        (F.col("is_approved") == 1) & (F.col("approved_at") < day)
-        & ((F.col("is_rejected") == 0) | ((F.col("is_rejected") == 1) & (F.col("rejected_at") > day)))
+        (of("is_approved") == 1) & (of("approved_at") < day)
+        & ((of("is_rejected") == 0) | ((of("is_rejected") == 1) & (of("rejected_at") > day)))
     )
 
 

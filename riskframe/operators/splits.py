@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.hashing import portable_fraction, portable_mix
+from ..functions.hashing import MIX_MODULUS, portable_fraction, portable_mix
 from .chunks import CHUNKS, attach_totals, group_sizes, row_numbers
 
 
@@ -33,18 +33,27 @@ def stratified_folds(df: DataFrame, strata: list[str], id_col: str, k: int, seed
 
 def repeated_folds(df: DataFrame, strata: list[str], id_col: str, k: int, repeats: int, out: str = "fold", repeat: str = "repeat",
                    n_chunks: int | None = CHUNKS) -> DataFrame:
-    """Every row ``repeats`` times, with a fold number of its own each time; all repeats are dealt in one scan."""
-    many = df.withColumn(repeat, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    ranked = row_numbers(many.withColumn("__mix", portable_mix(id_col, F.col(repeat))), [repeat, *strata], ["__mix", id_col], "__rn", n_chunks=n_chunks)
-    return ranked.withColumn(out, ((F.col("__rn") - 1) % k).cast("int")).drop("__mix", "__rn")
+    """Every row ``repeats`` times, with a fold number of its own each time; rows are ranked once for all repeats.
+
+    The seed is added to the mix, modulo its range: repeat r has the order of repeat 0, but the rows whose mix is among the
+    r largest come first. So ranks of all repeats follow from one, and from the count of those rows.
+    """
+    mixed, wraps = df.withColumn("__mix", portable_mix(id_col)), lambda r: F.col("__mix") >= MIX_MODULUS - r
+    totals = mixed.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"), F.array(*[F.count_if(wraps(r)) for r in range(repeats)]).alias("__first"))
+    ranked = attach_totals(row_numbers(mixed, strata, ["__mix", id_col], "__rn", n_chunks=n_chunks), strata, totals)
+    many = ranked.withColumn(repeat, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    place = F.col("__rn") + F.get("__first", F.col(repeat)) - F.when(wraps(F.col(repeat)), F.col("__n")).otherwise(0)
+    return many.withColumn(out, ((place - 1) % k).cast("int")).drop("__mix", "__rn", "__n", "__first")
 
 
-def out_of_fold_rate(df: DataFrame, group: str, label: str, repeat: str = "repeat", fold: str = "fold", out: str = "risk") -> DataFrame:
+def out_of_fold_rate(df: DataFrame, group: str, label: str, repeat: str = "repeat", fold: str = "fold", out: str = "risk",
+                     weight: str | None = None) -> DataFrame:
     """Add the label's rate among the group's rows of the other folds: a baseline model of every fold, fitted in one aggregation.
 
-    Null where the other folds have no row of the group.
+    Null where the other folds have no row of the group. ``weight`` is the number of equal rows that a row stands for.
     """
-    per = df.groupBy(repeat, group, fold).agg(F.sum(label).alias("__y"), F.count(F.lit(1)).alias("__n"))
+    n = F.col(weight) if weight else F.lit(1)
+    per = df.groupBy(repeat, group, fold).agg(F.sum(F.col(label) * n).alias("__y"), F.sum(n).alias("__n"))
     every = W.partitionBy(repeat, group)  # one row for each fold
     rest = lambda c: F.sum(c).over(every) - F.col(c)
     rates = per.select(repeat, group, fold, F.try_divide(rest("__y"), rest("__n")).alias(out))

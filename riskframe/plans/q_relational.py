@@ -149,9 +149,9 @@ tgt AS (SELECT company_id, timestamp, CAST(dur IS NOT NULL AS INT) AS event, coa
 
 
 def _targets(t: Tables):
-    from .q_spine import _spine
+    from .q_spine import _calendar
 
-    dated = labels.first_report_after(_spine(t).select("company_id", "timestamp"), v.reports(t))
+    dated = labels.member_first_reports(_calendar(t), v.members(t), v.reports(t))
     tgt = labels.event_targets(dated.withColumn("duration", labels.whole_days("first_report_at", "timestamp"))).drop("first_report_at")
     key = F.col("company_id").cast("long")
     return tgt.withColumn("is_registered", F.when(key % 11 != 0, key % 5))
