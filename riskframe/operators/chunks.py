@@ -169,16 +169,18 @@ def ntiles(df: DataFrame, keys: list[str], order: list[str | Column], n: int, ou
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float],
-                    names: list[str] | None = None, n_chunks: int | None = CHUNKS) -> DataFrame:
+                    names: list[str] | None = None, n_chunks: int | None = CHUNKS, weight: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles per key, as pandas and ``percentile`` define them.
 
     Distinct values are counted first (map-side combined) and checkpointed, then ranked in
-    chunks, so no task holds a whole group. One output row per key.
+    chunks, so no task holds a whole group. One output row per key. ``weight`` is the number
+    of equal rows that a row stands for.
     """
     names = names or [f"q{int(round(p * 100)):03d}" for p in probs]
     v = F.col(value).cast("double")
-    counted = cut_lineage(df.select(*keys, v.alias("__v")).where("__v is not null and not isnan(__v)")
-                          .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__cnt")))
+    copies = F.col(weight) if weight else F.lit(1)
+    counted = cut_lineage(df.select(*keys, v.alias("__v"), copies.alias("__w")).where("__v is not null and not isnan(__v)")
+                          .groupBy(*keys, "__v").agg(F.sum("__w").alias("__cnt")))
     cum = running(counted, keys, ["__v"], {"__cum": ("sum", F.col("__cnt"))}, True, None, n_chunks)
     sized = attach_totals(cum, keys, counted.groupBy(*keys).agg(F.sum("__cnt").alias("__n")))
     first, n = F.col("__cum") - F.col("__cnt"), F.col("__n")

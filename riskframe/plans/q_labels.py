@@ -7,6 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from ..operators import labels, transactions
+from ..session import cut_lineage
 from . import standins as v
 from .q_relational import TARGETS, _targets
 from .q_spine import _calendar, _spine
@@ -211,14 +212,15 @@ def lb10(t: Tables):
     from ..operators import spine
     from ..operators.chunks import attach_totals, exact_quantiles
 
-    parts = [spine.member_spine(_calendar(t, m, seed=7), v.members(t)).withColumn("mode", F.lit(m)) for m in ("first", "random")]
-    s = parts[0].unionByName(parts[1])
-    # a first day can be drawn as the random day: the join key keeps the modes apart
-    r = v.reports(t).select("company_id", "reported_at").crossJoin(F.broadcast(t.spark.createDataFrame([("first",), ("random",)], "mode string")))
-    key = F.concat_ws("|", "mode", "company_id")
-    d = labels.first_report_after(s.select(key.alias("company_id"), "timestamp", "mode"), r.select(key.alias("company_id"), "reported_at"))
-    d = d.withColumn("days", F.datediff("first_report_at", "timestamp"))
-    base = d.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("company_id").alias("companies"),
-                                 rnd(F.avg(F.col("first_report_at").isNotNull().cast("int")), 6).alias("event_rate"), rnd(F.avg("days"), 4).alias("mean_days"))
-    out = attach_totals(base, ["mode"], exact_quantiles(d, ["mode"], "days", [0.5], ["median_days"]))
-    return out.withColumn("median_days", rnd("median_days", 4))
+    first, random = (_calendar(t, m, seed=7).select(F.lit(m).alias("mode"), "feature_date") for m in ("first", "random"))
+    days = first.unionByName(random)
+    d = labels.member_first_reports(days, v.members(t), v.reports(t), by=["mode"])
+    # days from 0 to 90 or none: all that follows is read from these counts
+    counts = cut_lineage(d.groupBy("mode", F.datediff("first_report_at", "timestamp").alias("days")).agg(F.count(F.lit(1)).alias("n")))
+    hits, total = F.when(F.col("days").isNotNull(), F.col("n")), F.sum("n")
+    base = counts.groupBy("mode").agg(total.alias("n"), rnd(F.coalesce(F.sum(hits), F.lit(0)) / total, 6).alias("event_rate"),
+                                      rnd(F.try_divide(F.sum(F.col("days") * hits), F.sum(hits)), 4).alias("mean_days"))
+    seen = v.members(t).join(F.broadcast(days), spine.is_member_at(F.col("feature_date"))).groupBy("mode").agg(F.countDistinct("company_id").alias("companies"))
+    out = attach_totals(base, ["mode"], seen)
+    out = attach_totals(out, ["mode"], exact_quantiles(counts, ["mode"], "days", [0.5], ["median_days"], weight="n"))
+    return out.select("mode", "n", "companies", "event_rate", "mean_days", rnd("median_days", 4).alias("median_days"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskframe.functions.hashing import MIX_FACTOR, MIX_MODULUS
-from riskframe.operators import labels, metrics, spine, splits
+from riskframe.operators import chunks, labels, metrics, spine, splits
 from riskframe.plans.registry import Tables
 
 D = date(2020, 1, 1)
@@ -67,6 +67,30 @@ def test_targets_do_not_shuffle_the_spine(tables):
     assert shuffled_rows(df) < 1000 < 3000 < df.count()  # over twice the spine before
 
 
+def test_spine_modes_are_compared_by_counts(spark, tables):
+    from riskframe.plans import q_labels
+
+    out = q_labels.lb10(tables)
+    assert shuffled_rows(out) < 1000 < 6000 < out.agg(F.sum("n")).first()[0]  # the spine itself before
+    assert out.columns == ["mode", "n", "companies", "event_rate", "mean_days", "median_days"]
+    months = 79  # each mode by itself, from its joined spine
+    for r in out.collect():
+        s = spine.member_spine(q_labels._calendar(tables, r["mode"], seed=7), q_labels.v.members(tables))
+        d = labels.first_report_after(s, q_labels.v.reports(tables)).select("company_id", F.datediff("first_report_at", "timestamp").alias("days")).collect()
+        hits = sorted(x["days"] for x in d if x["days"] is not None)
+        assert len(d) < months * 60 and (r["n"], r["companies"]) == (len(d), len({x["company_id"] for x in d}))
+        assert abs(r["event_rate"] - len(hits) / len(d)) < 1e-6 and abs(r["mean_days"] - sum(hits) / len(hits)) < 1e-4
+        assert r["median_days"] == (hits[(len(hits) - 1) // 2] + hits[len(hits) // 2]) / 2
+
+
+def test_quantiles_of_counted_values(spark):
+    rows = [("ab"[i % 2], float(i * 7 % 11) if i % 5 else None, 1 + i % 4) for i in range(40)]
+    one = spark.createDataFrame(rows, "k string, x double, n int")
+    many = one.withColumn("copy", F.explode(F.sequence(F.lit(1), "n")))
+    got = [sorted(chunks.exact_quantiles(df, ["k"], "x", [0.1, 0.5, 0.9], weight=w).collect()) for df, w in ((one, "n"), (many, None))]
+    assert got[0] == got[1] and len(got[0]) == 2
+
+
 # ---- folds ---------------------------------------------------------------------------------
 
 def test_repeated_folds_rank_rows_once(spark):
